@@ -58,11 +58,11 @@ def telling(rows: list[tuple[set, set]], hot: np.ndarray, kind: int, most: int)
     exceeds the log of the number of terms by 4. Rows that hold nearly the same words count once: near copies are no
     further evidence.
     """
-    first: set[int] = set()
+    first: set[tuple] = set()
     with_term, without = Counter(), Counter()
     n1 = n0 = 0
     for r, y in zip(rows, hot):
-        sign = min((xxhash.xxh32_intdigest(w, 1) for w in r[0]), default=0) << 32 | min((xxhash.xxh32_intdigest(w, 2) for w in r[0] if len(w) > 7), default=0)
+        sign = tuple(min((xxhash.xxh32_intdigest(w, seed) for w in r[0]), default=0) for seed in (1, 2, 3))
         if sign in first:
             continue
         first.add(sign)
