@@ -45,30 +45,42 @@ def shingles(text: str, n: int) -> list[bytes]:
 
 
 def fingerprint(text: str, n: int = 3, distinct: bool = False, seed: int = 42) -> int:
+    return all_fingerprints(text, n, distinct, 1, seed)[0]
+
+
+def all_fingerprints(text: str, n: int, distinct: bool, how_many: int, seed: int = 42) -> list[int]:
+    """Fingerprints from the shingles' hashes and, after the first, from hashes mixed anew."""
     units = shingles(text, n)
     if distinct:
         units = list(set(units))
     if not units:
-        return 0
+        return [0] * how_many
     hashes = np.fromiter(map(lambda s: xxhash.xxh64_intdigest(s, seed), units), dtype="<u8", count=len(units))
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(units), 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(units), bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, keys: list[str], text_col: str, words: int, distinct: bool) -> DataFrame:
-    """The columns ``keys``, and fp, a signed long."""
+    out = []
+    for k in range(how_many):
+        if k:
+            hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            hashes ^= hashes >> np.uint64(32)
+        ones = np.zeros(64, dtype=np.int64)
+        for i in range(0, len(units), 1 << 16):
+            ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(units), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def fingerprints(docs: DataFrame, keys: list[str], text_col: str, words: int, distinct: bool, how_many: int = 1) -> DataFrame:
+    """The columns ``keys``, and fp, fp1, ..., signed longs."""
+    names = ["fp", *(f"fp{k}" for k in range(1, how_many))]
 
     def run(batches):
         for pdf, xs in texts(batches, "__text"):
-            fps = np.array([fingerprint(x, words, distinct) for x in xs], dtype=np.uint64)
-            yield pdf[keys].assign(fp=fps.view(np.int64))
+            fps = np.array([all_fingerprints(x, words, distinct, how_many) for x in xs], dtype=np.uint64).reshape(-1, how_many)
+            yield pdf[keys].assign(**{c: np.ascontiguousarray(fps[:, k]).view(np.int64) for k, c in enumerate(names)})
 
     # ids go as text: a pandas column of longs with a null among them would lose digits
     rows = docs.select(*(F.col(k).cast("string").alias(k) for k in keys), F.col(text_col).cast("string").alias("__text"))
-    made = rows.mapInPandas(run, T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
-    return made.select(*(F.col(k).cast(docs.schema[k].dataType).alias(k) for k in keys), "fp")
+    made = rows.mapInPandas(run, T.StructType([*rows.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in names)]))
+    return made.select(*(F.col(k).cast(docs.schema[k].dataType).alias(k) for k in keys), *names)
 
 
 # --- bit-sliced comparison --------------------------------------------------------------------------------------------
@@ -224,14 +236,14 @@ def choices(radius: int, agree: int) -> list[tuple[int, ...]]:
 
 
 def near_links(fps: DataFrame, radius: int, agree: int) -> DataFrame:
-    """Rows (a, b): links that keep the components of all links between the distinct fingerprints ``fp``."""
+    """Rows (a, b): links that keep the components of all links between distinct fingerprints (s, fp) of the same s."""
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in choices(radius, agree)]
 
     def keyed(batches):
         for pdf in batches:
-            fp = pdf["fp"].to_numpy()
+            s, fp = pdf["s"].to_numpy(), pdf["fp"].to_numpy()
             for t, m in enumerate(masks):
-                yield pd.DataFrame({"t": np.full(len(fp), t, dtype=np.int32), "key": fp & np.int64(m), "fp": fp})
+                yield pd.DataFrame({"t": (s * len(masks) + t).astype(np.int32), "key": fp & np.int64(m), "fp": fp})
 
     def compare(batches):
         # a task has whole keys; what it holds are 20 bytes a row
@@ -247,21 +259,31 @@ def near_links(fps: DataFrame, radius: int, agree: int) -> DataFrame:
             a, b = np.array(pairs).T
             yield pd.DataFrame({"a": fp[a], "b": fp[b]})
 
-    rows = fps.select("fp").mapInPandas(keyed, "t int, key long, fp long")
+    rows = fps.select("s", "fp").mapInPandas(keyed, "t int, key long, fp long")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "t", "key").mapInPandas(compare, "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, keys: list[str], text_col: str = "text", words: int = 3, radius: int = 2, agree: int = 4, distinct: bool = False) -> DataFrame:
+def near_groups(docs: DataFrame, keys: list[str], text_col: str = "text", words: int = 3, radius: int = 2, agree: int = 4, distinct: bool = False, how_many: int = 1) -> DataFrame:
     """The columns ``keys``, fp, and first, one row per row of ``docs``.
 
+    With ``how_many`` fingerprints of a text, two texts link if any of them do.
+
     first is the least (is the first key null, *keys) of the row's group, as a struct.
     """
-    made = materialize(fingerprints(docs, keys, text_col, words, distinct), "fingerprints")
+    made = materialize(fingerprints(docs, keys, text_col, words, distinct, how_many), "fingerprints")
+    names = ["fp", *(f"fp{k}" for k in range(1, how_many))]
     rank = F.struct(F.col(keys[0]).isNull().alias("null"), *keys)
-    single = materialize(made.groupBy("fp").agg(F.min(rank).alias("low")), "distinct-fingerprints")
-    roots = components(near_links(single, radius, agree))
-    labelled = single.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    single = materialize(made.groupBy(*names).agg(F.min(rank).alias("low")), "distinct-fingerprints")
+    nodes = single.select(F.explode(F.array(*(F.struct(F.lit(k).alias("s"), F.col(c).alias("fp")) for k, c in enumerate(names)))).alias("n")).select("n.*").distinct()
+    edges = near_links(nodes, radius, agree)
+    if how_many > 1:  # a text's further fingerprints that have links lead to its first
+        edges = materialize(edges, "near-links")
+        linked = edges.select(F.col("a").alias("n")).union(edges.select("b")).distinct()
+        for c in names[1:]:
+            edges = edges.unionByName(single.join(linked, F.col(c) == F.col("n"), "left_semi").select(F.col("fp").alias("a"), F.col(c).alias("b")))
+    roots = components(edges)
+    labelled = single.groupBy("fp").agg(F.min("low").alias("low")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = labelled.groupBy("root").agg(F.min("low").alias("first"))
     return made.join(labelled.join(lowest, "root").select("fp", "first"), "fp").select(*keys, "fp", "first")
 
@@ -272,16 +294,16 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return near_groups(rows, ["doc_id"], "text", words, radius, agree).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 6, agree: int = 3) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 6, agree: int = 3, how_many: int = 2) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest id.
 
-    Groups come from fingerprints of distinct ``words``-word shingles within ``radius`` bits. A document goes only if the
+    Groups come from ``how_many`` fingerprints of distinct ``words``-word shingles, any within ``radius`` bits. A document goes only if the
     Jaccard similarity of its shingles and those of its group's first document is at least ``similarity``. Rows of
     the same id and text are one document: they stay or go together.
     """
     keyed = docs.withColumn("__i", F.col(id_col)).withColumn("__k", F.xxhash64(F.col(text_col)))
     plain = keyed.select("__i", "__k", F.col(text_col).cast("string").alias("__text"))
-    groups = near_groups(plain, ["__i", "__k"], "__text", words, radius, agree, distinct=True)
+    groups = near_groups(plain, ["__i", "__k"], "__text", words, radius, agree, distinct=True, how_many=how_many)
     member = groups.select("__i", "__k", F.col("first.__i").alias("fi"), F.col("first.__k").alias("fk")).where(~(F.col("__i").eqNullSafe(F.col("fi")) & (F.col("__k") == F.col("fk")))).distinct()
     member = materialize(member, "near-members")
     both = member.withColumn("is_first", F.lit(False)).unionByName(member.select(F.col("fi").alias("__i"), F.col("fk").alias("__k"), "fi", "fk", F.lit(True).alias("is_first")).distinct())
