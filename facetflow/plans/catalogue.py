@@ -312,11 +312,11 @@ def surface_point_kind(spark, d):
     return rows.select("o", "n", "a", "b", g.surface_point_kind("a", "b", 1 - F.col("a") - F.col("b")).alias("kind"))
 
 
-@query("spline_evaluate", f"WITH p AS (SELECT o_custkey AS c, o_orderkey AS k, lag(o_totalprice / 7) OVER w AS p0, o_totalprice / 7 AS p1, lead(o_totalprice / 7) OVER w AS p2, lead(o_totalprice / 7, 2) OVER w AS p3 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT c, k, round(0.5 * (2 * p1 + (p2 - p0) * 0.25 + (2 * p0 - 5 * p1 + 4 * p2 - p3) * 0.0625 + (3 * p1 - p0 - 3 * p2 + p3) * 0.015625), 4) + 0.0 AS y FROM p WHERE p0 IS NOT NULL AND p3 IS NOT NULL")
+@query("spline_evaluate", f"WITH p AS (SELECT o_custkey AS c, o_orderkey AS k, lag(o_totalprice / pi()) OVER w AS p0, o_totalprice / pi() AS p1, lead(o_totalprice / pi()) OVER w AS p2, lead(o_totalprice / pi(), 2) OVER w AS p3 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT c, k, round(0.5 * (2 * p1 + (p2 - p0) * 0.25 + (2 * p0 - 5 * p1 + 4 * p2 - p3) * 0.0625 + (3 * p1 - p0 - 3 * p2 + p3) * 0.015625), 4) + 0.0 AS y FROM p WHERE p0 IS NOT NULL AND p3 IS NOT NULL")
 def spline_evaluate(spark, d):
     from pyspark.sql.window import Window as W
 
-    w, y = W.partitionBy("o_custkey").orderBy("o_orderkey"), F.col("o_totalprice") / 7
+    w, y = W.partitionBy("o_custkey").orderBy("o_orderkey"), F.col("o_totalprice") / F.pi()
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), F.lag(y).over(w).alias("p0"), y.alias("p1"), F.lead(y).over(w).alias("p2"), F.lead(y, 2).over(w).alias("p3"))
     return o.where("p0 is not null and p3 is not null").select("c", "k", (F.round(g.catmull_rom("p0", "p1", "p2", "p3", F.lit(0.25)), 4) + F.lit(0.0)).alias("y"))
 
