@@ -51,7 +51,7 @@ def terms(text: str) -> tuple[set[str], set[str]]:
     return words, starts
 
 
-def telling(rows: list[tuple[set, set]], hot: np.ndarray, kind: int, most: int) -> list[str]:
+def telling(rows: list[tuple], hot: np.ndarray, kind: int, most: int) -> list[str]:
     """Terms (0: words, 1: beginnings) that come with ``hot`` rows beyond chance, the most telling first.
 
     A term's n rows, a share p of them hot, are beyond chance if n times the divergence of p from the share of hot rows
@@ -167,7 +167,7 @@ def label_model(patterns: dict[int, float], known: dict[tuple[int, int], float],
     return dict(zip(keys, post.tolist()))
 
 
-def train(rows: list[tuple[set, set]], post: np.ndarray, labels: np.ndarray, most: int = 2000, rounds: int = 150) -> dict:
+def train(rows: list[tuple], post: np.ndarray, labels: np.ndarray, most: int = 2000, rounds: int = 150) -> dict:
     """A linear model on indicators: weights of words and of beginnings, bias, slope, offset. labels: -1 where unknown."""
     n1, n0 = max(1, int((post > 0.5).sum())), max(1, int((post <= 0.5).sum()))
     chosen = [(k, t) for k in (0, 1) for t in telling(rows, post > 0.5, k, most)]
@@ -226,7 +226,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label_col:
         return json.loads(got["out"]) if got else None
 
     def parts(pdf: pd.DataFrame) -> tuple[list, np.ndarray]:
-        return [terms(x or "") for x in pdf["text"]], pdf["label"].to_numpy()
+        one: dict[str, str] = {}  # rows share their terms' strings: a task holds the whole sample
+        return [tuple(tuple(one.setdefault(t, t) for t in some) for some in terms(x or "")) for x in pdf["text"]], pdf["label"].to_numpy()
 
     def lexicons(pdf: pd.DataFrame):
         with_label = pdf[pdf["label"] >= 0]
