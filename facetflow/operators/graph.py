@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a checkpoint; where no folder for it is set (tests), in a temporary one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -26,13 +26,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     In each round a node takes the least label of itself and its neighbours, and then the label of that label.
     """
     both = edges.select("mesh_id", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("s")).select("mesh_id", "s.*").distinct()
-    both = _cut(both)
+    both = cut(both)
     label = both.select("mesh_id", "node").distinct().withColumn("root", F.col("node"))
     for _ in range(max_rounds):
         near = both.join(label.select("mesh_id", F.col("node").alias("other"), "root"), ["mesh_id", "other"]).groupBy("mesh_id", "node").agg(F.min("root").alias("near"))
         low = label.join(near, ["mesh_id", "node"]).select("mesh_id", "node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = low.select("mesh_id", F.col("node").alias("root"), F.col("root").alias("far"))
-        new = _cut(low.join(jump, ["mesh_id", "root"]).select("mesh_id", "node", "old", F.col("far").alias("root")))
+        new = cut(low.join(jump, ["mesh_id", "root"]).select("mesh_id", "node", "old", F.col("far").alias("root")))
         changed = new.where("old <> root").limit(1).count()
         label = new.drop("old")
         if not changed:
@@ -42,17 +42,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def bfs_levels(edges: DataFrame, roots: DataFrame, max_rounds: int = 10_000, cut_every: int = 5) -> DataFrame:
     """(mesh_id, node, level): the number of edges from the mesh's root (mesh_id, node), for all nodes reached."""
-    both = _cut(edges.select("mesh_id", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("s")).select("mesh_id", "s.*").distinct())
-    seen = _cut(roots.select("mesh_id", "node", F.lit(0).cast("long").alias("level")))
+    both = cut(edges.select("mesh_id", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("s")).select("mesh_id", "s.*").distinct())
+    seen = cut(roots.select("mesh_id", "node", F.lit(0).cast("long").alias("level")))
     frontier = seen
     for level in range(1, max_rounds):
         reached = frontier.select("mesh_id", "node").join(both, ["mesh_id", "node"]).select("mesh_id", F.col("other").alias("node")).distinct().join(seen, ["mesh_id", "node"], "left_anti")
-        frontier = _cut(reached.withColumn("level", F.lit(level).cast("long")))
+        frontier = cut(reached.withColumn("level", F.lit(level).cast("long")))
         if not frontier.limit(1).count():
             return seen
         seen = seen.unionByName(frontier)
         if level % cut_every == 0:
-            seen = _cut(seen)
+            seen = cut(seen)
     raise RuntimeError(f"bfs_levels: no end after {max_rounds} rounds")
 
 
@@ -61,14 +61,44 @@ def distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) ->
 
     Only nodes whose distance became less are relaxed in the next round.
     """
-    both = _cut(edges.select("mesh_id", "length", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("s")).select("mesh_id", "s.node", "s.other", "length"))
-    best = _cut(sources.select("mesh_id", "node", F.lit(0.0).alias("distance")).distinct())
+    both = cut(edges.select("mesh_id", "length", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("s")).select("mesh_id", "s.node", "s.other", "length"))
+    best = cut(sources.select("mesh_id", "node", F.lit(0.0).alias("distance")).distinct())
     active = best
     for _ in range(max_rounds):
         offer = active.join(both, ["mesh_id", "node"]).groupBy("mesh_id", F.col("other").alias("node")).agg(F.min(F.col("distance") + F.col("length")).alias("offer"))
-        merged = _cut(best.join(offer, ["mesh_id", "node"], "full").select("mesh_id", "node", F.least(F.col("distance"), F.col("offer")).alias("distance"), (F.col("distance").isNull() | (F.col("offer") < F.col("distance") - 1e-12)).alias("less")))
+        merged = cut(best.join(offer, ["mesh_id", "node"], "full").select("mesh_id", "node", F.least(F.col("distance"), F.col("offer")).alias("distance"), (F.col("distance").isNull() | (F.col("offer") < F.col("distance") - 1e-12)).alias("less")))
         active = merged.where("less").select("mesh_id", "node", "distance")
         best = merged.select("mesh_id", "node", "distance")
         if not active.limit(1).count():
             return best
     raise RuntimeError(f"distances: no end after {max_rounds} rounds")
+
+
+def bfs_tree(edges: DataFrame) -> DataFrame:
+    """(mesh_id, node, level, parent, e) of each mesh's edges (mesh_id, a, b, e), from its least node, which has no parent.
+
+    A node hangs on the least of its neighbours that are one level nearer to the root.
+    """
+    roots = edges.groupBy("mesh_id").agg(F.least(F.min("a"), F.min("b")).alias("node"))
+    level = cut(bfs_levels(edges, roots))
+    both = edges.select("mesh_id", "e", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("s")).select("mesh_id", "s.node", "s.other", "e")
+    near = level.select("mesh_id", F.col("node").alias("other"), (F.col("level") + 1).alias("level"))
+    up = both.join(level, ["mesh_id", "node"]).join(near, ["mesh_id", "other", "level"]).groupBy("mesh_id", "node").agg(F.min(F.struct("other", "e")).alias("up"))
+    return level.join(up, ["mesh_id", "node"], "left").select("mesh_id", "node", "level", F.col("up.other").alias("parent"), F.col("up.e").alias("e"))
+
+
+def root_paths(tree: DataFrame, starts: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(mesh_id, start, node, e): the nodes on the way from each start (mesh_id, start) to the root, with the edge up from each.
+
+    Steps double in each round: a tree of depth n takes log2 n rounds.
+    """
+    jump = tree.where("parent is not null").select("mesh_id", "node", F.col("parent").alias("to"))
+    reached = starts.select("mesh_id", "start").distinct().withColumn("node", F.col("start"))
+    for _ in range(max_rounds):
+        jump = cut(jump)
+        if not jump.limit(1).count():
+            return reached.join(tree.where("parent is not null").select("mesh_id", "node", "e"), ["mesh_id", "node"]).select("mesh_id", "start", "node", "e")
+        further = reached.join(jump, ["mesh_id", "node"]).select("mesh_id", "start", F.col("to").alias("node"))
+        reached = cut(reached.unionByName(further))
+        jump = jump.join(jump.select("mesh_id", F.col("node").alias("to"), F.col("to").alias("far")), ["mesh_id", "to"]).select("mesh_id", "node", F.col("far").alias("to"))
+    raise RuntimeError(f"root_paths: no end after {max_rounds} rounds")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetflow.functions import geometry as g
-from facetflow.operators import graph, locate, measures, topology
+from facetflow.operators import embedding, graph, homology, locate, measures, topology
 from facetflow.sources import obj, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -325,3 +325,61 @@ def spline_evaluate(spark, d):
 def obj_round_trip(spark, d):
     lines = obj.obj_lines(tables.part_torus(spark, d)).select("mesh_id", (F.col("part") * F.lit(1 << 40) + F.col("n")).alias("line"), "value")
     return obj.parse(lines).faces.select("f", "a", "b", "c")
+
+
+_SPHERE = """WITH size AS (SELECT count(*) // 20 AS n FROM part),
+grid AS (SELECT p_partkey AS v, p_partkey // 20 AS i, p_partkey % 20 AS j, p_partkey // 20 * 20 + (p_partkey % 20 + 1) % 20 AS r, n FROM part, size WHERE p_partkey // 20 < n),
+face AS (SELECT v AS a, v + 20 AS b, r + 20 AS c FROM grid WHERE i < n - 1 UNION ALL SELECT v, r + 20, r FROM grid WHERE i < n - 1 UNION ALL SELECT 20 * n, v, r FROM grid WHERE i = 0 UNION ALL SELECT 20 * n + 1, r, v FROM grid WHERE i = n - 1),
+deg AS (SELECT v, count(*) AS degree FROM (SELECT a AS v FROM face UNION ALL SELECT b FROM face UNION ALL SELECT c FROM face) GROUP BY v)
+"""
+
+
+@query("sphere_summary", _SPHERE + "SELECT (SELECT count(*) FROM deg) AS n_vertices, (SELECT count(*) FROM face) * 3 // 2 AS n_edges, (SELECT count(*) FROM face) AS n_faces, 2::BIGINT AS euler")
+def sphere_summary(spark, d):
+    return topology.summary(tables.part_sphere(spark, d)).select("n_vertices", "n_edges", "n_faces", "euler")
+
+
+@query("sphere_poles", _SPHERE + "SELECT 0 AS choice, min(v) AS pole FROM deg UNION ALL SELECT 1, min(v) FROM deg WHERE degree = (SELECT max(degree) FROM deg) UNION ALL SELECT 2, min(v) FROM deg WHERE degree = (SELECT min(degree) FROM deg)")
+def sphere_poles(spark, d):
+    mesh = tables.part_sphere(spark, d)
+    one, two, three = (embedding.poles(mesh, k).select(F.lit(k).alias("choice"), "pole") for k in range(3))
+    return one.unionByName(two).unionByName(three)
+
+
+@query("boundary_rings", _SPHERE + "SELECT i * 20 AS ring, 20::BIGINT AS n, CASE WHEN i = 0 THEN (20 - j) % 20 ELSE j END AS pos, v FROM grid WHERE i IN (0, n - 1)")
+def boundary_rings(spark, d):
+    half = topology.halfedges(tables.part_sphere(spark, d).faces)
+    grid = half.where(f"f < (select 2 * {tables.COLUMNS} * floor(count(*) / {tables.COLUMNS}) from parquet.`{d}/part.parquet`)")
+    return embedding.boundary_rings(grid).select("ring", "n", "pos", "v")
+
+
+@query("tree_cotree_leftovers", _TORUS + "SELECT 2 - ((SELECT count(*) FROM vert) - (SELECT count(*) FROM edge) + (SELECT count(*) FROM face)) AS n_leftovers")
+def tree_cotree_leftovers(spark, d):
+    return homology.tree_cotree(tables.part_torus(spark, d)).rest.agg(F.count(F.lit(1)).alias("n_leftovers"))
+
+
+@query("homology_loops")
+def homology_loops(spark, d):
+    return homology.loops(homology.tree_cotree(tables.part_torus(spark, d))).select("generator", "e", "val")
+
+
+@query("closed_one_forms")
+def closed_one_forms(spark, d):
+    return homology.closed_forms(homology.tree_cotree(tables.part_torus(spark, d))).select("generator", "e", "val")
+
+
+@query("harmonic_one_forms")
+def harmonic_one_forms(spark, d):
+    return homology.harmonic_forms(homology.tree_cotree(tables.part_torus(spark, d))).select("generator", "e", r6("val").alias("val"))
+
+
+@query("disk_embedding")
+def disk_embedding(spark, d):
+    """The part sphere without its first vertex's faces, in the unit disk."""
+    mesh = tables.part_sphere(spark, d)
+    return embedding.disk(topology.Mesh(mesh.vertices, mesh.faces.where("a <> 0 and b <> 0 and c <> 0"))).select("v", r6("u").alias("u"), r6("w").alias("w"))
+
+
+@query("sphere_embedding")
+def sphere_embedding(spark, d):
+    return embedding.sphere(tables.part_sphere(spark, d)).select("v", *(r6(c).alias(c) for c in "xyz"))

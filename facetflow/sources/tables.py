@@ -33,6 +33,26 @@ def part_torus(spark: SparkSession, sf_dir: str) -> Mesh:
     return Mesh(vertices, grid.select(F.lit(0).cast("long").alias("mesh_id"), F.explode(two).alias("s")).select("mesh_id", "s.*"))
 
 
+def part_sphere(spark: SparkSession, sf_dir: str) -> Mesh:
+    """Part keys in rings from north to south, as far from the centre as the part's size says, and two poles (the last two ids)."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("v"), "p_size")
+    rows = part.agg(F.floor(F.count(F.lit(1)) / COLUMNS).alias("n"))  # one row
+    grid = part.crossJoin(F.broadcast(rows)).withColumn("i", F.floor(F.col("v") / COLUMNS)).withColumn("j", F.col("v") % COLUMNS).where("i < n")
+    r, theta, phi = 1 + F.col("p_size") / F.lit(100.0), F.pi() * (F.col("i") + 1) / (F.col("n") + 1), 2 * F.pi() * F.col("j") / COLUMNS
+    mesh_id, zero = F.lit(0).cast("long").alias("mesh_id"), F.lit(0.0)
+    around = grid.select(mesh_id, "v", (r * F.sin(theta) * F.cos(phi)).alias("x"), (r * F.sin(theta) * F.sin(phi)).alias("y"), (r * F.cos(theta)).alias("z"))
+    north, south = COLUMNS * F.col("n"), COLUMNS * F.col("n") + 1
+    pole = rows.select(F.explode(F.array(F.struct(north.alias("v"), F.lit(1.0).alias("z")), F.struct(south.alias("v"), F.lit(-1.0).alias("z")))).alias("s")).select(mesh_id, "s.v", zero.alias("x"), zero.alias("y"), "s.z")
+    v, right = F.col("v"), F.col("i") * COLUMNS + (F.col("j") + 1) % COLUMNS
+    face = lambda f, a, b, c: F.struct(f.alias("f"), a.alias("a"), b.alias("b"), c.alias("c"))
+    band = F.when(F.col("i") < F.col("n") - 1, F.array(face(2 * v, v, v + COLUMNS, right + COLUMNS), face(2 * v + 1, v, right + COLUMNS, right)))
+    top = F.when(F.col("i") == 0, F.array(face(2 * north + F.col("j"), north, v, right)))
+    low = F.when(F.col("i") == F.col("n") - 1, F.array(face(2 * north + COLUMNS + F.col("j"), south, right, v)))
+    none = F.array().cast("array<struct<f:bigint,a:bigint,b:bigint,c:bigint>>")
+    faces = F.concat(*(F.coalesce(x, none) for x in (band, top, low)))
+    return Mesh(around.unionByName(pole), grid.select(mesh_id, F.explode(faces).alias("s")).select("mesh_id", "s.*"))
+
+
 def torus_uv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(mesh_id, f, ua, ub, uc): the part torus's faces in the unit square, corners of the last cells at 1."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("v"))
