@@ -17,7 +17,7 @@ from facetflow.operators.topology import Mesh, edges, halfedges, numbered, paire
 
 
 class Trees(NamedTuple):
-    """edges (mesh_id, e, lo, hi, left, right); vertices and faces (mesh_id, node, level, parent, e); rest (.., generator)."""
+    """edges (mesh_id, e, lo, hi, left, right); vertices and faces (mesh_id, node, parent, e); rest (.., generator)."""
 
     edges: DataFrame
     vertices: DataFrame
@@ -25,8 +25,15 @@ class Trees(NamedTuple):
     rest: DataFrame
 
 
+def _tree(edge):
+    return graph.cut(graph.rooted(graph.cut(graph.spanning_forest(edge))))
+
+
 def tree_cotree(mesh: Mesh) -> Trees:
-    """Breadth-first trees from the least vertex and face; ``rest``: the edges in neither, numbered by e.
+    """A tree of vertices, a tree of faces, and ``rest``: the edges in neither, numbered by e.
+
+    Trees are those of least e, and may be as deep as they have nodes: they come from merging components and a ranked tour,
+    in rounds that grow with the logarithm of the nodes. Loops are therefore not the shortest of their class.
 
     left is the face that runs along an edge from lo to hi, right the other.
     """
@@ -36,9 +43,9 @@ def tree_cotree(mesh: Mesh) -> Trees:
         F.max(F.when(F.col("tail") < F.col("head"), F.col("f"))).alias("left"), F.max(F.when(F.col("tail") > F.col("head"), F.col("f"))).alias("right"),
     )
     edge = graph.cut(sided)
-    of_vertices = graph.cut(graph.bfs_tree(edge.select("mesh_id", F.col("lo").alias("a"), F.col("hi").alias("b"), "e")))
+    of_vertices = _tree(edge.select("mesh_id", F.col("lo").alias("a"), F.col("hi").alias("b"), "e"))
     cut = edge.join(of_vertices.where("parent is not null").select("mesh_id", "e"), ["mesh_id", "e"], "left_anti").where("left is not null and right is not null")
-    of_faces = graph.cut(graph.bfs_tree(cut.select("mesh_id", F.col("left").alias("a"), F.col("right").alias("b"), "e")))
+    of_faces = _tree(cut.select("mesh_id", F.col("left").alias("a"), F.col("right").alias("b"), "e"))
     rest = cut.join(of_faces.where("parent is not null").select("mesh_id", "e"), ["mesh_id", "e"], "left_anti")
     return Trees(edge, of_vertices, of_faces, graph.cut(numbered(rest, "e", "generator")))
 
