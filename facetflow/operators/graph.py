@@ -7,6 +7,7 @@ its part of a round.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +15,19 @@ from pyspark.sql.window import Window as W
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint; where no folder for it is set (tests), in a temporary one."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """Cut lineage: write the table to the shared checkpoint folder (a temporary one where none is set, in tests) and reread it.
+
+    A reread table carries no constraints from the plan that made it. A checkpoint keeps them, and where a table is joined
+    with itself round after round their number, and the planning time, would double and more each time.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        root = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
