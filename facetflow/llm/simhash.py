@@ -29,8 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-from facetflow.llm.common import components, materialize, texts
+from facetflow.llm.common import components, drop_shared, materialize, texts
 
 #: Groups up to this size are compared by shifted planes.
 SMALL = 24
@@ -277,11 +278,12 @@ def near_groups(docs: DataFrame, keys: list[str], text_col: str = "text", words:
     single = materialize(made.groupBy(*names).agg(F.min(rank).alias("low")), "distinct-fingerprints")
     nodes = single.select(F.explode(F.array(*(F.struct(F.lit(k).alias("s"), F.col(c).alias("fp")) for k, c in enumerate(names)))).alias("n")).select("n.*").distinct()
     edges = near_links(nodes, radius, agree)
-    if how_many > 1:  # a text's further fingerprints that have links lead to its first
+    if how_many > 1:  # a text's further fingerprints that have links, or several first ones, lead to its first
         edges = materialize(edges, "near-links")
         linked = edges.select(F.col("a").alias("n")).union(edges.select("b")).distinct()
         for c in names[1:]:
-            edges = edges.unionByName(single.join(linked, F.col(c) == F.col("n"), "left_semi").select(F.col("fp").alias("a"), F.col(c).alias("b")))
+            shared = single.groupBy(F.col(c).alias("n")).agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("n")
+            edges = edges.unionByName(single.join(linked.union(shared).distinct(), F.col(c) == F.col("n"), "left_semi").select(F.col("fp").alias("a"), F.col(c).alias("b")))
     roots = components(edges)
     labelled = single.groupBy("fp").agg(F.min("low").alias("low")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = labelled.groupBy("root").agg(F.min("low").alias("first"))
@@ -294,33 +296,99 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return near_groups(rows, ["doc_id"], "text", words, radius, agree).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
+# --- near copies ------------------------------------------------------------------------------------------------------
+
+#: MinHash keys of a text: two of similarity j share one with probability 1 - (1 - j ** ROWS) ** BANDS, 0.9993 at 0.8.
+BANDS, ROWS = 24, 6
+#: So many nodes of a bucket are held against the others in a round after the first.
+FRONT = 16
+_A, _B = np.random.default_rng(11).integers(1, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
+
+
+def band_keys(units: list[bytes]) -> list[int]:
+    """A key for each band of the least hashes of distinct shingles, as signed longs; none without a shingle."""
+    if not units:
+        return []
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, units), dtype=np.uint64, count=len(units))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[i : i + (1 << 12)] * _A + _B).min(1))
+    return [xxhash.xxh64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def signatures(plain: DataFrame, words: int, how_many: int) -> DataFrame:
+    """The columns __i and __k of ``plain``, a digest d of the words, the fingerprints of distinct shingles, and their band keys."""
+    names = ["fp", *(f"fp{k}" for k in range(1, how_many))]
+
+    def run(batches):
+        for pdf, xs in texts(batches, "__text"):
+            fps = np.array([all_fingerprints(x, words, True, how_many) for x in xs], dtype=np.uint64).reshape(-1, how_many)
+            out = pdf[["__i", "__k"]].assign(d=[xxhash.xxh3_128_digest(b" ".join(x.encode().lower().split())) for x in xs])
+            yield out.assign(**{c: np.ascontiguousarray(fps[:, k]).view(np.int64) for k, c in enumerate(names)}, bands=[band_keys(list(set(shingles(x, words)))) for x in xs])
+
+    rows = plain.select(F.col("__i").cast("string").alias("__i"), "__k", "__text")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("d", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in names), T.StructField("bands", T.ArrayType(T.LongType()))])
+    return rows.mapInPandas(run, schema).withColumn("__i", F.col("__i").cast(plain.schema["__i"].dataType))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 6, agree: int = 3, how_many: int = 2) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest id.
 
-    Groups come from ``how_many`` fingerprints of distinct ``words``-word shingles, any within ``radius`` bits. A document goes only if the
-    Jaccard similarity of its shingles and those of its group's first document is at least ``similarity``. Rows of
-    the same id and text are one document: they stay or go together.
+    Documents of the same words are one node, led by the smallest id. Nodes meet in buckets: one for each of their ``how_many`` fingerprints of
+    distinct ``words``-word shingles, one for each link of fingerprints within ``radius`` bits, and one for each MinHash key. In rounds, all nodes
+    of a bucket are held against its first few. A node that was held against all before it in its buckets, and has a Jaccard
+    similarity of at least ``similarity`` to none, stays; those with that similarity to it go; both leave their buckets, until
+    no bucket has two nodes. So each document that goes has a copy
+    that stays, and two that stay are no near copies if they share a bucket. Rows of the same id and text are one document:
+    they stay or go together.
     """
     keyed = docs.withColumn("__i", F.col(id_col)).withColumn("__k", F.xxhash64(F.col(text_col)))
     plain = keyed.select("__i", "__k", F.col(text_col).cast("string").alias("__text"))
-    groups = near_groups(plain, ["__i", "__k"], "__text", words, radius, agree, distinct=True, how_many=how_many)
-    member = groups.select("__i", "__k", F.col("first.__i").alias("fi"), F.col("first.__k").alias("fk")).where(~(F.col("__i").eqNullSafe(F.col("fi")) & (F.col("__k") == F.col("fk")))).distinct()
-    member = materialize(member, "near-members")
-    both = member.withColumn("is_first", F.lit(False)).unionByName(member.select(F.col("fi").alias("__i"), F.col("fk").alias("__k"), "fi", "fk", F.lit(True).alias("is_first")).distinct())
-    b, d = both.alias("b"), plain.alias("d")
-    with_text = d.join(b, F.col("d.__i").eqNullSafe(F.col("b.__i")) & (F.col("d.__k") == F.col("b.__k"))).select("b.*", "__text").dropDuplicates(["__i", "__k", "is_first"])
-    with_text = materialize(with_text, "near-texts")
-    m, f = with_text.where("not is_first").alias("m"), with_text.where("is_first").alias("f")
-    pairs = m.join(f, F.col("m.fi").eqNullSafe(F.col("f.fi")) & (F.col("m.fk") == F.col("f.fk"))).select(F.col("m.__i").cast("string").alias("i"), F.col("m.__k").alias("k"), F.col("m.__text").alias("text"), F.col("f.__text").alias("first_text"))
+    names = ["fp", *(f"fp{k}" for k in range(1, how_many))]
+    made = signatures(plain, words, how_many)
+    low = F.min(F.struct(F.col("__i").isNull().alias("null"), "__i", "__k")).alias("low")
+    nodes = materialize(made.groupBy("d").agg(low, *(F.first(c).alias(c) for c in (*names, "bands"))), "near-nodes")
+    m = F.struct("low.null", "low.__i", "d").alias("m")
+    own = F.array(*(F.struct(F.lit(-1 - k).alias("s"), F.col(c).alias("key")) for k, c in enumerate(names)))
+    entry = nodes.select(F.explode(F.concat(own, F.transform("bands", lambda x, k: F.struct(k.alias("s"), x.alias("key"))))).alias("b"), m).select("b.s", "b.key", "m")
+    # fingerprints that link have a bucket for the first nodes of both
+    holders = materialize(entry.where("s < 0").groupBy("s", "key").agg(F.min("m").alias("m")), "near-fingerprints")
+    edges = near_links(holders.select((-1 - F.col("s")).cast("int").alias("s"), F.col("key").alias("fp")), radius, agree)
+    ends = edges.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("fp")).join(holders.select(F.col("key").alias("fp"), "m"), "fp")
+    entry = entry.unionByName(ends.select(F.lit(-1 - how_many).alias("s"), "key", "m").distinct())
+
+    def crowded(entries: DataFrame) -> DataFrame:
+        return entries.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("s", "key"))).where("n > 1").drop("n")
+
+    now = materialize(crowded(entry), "near-buckets")
+    mine = nodes.join(now.select(F.col("m.d").alias("d")).distinct(), "d", "left_semi").select("d", F.col("low.__i").alias("i"), F.col("low.__k").alias("k"))
+    p, q = plain.alias("p"), mine.alias("q")
+    with_text = materialize(p.join(q, F.col("p.__i").eqNullSafe(F.col("q.i")) & (F.col("p.__k") == F.col("q.k"))).select("d", "__text").dropDuplicates(["d"]), "near-texts")
 
     def verify(batches):
         for pdf in batches:
-            same = np.zeros(len(pdf), dtype=bool)
+            same, last, b = np.zeros(len(pdf), dtype=bool), None, set()
             for n, (x, y) in enumerate(zip(pdf["text"], pdf["first_text"])):
-                a, b = set(shingles(x or "", words)), set(shingles(y or "", words))
+                if y != last:
+                    last, b = y, set(shingles(y or "", words))
+                a = set(shingles(x or "", words))
                 same[n] = (not a and not b) or len(a & b) >= similarity * len(a | b)
-            yield pdf.loc[same, ["i", "k"]]
-
-    gone = pairs.mapInPandas(verify, "i string, k long").withColumn("i", F.col("i").cast(docs.schema[id_col].dataType))
-    k, g = keyed.alias("k"), gone.alias("g")
-    return k.join(g, F.col("k.__i").eqNullSafe(F.col("g.i")) & (F.col("k.__k") == F.col("g.k")), "left_anti").select(*docs.columns)
+            yield pdf.loc[same, ["d", "fd"]]
+
+    lost, most = None, 1
+    while not now.isEmpty():
+        # compare with the first ``most`` of each bucket: one in the first round, which ends large groups
+        front = materialize(now.withColumn("n", F.row_number().over(W.partitionBy("s", "key").orderBy("m"))).where(F.col("n") <= most).drop("n"), "near-front")
+        pairs = now.join(front.withColumnRenamed("m", "f"), ["s", "key"]).where("m > f").select(F.col("m.d").alias("d"), F.col("f.d").alias("fd")).distinct()
+        t, f = with_text.withColumnRenamed("__text", "text"), with_text.select(F.col("d").alias("fd"), F.col("__text").alias("first_text"))
+        found = materialize(pairs.join(t, "d").join(f, "fd").mapInPandas(verify, "d binary, fd binary"), "near-pairs")
+        behind = now.join(front, ["s", "key", "m"], "left_anti").select(F.col("m.d").alias("d"))
+        stays = materialize(front.select(F.col("m.d").alias("d")).distinct().join(behind.unionByName(found.select("d")).distinct(), "d", "left_anti"), "near-first")
+        gone = materialize(found.join(stays.select(F.col("d").alias("fd")), "fd", "left_semi").select("d").distinct(), "near-gone")
+        lost = gone if lost is None else lost.unionByName(gone)
+        before, now = now, materialize(crowded(now.join(stays.unionByName(gone), F.col("m.d") == F.col("d"), "left_anti")), "near-buckets")
+        drop_shared(before)
+        most = FRONT
+    kept = nodes if lost is None else nodes.join(lost, "d", "left_anti")
+    k, g = keyed.alias("k"), kept.select(F.col("low.__i").alias("i"), F.col("low.__k").alias("k")).alias("g")
+    return k.join(g, F.col("k.__i").eqNullSafe(F.col("g.i")) & (F.col("k.__k") == F.col("g.k")), "left_semi").select(*docs.columns)

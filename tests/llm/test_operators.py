@@ -429,3 +429,47 @@ def test_repeats_against_brute_force(spark, docs, empty):
     assert changed > 5
     assert linededup.remove_repeats(empty).count() == 0
     assert linededup.remove_repeats(d).where("doc_id = 100 and text is null").count() == 1
+
+
+def test_near_dedup_goes_on_after_the_first_document(spark):
+    """Against greedy removal by exact similarity: a chain, edited copies with copies of their own, similarities from 0.8."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for b in range(12):
+        w = [word() for _ in range(200)]
+        for k in range(8):  # each is edited further than the last: 0.9 to that before it, under 0.8 to the one before that
+            rows += [(b * 100 + 10 * k, " ".join(w)), (b * 100 + 10 * k + 1, " ".join(w)), (b * 100 + 10 * k + 2, " ".join(w).upper())]
+            for at in rnd.sample(range(200), 2):
+                w[at] = word()
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, stay = {i: set(simhash.shingles(x, 5)) for i, x in rows}, []
+    for i in sorted(sets):
+        if not any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in stay):
+            stay.append(i)
+    assert 24 <= len(stay) < 60
+    assert sorted(r.doc_id for r in simhash.near_dedup(d).collect()) == stay
+
+
+def test_near_dedup_is_exact_at_similarity_0_93(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for b in range(10):
+        w = [word() for _ in range(150)]
+        for k in range(6):
+            v = list(w)
+            if k:
+                v[rnd.randint(0, 149)] = word()
+            rows.append((b * 100 + k, " ".join(v)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.near_dedup(d).collect()) == [b * 100 for b in range(10)]
+
+
+def test_equal_second_fingerprints_link(spark, monkeypatch):
+    """Texts whose first fingerprints are far apart and whose second ones are equal, with no other near them."""
+    d = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id long, text string")
+    made = spark.createDataFrame([(1, 0, 77), (2, 0xFFFFF, 77), (3, 0xFFFFF00000, 0xFFFFF0000000)], "doc_id long, fp long, fp1 long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: made)
+    got = {r.doc_id: r["first"].doc_id for r in simhash.near_groups(d, ["doc_id"], radius=6, agree=3, how_many=2).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
