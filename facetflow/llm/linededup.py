@@ -4,8 +4,8 @@ A unit is a sentence or a line, whichever ends first: text up to and with a full
 line end. Units are normalised (lower case, white space as one space) and hashed to 128 bits; digests are grouped over
 all documents. The occurrence that ranks first stays: the document with the smallest id (nulls last, ties by a hash of the
 text), and in it the first place. Others are repeats. Repeats that follow each other make up a passage, and a
-passage of at least ``min_words`` words goes; units of fewer than ``least`` words are not hashed and go with a passage that
-surrounds them. Shorter repeats (licence lines, greetings) stay. Offsets of what goes are in characters of the original.
+passage of at least ``min_words`` words goes, by default any; units of fewer than ``least`` words are not hashed and go with a passage
+that surrounds them. A passage that starts or ends inside a sentence loses its whole sentences; the parts of sentences at its ends stay. Offsets of what goes are in characters of the original.
 
 No group is gathered anywhere: the least rank and the count of a digest are aggregated map-side first, and units meet
 their digest's row in a join; only documents' own repeats are put in order, in windows of one document each.
@@ -29,8 +29,8 @@ from facetflow.llm.common import texts
 
 _UNIT = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 
-MIN_WORDS = 25
 LEAST = 4
+MIN_WORDS = LEAST
 
 
 def units(text: str, least: int = LEAST) -> list[tuple[int, int, int, int, bytes]]:

@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from facetflow.llm import ann, bpe, linededup, media, mixing, packing, quality, simhash, toxicity, warc
+from facetflow.llm import ann, bpe, common, linededup, media, mixing, packing, quality, simhash, toxicity, warc
 from facetflow.llm.common import components, fold, in_filter, repeat_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, id string"
@@ -473,3 +473,10 @@ def test_equal_second_fingerprints_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", lambda *a: made)
     got = {r.doc_id: r["first"].doc_id for r in simhash.near_groups(d, ["doc_id"], radius=6, agree=3, how_many=2).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_short_repeated_units_go(spark):
+    d = spark.createDataFrame([(1, "All rights are reserved here. One own line of this text."), (2, "Another first line of words. All rights are reserved here. Bye now.")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.removed_words) for r in linededup.remove_repeats(d).collect()}
+    assert got[1] == ("All rights are reserved here. One own line of this text.", 0)
+    assert got[2] == ("Another first line of words. Bye now.", 5)
