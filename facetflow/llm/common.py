@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,6 +59,24 @@ def texts(batches: Iterator[pd.DataFrame], col: str = "text") -> Iterator[tuple[
         yield pdf, ["" if x is None or x != x else x for x in pdf[col].tolist()]
 
 
+#: Characters of all texts of a sample, and of one of them: a longer text is no example to learn from.
+SAMPLE_CHARS, EXAMPLE_CHARS = 1 << 26, 1 << 20
+
+
+def examples(rows: DataFrame, some: DataFrame, chars: int = SAMPLE_CHARS, longest: int = EXAMPLE_CHARS) -> DataFrame:
+    """Rows (h, id, label, text), one at most for each row (h, id, label) of ``some``, which is bounded; ``rows``: (id, text).
+
+    Of an id's texts it is the one with the least hash, however many rows have that id. The first in the order of
+    ``some``'s columns stay, up to ``chars`` characters in all.
+    """
+    hashed = rows.withColumn("k", F.xxhash64("text")).withColumn("size", F.coalesce(F.length("text"), F.lit(0)))
+    one = hashed.where(F.col("size") <= longest).groupBy("id").agg(F.min(F.struct("k", "size")).alias("one"))
+    sized = one.join(F.broadcast(some), "id").select(*some.columns, "one.*")
+    # one window over the bounded rows
+    within = sized.withColumn("sum", F.sum("size").over(W.orderBy(*some.columns))).where(F.col("sum") <= chars).drop("sum", "size")
+    return hashed.join(F.broadcast(within), ["id", "k"]).dropDuplicates(["id", "k", "label"]).select(*some.columns, "text")
+
+
 # --- a bounded filter of repeated digests -----------------------------------------------------------------------------
 
 #: log2 of the filter's bits: 2^23 bits are 1 MB, at any size of the input.

@@ -7,7 +7,7 @@ Indicators are hashed to ``2 ** bits`` places and scaled by the log-count ratio
 model is fitted by dual coordinate descent, interpolated with its mean weight, and its margin is turned into a
 probability by logistic calibration on rows that the fit has not seen.
 
-Fitted on a bounded sample: at most ``sample`` labelled rows, those with the smallest hash of their id. All rows
+Fitted on a bounded sample: at most ``sample`` labelled rows, those with the smallest hash of their id, one text of each id. All rows
 are scored, over whole texts.
 
 Defined cases: null text counts as empty; an empty text has only the bias and a score like any other; rows without a label
@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetflow.llm.common import examples
+
 BITS, SAMPLE = 18, 12_000
 _MIX = np.uint32(0x9E3779B1)
 
@@ -163,9 +165,9 @@ def fit(sample: list[str], labels: np.ndarray, bits: int = BITS, c: float = 0.1,
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_col: str, text_col: str, sample: int) -> pd.DataFrame:
     """At most ``sample`` rows (text, label): the labelled rows for which ``learn`` holds with the smallest hashes."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null and id is not null").where(learn)
-    some = known.select("id", "label", F.xxhash64("id", F.lit(17)).alias("h")).orderBy("h", "id", "label").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id")  # ``sample`` rows at most
-    return rows.select("h", "id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    some = known.select(F.xxhash64("id", F.lit(17)).alias("h"), "id", "label").orderBy("h", "id", "label").limit(sample)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return examples(rows, some).select("h", "id", "label", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, bits: int = BITS, threshold: float = 0.3, whole_rows: bool = False) -> DataFrame:

@@ -1,13 +1,13 @@
 """Toxicity by weak supervision.
 
-Voters. Each says whether a text holds one of its terms: fixed lexicons, two marks patterns, and lexicons induced from a
-bounded sample of labelled rows (whole words, and word beginnings as patterns), dealt out over several voters.
+Voters. Each says whether a text holds one of its terms: fixed lexicons, two marks patterns, and lexicons induced from the
+labelled rows of the sample (whole words, and word beginnings as patterns), dealt out over several voters.
 Label model. The votes of all documents that may be learned from are counted by pattern (at most 2 ** voters rows, whatever
-the input holds). Expectation maximisation, anchored by the labelled rows' patterns, estimates how often each voter fires in
+the input holds). Expectation maximisation, anchored by the patterns of all labelled rows, estimates how often each voter fires in
 either class; voters that stay correlated within a class are joined to one factor with a table of its own, and the model is
 estimated again. It gives each pattern a posterior probability.
 Classifier. A linear model on indicators of words and word beginnings is trained on the posteriors of a bounded
-sample of documents (``sample``), and calibrated on those of them that have labels. It scores every whole text.
+sample of documents (``sample``; those with labels first, one text of each id), and calibrated on those of them that have labels. It scores every whole text.
 
 Defined cases: null text counts as empty; texts without any term of the model have the score of its bias; rows
 without a label are scored only; with no labelled toxic row, fixed voters alone decide; repeated rows score alike; an empty table
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import texts
+from facetflow.llm.common import examples, materialize, texts
 from facetflow.llm.quality import calibrate
 
 SAMPLE = 16_000
@@ -217,9 +217,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label_col:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     may = rows.where(learn)
-    some = may.where("id is not null").select("id", F.xxhash64("id", F.lit(23)).alias("h")).distinct().orderBy("h", "id").limit(sample)
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(learn).groupBy("id").agg(F.max("label").alias("label"))
-    picked = may.join(F.broadcast(some), "id").join(known, "id", "left").select("h", "id", "text", F.coalesce("label", F.lit(-1)).alias("label"))  # ``sample`` rows
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").where(learn).groupBy("id").agg(F.max("label").alias("label"))
+    # rows with labels first, then others
+    drawn = may.where("id is not null").select("id").distinct().join(known, "id", "left").select(F.xxhash64("id", F.lit(23)).alias("h"), "id", F.coalesce("label", F.lit(-1)).alias("label"))
+    some = drawn.select((F.col("label") < 0).alias("bare"), "h", "id", "label").orderBy("bare", "h", "id").limit(sample)
+    picked = materialize(examples(may, some).select("h", "id", "text", "label"), "toxicity-sample")
 
     def one_task(f):
         got = picked.groupBy(F.lit(1).alias("one")).applyInPandas(lambda pdf: pd.DataFrame({"out": [json.dumps(f(pdf.sort_values(["h", "id"])))]}), "out string").first()
@@ -233,22 +235,25 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label_col:
         with_label = pdf[pdf["label"] >= 0]
         found, y = parts(with_label)
         words, starts = (telling(found, y == 1, k, 600) for k in (0, 1))
-        v, counts = Voters(words, starts), Counter()
-        for x, label in zip(with_label["text"], y):
-            counts[v.votes(x or ""), int(label)] += 1
-        return {"words": words, "starts": starts, "known": [[p, y, n] for (p, y), n in counts.items()]}
+        return {"words": words, "starts": starts}
 
-    got = one_task(lexicons) or {"words": [], "starts": [], "known": []}
+    got = one_task(lexicons) or {"words": [], "starts": []}
     voters = spark.sparkContext.broadcast(Voters(got["words"], got["starts"]))
 
     def vote(batches):
-        for _, xs in texts(batches):
-            p, n = np.unique(np.array([voters.value.votes(x) for x in xs], dtype=np.int64), return_counts=True)
-            yield pd.DataFrame({"pattern": p, "n": n})
-
-    counted = may.select("text").mapInPandas(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    patterns = {r["pattern"]: float(r["n"]) for r in counted.collect()}  # at most 2 ** voters rows
-    posterior = label_model(patterns, {(p, y): float(n) for p, y, n in got["known"]}, voters.value.n)
+        for pdf, xs in texts(batches):
+            yield pdf[["id"]].assign(pattern=np.array([voters.value.votes(x) for x in xs], dtype=np.int64))
+
+    # an id's rows are counted before they meet its label
+    voted = may.select(F.col("id").cast("string").alias("id"), "text").mapInPandas(vote, "id string, pattern long").groupBy("id", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    labelled = voted.join(known.withColumn("id", F.col("id").cast("string")), "id", "left")
+    counted = labelled.groupBy("pattern", "label").agg(F.sum("n").alias("n")).collect()  # at most 2 ** voters patterns
+    patterns, anchors = Counter(), {}
+    for r in counted:
+        patterns[r["pattern"]] += float(r["n"])
+        if r["label"] in (0, 1):
+            anchors[r["pattern"], r["label"]] = float(r["n"])
+    posterior = label_model(patterns, anchors, voters.value.n)
 
     def linear(pdf: pd.DataFrame):
         found, y = parts(pdf)

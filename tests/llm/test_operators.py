@@ -475,6 +475,32 @@ def test_equal_second_fingerprints_link(spark, monkeypatch):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
+def test_few_labels_among_many_documents_are_all_used(spark):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows = []
+    for i in range(3000):
+        w = [rnd.choice(words) for _ in range(40)]
+        if i % 3 == 0:
+            w[rnd.randint(0, 39)] = "zorgat"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(d, known, learn=F.lit(True), sample=200).collect()}
+    assert np.mean([got[i] for i in range(150, 3000) if i % 3 == 0]) > 0.9
+    assert np.mean([got[i] for i in range(150, 3000) if i % 3]) < 0.03
+
+
+def test_sample_has_one_text_of_an_id(spark):
+    d = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "other"), (3, "x" * 90), (4, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, quality int")
+    got = quality.training_rows(d, known, F.lit(True), "quality", "doc_id", "text", 3).collect()
+    assert len(got) == 3 and len({r.id for r in got}) == 3
+    some = known.select(F.lit(0).alias("h"), F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    left = common.examples(d.withColumnRenamed("doc_id", "id"), some, chars=20, longest=80).collect()
+    assert {r.id for r in left} == {1, 2, 4} and len(left) == 3 and sum(len(r.text or "") for r in left) <= 20
+
+
 def test_short_repeated_units_go(spark):
     d = spark.createDataFrame([(1, "All rights are reserved here. One own line of this text."), (2, "Another first line of words. All rights are reserved here. Bye now.")], "doc_id long, text string")
     got = {r.doc_id: (r.text, r.removed_words) for r in linededup.remove_repeats(d).collect()}
