@@ -124,6 +124,18 @@ def byte_symbols() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+def checked(spec: dict) -> dict:
+    """The content of a vocabulary file, if it is of the kind that PATTERN and the merges here reproduce."""
+    before = spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    model = spec["model"]
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback") if model.get(k)]
+    flags = [t["content"] for t in spec["added_tokens"] if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or not plain or odd or flags:
+        raise ValueError(f"a vocabulary of another kind than plain byte-level BPE: {model.get('type')}, {spec.get('normalizer')}, {before}, {odd}, {flags}")
+    return spec
+
+
 def pair_key(left: int, right: int) -> int:
     return left << 20 | right
 
@@ -133,7 +145,7 @@ class Counter:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = checked(json.load(f))
         vocab = spec["model"]["vocab"]
         self.first = [vocab[c] for c in byte_symbols()]
         #: (left, right) in one number -> (rank, what they become) in one number
@@ -147,7 +159,7 @@ class Counter:
         self.kept = Kept(self.chunk_count)
 
     def merge_count(self, symbols: list[int]) -> int:
-        """How many merges a list of symbols undergoes."""
+        """How many merges a list of symbols undergoes; what a merge takes up is -1 in it afterwards."""
         find, n = self.merges.get, len(symbols)
         heap = [v >> 20 << 40 | i for i, v in enumerate(map(find, map(pair_key, symbols, symbols[1:]))) if v is not None]
         if not heap:
@@ -179,6 +191,12 @@ class Counter:
                     heappush(heap, v >> 20 << 40 | h)
         return done
 
+    def symbols(self, piece: str) -> list[int]:
+        """What a piece's symbols become."""
+        symbols = [self.first[b] for b in piece.encode()]
+        self.merge_count(symbols)
+        return [s for s in symbols if s >= 0]
+
     def chunk_count(self, chunk: str) -> int:
         total, first = 0, self.first
         for piece in self.pieces(chunk):

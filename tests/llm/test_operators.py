@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import json
 import random
 import zlib
 
@@ -198,19 +199,70 @@ def test_packing_covers_every_document(docs, empty, library):
     assert packing.pack(empty).count() == 0
 
 
-@pytest.mark.parametrize("histogram", [{}, {2048: 3}, {1: 5000}, {1025: 7, 1023: 7}, {700: 30, 600: 31, 500: 5, 3: 100}, {2047: 5, 1: 2}])
-def test_plans_are_whole_and_tight(histogram):
-    runs, n = packing.best_plan(histogram)
+def best_fit(histogram):
+    """Sequences that plain best-fit, longest first, needs."""
+    free = collections.Counter()
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            room = min((x for x in free if x >= length), default=2048)
+            free[room] -= 1
+            if free[room] <= 0:
+                del free[room]
+            if room > length:
+                free[room - length] += 1
+            yield room == 2048
+
+
+def whole(plan, histogram):
     placed, filled = collections.Counter(), collections.defaultdict(int)
-    for length, a, b, first, per, offset in sorted(runs, key=lambda r: r[5]):
+    for length, a, b, first, per, offset in sorted(plan.runs, key=lambda r: r[5]):
         placed[length] += b - a
         for r in range(a, b):
             s = first + (r - a) // per
             assert filled[s] == offset + (r - a) % per * length
             filled[s] += length
-    assert placed == collections.Counter(histogram) and all(x <= 2048 for x in filled.values()) and len(filled) == n
-    least = -(-sum(k * v for k, v in histogram.items()) // 2048)
-    assert n <= least * 1.25 + 1
+    assert placed == collections.Counter(histogram) and all(x <= 2048 for x in filled.values()) and len(filled) == plan.sequences
+
+
+@pytest.mark.parametrize("histogram", [{}, {2048: 3}, {1: 5000}, {1025: 7, 1023: 7}, {700: 30, 600: 31, 500: 5, 3: 100}, {2047: 5, 1: 2}])
+def test_plans_are_whole_and_tight(histogram):
+    p = packing.best_plan(histogram)
+    whole(p, histogram)
+    assert p.sequences <= sum(best_fit(histogram)) + 1
+
+
+def test_configurations_carry_the_large_pieces():
+    rng = np.random.default_rng(3)
+    lengths = np.minimum(np.maximum(rng.lognormal(6.2, 0.9, 3000).astype(int), 1), 2048)
+    histogram = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True))}
+    for many in ({k: n for k, n in histogram.items()}, {k: 100 * n + k % 7 for k, n in histogram.items()}):
+        p = packing.best_plan(many)
+        least = -(-sum(k * n for k, n in many.items()) // 2048)
+        assert p.by_configuration > 0.5 * p.large and p.sequences <= 1.003 * least + 1
+    p = packing.best_plan(histogram)
+    whole(p, histogram)
+    assert p.sequences <= sum(best_fit(histogram)) + 1
+
+
+def test_long_blanks_are_encoded_whole(library):
+    ids = packing.Ids(bpe.vocabulary_path("byte_bpe_50k.json"))
+    for x in ("a" + " " * 5000 + "b  c" + "\n" * 3000 + "d" + " " * 1000, "\u3000" * 2000 + "x", " \n" * 1500):
+        assert np.frombuffer(ids.with_blanks(x), "<u4").tolist() == library.encode(x, add_special_tokens=False).ids
+    blanks = [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b"]
+    c = bpe.Counter(bpe.vocabulary_path("byte_bpe_50k.json"))
+    assert [len(ids(x)) // 4 for x in blanks] == [c.count(x) for x in blanks]
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    with open(bpe.vocabulary_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            bpe.Counter(str(path))
+        with pytest.raises(ValueError):
+            packing.Ids(str(path))
 
 
 # --- 3, 9: archives and media -----------------------------------------------------------------------------------------
