@@ -6,28 +6,11 @@ its part of a round.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: write the table to the shared checkpoint folder (a temporary one where none is set, in tests) and reread it.
-
-    A reread table carries no constraints from the plan that made it. A checkpoint keeps them, and where a table is joined
-    with itself round after round their number, and the planning time, would double and more each time.
-    """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        root = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from facetflow.shared import drop_shared, materialize as cut
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -36,7 +19,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     In each round a node takes the least label of itself and its neighbours, and then the label of that label.
     """
     both = edges.select("mesh_id", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("s")).select("mesh_id", "s.*").distinct()
-    both = cut(both)
+    both = last = cut(both)
     label = both.select("mesh_id", "node").distinct().withColumn("root", F.col("node"))
     for _ in range(max_rounds):
         near = both.join(label.select("mesh_id", F.col("node").alias("other"), "root"), ["mesh_id", "other"]).groupBy("mesh_id", "node").agg(F.min("root").alias("near"))
@@ -44,7 +27,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         jump = low.select("mesh_id", F.col("node").alias("root"), F.col("root").alias("far"))
         new = cut(low.join(jump, ["mesh_id", "root"]).select("mesh_id", "node", "old", F.col("far").alias("root")))
         changed = new.where("old <> root").limit(1).count()
-        label = new.drop("old")
+        if last is not both:
+            drop_shared(last)
+        label, last = new.drop("old"), new
         if not changed:
             return label
     raise RuntimeError(f"components: no end after {max_rounds} rounds")
@@ -66,21 +51,26 @@ def bfs_levels(edges: DataFrame, roots: DataFrame, max_rounds: int = 10_000, cut
     raise RuntimeError(f"bfs_levels: no end after {max_rounds} rounds")
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000, cut_every: int = 4) -> DataFrame:
     """(mesh_id, node, distance) along edges (mesh_id, a, b, length) from any of the sources (mesh_id, node).
 
     Only nodes whose distance became less are relaxed in the next round.
     """
     both = cut(edges.select("mesh_id", "length", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("s")).select("mesh_id", "s.node", "s.other", "length"))
-    best = cut(sources.select("mesh_id", "node", F.lit(0.0).alias("distance")).distinct())
-    active = best
+    whole = best = active = cut(sources.select("mesh_id", "node", F.lit(0.0).alias("distance")).distinct())
+    found = []
     for _ in range(max_rounds):
         offer = active.join(both, ["mesh_id", "node"]).groupBy("mesh_id", F.col("other").alias("node")).agg(F.min(F.col("distance") + F.col("length")).alias("offer"))
-        merged = cut(best.join(offer, ["mesh_id", "node"], "full").select("mesh_id", "node", F.least(F.col("distance"), F.col("offer")).alias("distance"), (F.col("distance").isNull() | (F.col("offer") < F.col("distance") - 1e-12)).alias("less")))
-        active = merged.where("less").select("mesh_id", "node", "distance")
-        best = merged.select("mesh_id", "node", "distance")
+        less = offer.join(best, ["mesh_id", "node"], "left").where(F.col("distance").isNull() | (F.col("offer") < F.col("distance") - 1e-12))
+        active = cut(less.select("mesh_id", "node", F.col("offer").alias("distance")))
         if not active.limit(1).count():
             return best
+        found.append(active)
+        best = best.join(active, ["mesh_id", "node"], "left_anti").unionByName(active)
+        if len(found) == cut_every:  # till then only what changed is written
+            best = cut(best)
+            drop_shared(whole, *found[:-1])
+            whole, found = best, found[-1:]
     raise RuntimeError(f"distances: no end after {max_rounds} rounds")
 
 
