@@ -36,9 +36,9 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, so that each source has its target share."""
-    mixed = mixing.mix(docs, whole_rows=True)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return mixed.withColumn("__times", times).where("__times > 0").select(F.explode(F.sequence(F.lit(1), F.col("__times"))), F.col("kept")).select(*(F.col(f"kept.`{c}`").alias(c) for c in docs.columns))
+    mixed = mixing.mix(docs, whole_rows=True).where("taken > 0")
+    times = F.floor(F.col("taken") / F.col("size")).cast("int")
+    return mixed.select(F.explode(F.sequence(F.lit(1), times)), "kept").select(*(F.col(f"kept.`{c}`").alias(c) for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
