@@ -2,51 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from facetflow.shared import drop_shared, fresh, materialize, shared_path, spread  # noqa: F401
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        root = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, and survives the loss of executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._shared_path = path
-    return out
-
-
-def drop_shared(df: DataFrame) -> None:
-    """Remove the files of a table made by :func:`materialize` that nothing reads any more."""
-    path = getattr(df, "_shared_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def fold(id_col: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null ids count as the empty text."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -113,8 +82,8 @@ def in_filter(bitmap: np.ndarray, digests: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (longs a, b): root is the smallest node of its component.
 
-    Large-star and small-star steps in turn, until nothing changes; each step is grouped minima and one join, so no
-    task ever holds a node's neighbours. Empty edges give an empty table; loops and repeats are harmless.
+    Large-star and small-star steps in turn, until nothing changes; each step is grouped minima and one join, in which
+    the neighbours of a hub are dealt out. Empty edges give an empty table; loops and repeats are harmless.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
     mark = None
@@ -122,7 +91,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large-star: each larger neighbour of u goes to the least of u and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread(both.where("v > u"), least, ["u"], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small-star: each smaller neighbour of u, and u, go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()

@@ -7,8 +7,8 @@ text), and in it the first place. Others are repeats. Repeats that follow each o
 passage of at least ``min_words`` words goes, by default any; units of fewer than ``least`` words are not hashed and go with a passage
 that surrounds them. A passage that starts or ends inside a sentence loses its whole sentences; the parts of sentences at its ends stay. Offsets of what goes are in characters of the original.
 
-No group is gathered anywhere: the least rank and the count of a digest are aggregated map-side first, and units meet
-their digest's row in a join; only documents' own repeats are put in order, in windows of one document each.
+No group is gathered anywhere: the least and the greatest rank of a digest are aggregated map-side first, and units meet
+their digest's row in a join that deals common digests out; only documents' own repeats are put in order, in windows of one document each.
 
 Defined cases: null text stays null; rows of the same id and text are one document and have the same result; an empty
 table gives an empty result; a column named removed_spans or removed_words is replaced.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from facetflow.llm.common import texts
+from facetflow.llm.common import fresh, materialize, spread, texts
 
 _UNIT = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 
@@ -64,10 +64,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = pdf[["id", "key"]].iloc[row].reset_index(drop=True)
             yield out.assign(**dict(zip(("n", "start", "end", "word", "word_end", "digest", "again"), cols))) if row else out.assign(n=0, start=0, end=0, word=0, word_end=0, digest=b"", again=False)
 
-    found = rows.mapInPandas(run, schema).withColumn("id", F.col("id").cast(kind))
+    # written once: the texts are cut into units a single time
+    found = materialize(rows.mapInPandas(run, schema).withColumn("id", F.col("id").cast(kind)), "units")
     rank = F.struct(F.col("id").isNull().alias("null"), "id", "key")
     firsts = found.where("not again").select("digest", rank.alias("rank")).groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first <> last or (first.null and last.null and first.key <> last.key)").select("digest", "first")
-    other = found.where("not again").join(firsts, "digest").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))))
+    # the unit of a common line may stand in a large share of all documents
+    own = found.where("not again")
+    other = spread(own, firsts, ["digest"], F.xxhash64("id", "key")).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))))
     columns = ["id", "key", "n", "start", "end", "word", "word_end"]
     repeats = other.select(columns).unionByName(found.where("again").select(columns)).distinct()
     run_of = F.col("n") - F.row_number().over(W.partitionBy("id", "key").orderBy("n"))
@@ -78,9 +81,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, least: int = LEAST) -> DataFrame:
     """``docs`` without the repeated passages, with removed_spans (start, end in the original) and removed_words."""
     spans = repeated_spans(docs, id_col, text_col, min_words, least).alias("s")
-    keyed = docs.drop("removed_spans", "removed_words").withColumn("__key", F.xxhash64(F.col(text_col)))
-    d = keyed.alias("d")
-    joined = d.join(spans, F.col(f"d.`{id_col}`").eqNullSafe(F.col("s.id")) & (F.col("d.__key") == F.col("s.key")), "left")
+    plain = docs.drop("removed_spans", "removed_words")
+    key = fresh("key", plain)
+    d = plain.withColumn(key, F.xxhash64(F.col(text_col))).alias("d")
+    joined = d.join(spans, F.col(f"d.`{id_col}`").eqNullSafe(F.col("s.id")) & (F.col(f"d.{key}") == F.col("s.key")), "left")
     text = F.col(f"d.`{text_col}`")
     none = F.array().cast("array<struct<start:int,end:int>>")
     begin = F.concat(F.array(F.lit(0)), F.transform("s.spans", lambda x: x["end"]))
@@ -88,5 +92,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     left = F.array_join(F.zip_with(begin, stop, lambda a, b: F.substring(text, a + 1, b - a)), "")
     new = F.when(F.col("s.spans").isNull(), text).otherwise(left)
     return joined.select(
-        *(new.alias(text_col) if c == text_col else F.col(f"d.`{c}`") for c in keyed.columns if c != "__key"), F.coalesce(F.col("s.spans"), none).alias("removed_spans"), F.coalesce(F.col("s.words"), F.lit(0)).cast("long").alias("removed_words")
+        *(new.alias(text_col) if c == text_col else F.col(f"d.`{c}`") for c in plain.columns), F.coalesce(F.col("s.spans"), none).alias("removed_spans"), F.coalesce(F.col("s.words"), F.lit(0)).cast("long").alias("removed_words")
     )

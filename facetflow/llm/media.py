@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetflow.llm.common import in_filter, repeat_filter, shared_path, texts
+from facetflow.llm.common import in_filter, materialize, repeat_filter, shared_path, spread, texts
 
 UNIT = 192
 RATE = 8000
@@ -212,9 +212,10 @@ def read_back(spark, path: str) -> DataFrame:
     once = rest.select("media_sha256", "digests", "ends", "is_shared", "inline").groupBy("media_sha256").agg(*(F.first(c).alias(c) for c in ("digests", "ends", "is_shared", "inline")))
     asked = F.transform(F.filter(F.sequence(F.lit(0), F.size("ends") - 1), lambda n: F.get("is_shared", n)), lambda n: F.struct(n.alias("n"), F.substring(F.col("digests"), n * 32 + 1, F.lit(32)).alias("digest")))
     wanted = once.select("media_sha256", F.explode(asked).alias("c")).select("media_sha256", "c.n", "c.digest")
-    fetched = wanted.join(chunks, "digest").groupBy("media_sha256").agg(F.collect_list(F.struct("n", "data")).alias("fetched"))
+    wanted = materialize(wanted, "wanted-chunks")  # digests and places only
+    fetched = spread(wanted, chunks, ["digest"], F.col("media_sha256")).groupBy("media_sha256").agg(F.collect_list(F.struct("n", "data")).alias("fetched"))
     made = once.join(fetched, "media_sha256").select("media_sha256", "ends", "is_shared", "inline", "fetched").mapInPandas(distinct, _READ)
-    back = rest.select("id", "n_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256")).join(made, "media_sha256")
+    back = spread(rest.select("id", "n_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256")), made, ["media_sha256"], F.col("id"))
     return own.mapInPandas(whole, kind).unionByName(back)
 
 

@@ -35,7 +35,7 @@ _MIX = np.uint32(0x9E3779B1)
 def shape(word: str) -> str:
     if word[:-1].isalpha():
         return "a" + word[-1]
-    return "".join(k for k, _ in groupby("a" if c.isalpha() else "0" if c.isdigit() else c for c in word))[:16]
+    return "".join(k for k, _ in groupby("a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
 
 
 def hashed(x: str) -> int:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from facetflow.llm.common import components, drop_shared, materialize, texts
+from facetflow.llm.common import components, drop_shared, fresh, materialize, spread, texts
 
 #: Groups up to this size are compared by shifted planes.
 SMALL = 24
@@ -285,9 +285,11 @@ def near_groups(docs: DataFrame, keys: list[str], text_col: str = "text", words:
             shared = single.groupBy(F.col(c).alias("n")).agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("n")
             edges = edges.unionByName(single.join(linked.union(shared).distinct(), F.col(c) == F.col("n"), "left_semi").select(F.col("fp").alias("a"), F.col(c).alias("b")))
     roots = components(edges)
-    labelled = single.groupBy("fp").agg(F.min("low").alias("low")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    labelled = materialize(single.groupBy("fp").agg(F.min("low").alias("low")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fingerprint-roots")
     lowest = labelled.groupBy("root").agg(F.min("low").alias("first"))
-    return made.join(labelled.join(lowest, "root").select("fp", "first"), "fp").select(*keys, "fp", "first")
+    # many fingerprints may have one root, and many rows one fingerprint
+    firsts = spread(labelled, lowest, ["root"], F.col("fp")).select("fp", "first")
+    return spread(made, firsts, ["fp"], F.xxhash64(*keys)).select(*keys, "fp", "first")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, agree: int = 4) -> DataFrame:
@@ -317,18 +319,18 @@ def band_keys(units: list[bytes]) -> list[int]:
 
 
 def signatures(plain: DataFrame, words: int, how_many: int) -> DataFrame:
-    """The columns __i and __k of ``plain``, a digest d of the words, the fingerprints of distinct shingles, and their band keys."""
+    """The columns i and k of ``plain`` (i, k, text), a digest d of the words, the fingerprints of distinct shingles, and their band keys."""
     names = ["fp", *(f"fp{k}" for k in range(1, how_many))]
 
     def run(batches):
-        for pdf, xs in texts(batches, "__text"):
+        for pdf, xs in texts(batches):
             fps = np.array([all_fingerprints(x, words, True, how_many) for x in xs], dtype=np.uint64).reshape(-1, how_many)
-            out = pdf[["__i", "__k"]].assign(d=[xxhash.xxh3_128_digest(b" ".join(x.encode().lower().split())) for x in xs])
+            out = pdf[["i", "k"]].assign(d=[xxhash.xxh3_128_digest(b" ".join(x.encode().lower().split())) for x in xs])
             yield out.assign(**{c: np.ascontiguousarray(fps[:, k]).view(np.int64) for k, c in enumerate(names)}, bands=[band_keys(list(set(shingles(x, words)))) for x in xs])
 
-    rows = plain.select(F.col("__i").cast("string").alias("__i"), "__k", "__text")
+    rows = plain.select(F.col("i").cast("string").alias("i"), "k", "text")
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("d", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in names), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return rows.mapInPandas(run, schema).withColumn("__i", F.col("__i").cast(plain.schema["__i"].dataType))
+    return rows.mapInPandas(run, schema).withColumn("i", F.col("i").cast(plain.schema["i"].dataType))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 6, agree: int = 3, how_many: int = 2) -> DataFrame:
@@ -342,13 +344,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that stays, and two that stay are no near copies if they share a bucket. Rows of the same id and text are one document:
     they stay or go together.
     """
-    keyed = docs.withColumn("__i", F.col(id_col)).withColumn("__k", F.xxhash64(F.col(text_col)))
-    plain = keyed.select("__i", "__k", F.col(text_col).cast("string").alias("__text"))
     names = ["fp", *(f"fp{k}" for k in range(1, how_many))]
-    made = signatures(plain, words, how_many)
-    low = F.min(F.struct(F.col("__i").isNull().alias("null"), "__i", "__k")).alias("low")
-    nodes = materialize(made.groupBy("d").agg(low, *(F.first(c).alias(c) for c in (*names, "bands"))), "near-nodes")
-    m = F.struct("low.null", "low.__i", "d").alias("m")
+    plain = docs.select(F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("k"), F.col(text_col).cast("string").alias("text"))
+    low = F.min(F.struct(F.col("i").isNull().alias("null"), "i", "k")).alias("low")
+    nodes = materialize(signatures(plain, words, how_many).groupBy("d").agg(low, *(F.first(c).alias(c) for c in (*names, "bands"))), "near-nodes")
+    m = F.struct("low.null", "low.i", "d").alias("m")
     own = F.array(*(F.struct(F.lit(-1 - k).alias("s"), F.col(c).alias("key")) for k, c in enumerate(names)))
     entry = nodes.select(F.explode(F.concat(own, F.transform("bands", lambda x, k: F.struct(k.alias("s"), x.alias("key"))))).alias("b"), m).select("b.s", "b.key", "m")
     # fingerprints that link have a bucket for the first nodes of both
@@ -357,17 +357,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = edges.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("fp")).join(holders.select(F.col("key").alias("fp"), "m"), "fp")
     entry = entry.unionByName(ends.select(F.lit(-1 - how_many).alias("s"), "key", "m").distinct())
 
-    def crowded(entries: DataFrame) -> DataFrame:
-        return entries.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("s", "key"))).where("n > 1").drop("n")
+    def crowded(entries: DataFrame, name: str) -> DataFrame:
+        """Entries of buckets with two nodes or more; a bucket may hold a large share of all."""
+        several = entries.groupBy("s", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "key")
+        return materialize(spread(entries, several, ["s", "key"], F.col("m.d"), "left_semi"), name)
 
-    now = materialize(crowded(entry), "near-buckets")
-    mine = nodes.join(now.select(F.col("m.d").alias("d")).distinct(), "d", "left_semi").select("d", F.col("low.__i").alias("i"), F.col("low.__k").alias("k"))
+    written = materialize(entry, "near-entries")
+    now = crowded(written, "near-buckets")
+    drop_shared(written)
+    mine = nodes.join(now.select(F.col("m.d").alias("d")).distinct(), "d", "left_semi").select("d", F.col("low.i").alias("i"), F.col("low.k").alias("k"))
     p, q = plain.alias("p"), mine.alias("q")
-    with_text = materialize(p.join(q, F.col("p.__i").eqNullSafe(F.col("q.i")) & (F.col("p.__k") == F.col("q.k"))).select("d", "__text").dropDuplicates(["d"]), "near-texts")
+    with_text = materialize(p.join(q, F.col("p.i").eqNullSafe(F.col("q.i")) & (F.col("p.k") == F.col("q.k"))).select("d", "text").dropDuplicates(["d"]), "near-texts")
 
     def verify(batches):
+        last, b = None, set()
         for pdf in batches:
-            same, last, b = np.zeros(len(pdf), dtype=bool), None, set()
+            same = np.zeros(len(pdf), dtype=bool)
             for n, (x, y) in enumerate(zip(pdf["text"], pdf["first_text"])):
                 if y != last:
                     last, b = y, set(shingles(y or "", words))
@@ -379,16 +384,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while not now.isEmpty():
         # compare with the first ``most`` of each bucket: one in the first round, which ends large groups
         front = materialize(now.withColumn("n", F.row_number().over(W.partitionBy("s", "key").orderBy("m"))).where(F.col("n") <= most).drop("n"), "near-front")
-        pairs = now.join(front.withColumnRenamed("m", "f"), ["s", "key"]).where("m > f").select(F.col("m.d").alias("d"), F.col("f.d").alias("fd")).distinct()
-        t, f = with_text.withColumnRenamed("__text", "text"), with_text.select(F.col("d").alias("fd"), F.col("__text").alias("first_text"))
-        found = materialize(pairs.join(t, "d").join(f, "fd").mapInPandas(verify, "d binary, fd binary"), "near-pairs")
+        pairs = materialize(spread(now, front.withColumnRenamed("m", "f"), ["s", "key"], F.col("m.d")).where("m > f").select(F.col("m.d").alias("d"), F.col("f.d").alias("fd")).distinct(), "near-candidates")
+        # a first node's text meets those of all nodes behind it, dealt out where they are many
+        t, f = with_text, with_text.select(F.col("d").alias("fd"), F.col("text").alias("first_text"))
+        found = materialize(spread(pairs.join(t, "d"), f, ["fd"], F.col("d"), counted=pairs).mapInPandas(verify, "d binary, fd binary"), "near-pairs")
         behind = now.join(front, ["s", "key", "m"], "left_anti").select(F.col("m.d").alias("d"))
         stays = materialize(front.select(F.col("m.d").alias("d")).distinct().join(behind.unionByName(found.select("d")).distinct(), "d", "left_anti"), "near-first")
-        gone = materialize(found.join(stays.select(F.col("d").alias("fd")), "fd", "left_semi").select("d").distinct(), "near-gone")
+        gone = materialize(spread(found, stays.select(F.col("d").alias("fd")), ["fd"], F.col("d"), "left_semi").select("d").distinct(), "near-gone")
         lost = gone if lost is None else lost.unionByName(gone)
-        before, now = now, materialize(crowded(now.join(stays.unionByName(gone), F.col("m.d") == F.col("d"), "left_anti")), "near-buckets")
-        drop_shared(before)
+        rest = materialize(now.join(stays.unionByName(gone), F.col("m.d") == F.col("d"), "left_anti"), "near-rest")
+        drop_shared(now, front, pairs, found)
+        now = crowded(rest, "near-buckets")
+        drop_shared(rest, stays)
         most = FRONT
     kept = nodes if lost is None else nodes.join(lost, "d", "left_anti")
-    k, g = keyed.alias("k"), kept.select(F.col("low.__i").alias("i"), F.col("low.__k").alias("k")).alias("g")
-    return k.join(g, F.col("k.__i").eqNullSafe(F.col("g.i")) & (F.col("k.__k") == F.col("g.k")), "left_semi").select(*docs.columns)
+    i, k = fresh("i", docs), fresh("k", docs)
+    g = kept.select(F.col("low.i").alias(i), F.col("low.k").alias(k)).alias("g")
+    rows = docs.withColumn(k, F.xxhash64(F.col(text_col))).alias("r")
+    return rows.join(g, F.col(f"r.`{id_col}`").eqNullSafe(F.col(f"g.{i}")) & (F.col(f"r.{k}") == F.col(f"g.{k}")), "left_semi").select(*(F.col(f"r.`{c}`") for c in docs.columns))

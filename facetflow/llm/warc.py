@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetflow.llm.common import in_filter, repeat_filter, shared_path
+from facetflow.llm.common import in_filter, materialize, repeat_filter, shared_path, spread
 
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 END = "\r\n\r\n"
@@ -71,8 +71,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     again = digests.withColumn("page_id", F.col("page_id").cast("string"))
     again = again.mapInPandas(may_repeat, again.schema).withColumn("page_id", F.col("page_id").cast("long"))
     # ids of pages with a repeated payload, and the id of the response; null ids last
+    again = materialize(again, "repeated-payloads")  # short: ids and digests of payloads that may repeat
     first = again.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    refers = again.join(first, "sha").where(F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))).select("page_id", "sha", F.col("first").alias("refers_to")).distinct()
+    refers = spread(again, first, ["sha"], F.col("page_id")).where(F.col("page_id").isNull() | (F.col("page_id") > F.col("first"))).select("page_id", "sha", F.col("first").alias("refers_to")).distinct()
 
     def lone(batches):
         for pdf in batches:
@@ -170,10 +171,11 @@ def round_trip(pages: DataFrame, path: str | None = None, smallest: int = 0, **c
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
     write_archives(pages, path, smallest=smallest, **columns)
-    records = read_archives(spark, path)
+    records = materialize(read_archives(spark, path), "warc-records")
     own = records.where("type = 'response'")
     bad = F.when(F.col("stated") != F.col("payload_digest"), F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))))
     out = own.select("page_id", "payload_bytes", F.coalesce(bad, F.col("payload_digest")).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
     source = own.select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("stated"))
-    again = records.where("type = 'revisit'").select("page_id", "type", "refers_to", "stated").alias("v").join(source.dropDuplicates(["refers_to", "stated"]).alias("s"), F.col("v.refers_to").eqNullSafe(F.col("s.refers_to")) & (F.col("v.stated") == F.col("s.stated")))
-    return out.unionByName(again.select("page_id", F.col("b").alias("payload_bytes"), F.col("v.stated").alias("payload_digest"), F.col("type").alias("record_type"), F.col("v.refers_to").alias("refers_to")))
+    # one response may have a large share of all revisits
+    again = spread(records.where("type = 'revisit' and refers_to is not null").select("page_id", "type", "refers_to", "stated"), source.dropDuplicates(["refers_to", "stated"]), ["refers_to", "stated"], F.col("page_id"))
+    return out.unionByName(again.select("page_id", F.col("b").alias("payload_bytes"), F.col("stated").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to"))
