@@ -4,10 +4,10 @@ Each source's documents stand in a fixed shuffled order and may be gone through
 time is the number of its source's words up to and with it, divided by the source's target; so at any time each source
 has given the same share of its target. All copies are taken in the order of that time, up to the total budget.
 
-Nothing is sorted in one piece. Running sums within a source are put together from sums of (source, bucket) groups, so a
-source with a third of all rows is dealt out over ``buckets`` groups. The cut is found from a histogram over time slots
-(a table of ``slots`` rows); only the one slot that holds the cut is put in order, and its last copy taken is a threshold
-that each row is held against.
+Nothing is sorted in one piece. Running sums within a source are put together from sums of (source, bucket) groups, whose
+number grows with the rows, so a source with a third of all rows is dealt out. The copies are range-sorted by finish time
+over all partitions; the sums of the ranges tell which of them holds the cut, and only that range's running sum is taken
+to find the first copy beyond the budget, a threshold that each row is held against.
 
 Defined cases: null text or text without words has size 0 and is never taken; null sources form one source, the last in
 order; repeated rows are documents of their own; an empty table gives an empty result; where all sizes are 0, all targets
@@ -56,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, buckets: int = 256, slots: int = 2048, whole_rows: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, per_bucket: int = 1 << 16, whole_rows: bool = False) -> DataFrame:
     """Rows (doc_id, size, source, source_size, target, taken), one per row of ``docs``.
 
     With ``whole_rows`` a struct ``kept`` holds all columns of the row.
@@ -64,13 +64,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     kept = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept")] if whole_rows else []
     also = ["kept"] if whole_rows else []
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key"), *kept)
-    base = materialize(base.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * buckets / 65536).cast("int")), "mix-sizes")
+    base = materialize(base, "mix-sizes")
+    rows = base.count()
+    buckets = max(64, -(-rows // per_bucket))
+    base = base.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
 
-    targets = source_targets(base, weights, cap)
+    targets = source_targets(base, weights, cap).alias("t")
     sums = base.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))).alias("s")
-    targets = targets.alias("t")
     offsets = sums.join(targets, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "bucket", "before", "source_size", "target").alias("o")
     within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     queue = base.withColumn("run", F.sum("size").over(within)).alias("b").join(offsets, F.col("b.source").eqNullSafe(F.col("o.source")) & (F.col("b.bucket") == F.col("o.bucket")))
@@ -79,22 +81,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     def finish(r: Column | int) -> Column:
         return (F.col("source_size") * r + F.col("cum")) / F.col("target")
 
-    copies = queue.where("size > 0 and target > 0").select("size", "key", "doc_id", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))).alias("r"), "source_size", "cum", "target")
-    copies = copies.select("size", "key", "doc_id", "r", finish(F.col("r")).alias("finish"))
-    copies = copies.withColumn("slot", F.floor(F.col("finish") / (F.col("finish") + 1) * slots))
     order = ["finish", "key", "doc_id", "r"]
+    copies = queue.where("size > 0 and target > 0").select("size", "key", "doc_id", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))).alias("r"), "source_size", "cum", "target")
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cap * rows >> 20))
+    # written with the number of its range: bounds come from a sample and are drawn once
+    copies = materialize(copies.select("size", "key", "doc_id", "r", finish(F.col("r")).alias("finish")).repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "mix-copies")
     budget = queue.agg(F.sum("size").cast("double").alias("budget"))
-    histogram = copies.groupBy("slot").agg(F.sum("size").alias("sum")).withColumn("to", F.sum("sum").over(W.orderBy("slot")))
-    # the first slot that goes beyond the budget holds the cut; with none, all is taken
-    cut_slot = histogram.join(F.broadcast(budget)).where("to > budget").agg(F.min_by(F.struct("slot", (F.col("to") - F.col("sum")).alias("before"), "budget"), "slot").alias("c")).select("c.*").where("slot is not null").withColumnRenamed("slot", "cut_slot")
-    inside = copies.join(F.broadcast(cut_slot), F.col("slot") == F.col("cut_slot")).withColumn("to", F.col("before") + F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
-    threshold = inside.agg(F.max("cut_slot").alias("cut_slot"), F.max(F.when(F.col("to") <= F.col("budget"), F.struct(*order))).alias("last"))
+    by_range = copies.groupBy("range").agg(F.sum("size").alias("sum")).withColumn("to", F.sum("sum").over(W.orderBy("range")))
+    # the first range that goes beyond the budget holds the cut; with none, all is taken
+    cut = by_range.join(F.broadcast(budget)).where("to > budget").agg(F.min_by(F.struct("range", (F.col("to") - F.col("sum")).alias("before"), "budget"), "range").alias("c")).where("c is not null").select(F.col("c.range").alias("cut"), "c.before", "c.budget")
+    inside = copies.join(F.broadcast(cut), F.col("range") == F.col("cut")).withColumn("to", F.col("before") + F.sum("size").over(W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    threshold = inside.where(F.col("to") > F.col("budget")).agg(F.min(F.struct(*order)).alias("stop"))
 
     def taken(r: int) -> Column:
-        f = finish(r)
-        slot = F.floor(f / (f + 1) * slots)
-        here = F.struct(f.alias("finish"), F.col("key"), F.col("doc_id"), F.lit(r).alias("r"))
-        return F.when(F.col("cut_slot").isNull() | (slot < F.col("cut_slot")) | ((slot == F.col("cut_slot")) & (here <= F.col("last"))), F.col("size")).otherwise(F.lit(0))
+        here = F.struct(finish(r).alias("finish"), F.col("key"), F.col("doc_id"), F.lit(r).alias("r"))
+        return F.when(F.col("stop").isNull() | (here < F.col("stop")), F.col("size")).otherwise(F.lit(0))
 
     whole = F.when((F.col("size") > 0) & (F.col("target") > 0), sum((taken(r) for r in range(1, cap)), taken(0))).otherwise(F.lit(0)).cast("long")
     return queue.join(F.broadcast(threshold)).select("doc_id", "size", "source", "source_size", "target", whole.alias("taken"), *also)
