@@ -1,11 +1,12 @@
 """Toxicity by weak supervision.
 
-Voters. Each says whether a text holds one of its terms: fixed lexicons, two marks patterns, and lexicons induced from the
-labelled rows of the sample (whole words, and word beginnings as patterns), dealt out over several voters.
+Voters. Each has a name and says whether a text holds one of its terms: fixed lexicons by kind of abuse, patterns (shouting, marks,
+masked words, abuse aimed at the reader, phrases), and lexicons induced from the labelled rows of the sample, of whole words and of
+word beginnings, each parted by how many of the rows that hold a term are toxic: so a voter's terms are alike in accuracy.
 Label model. The votes of all documents that may be learned from are counted by pattern (at most 2 ** voters rows, whatever
 the input holds). Expectation maximisation, anchored by the patterns of all labelled rows, estimates how often each voter fires in
-either class; voters that stay correlated within a class are joined to one factor with a table of its own, and the model is
-estimated again. It gives each pattern a posterior probability.
+either class; voters that stay correlated within a class are joined to one factor with a table of its own (of at most
+``FACTOR`` voters, a size of the model), and the model is estimated again. It gives each pattern a posterior probability.
 Classifier. A linear model on indicators of words and word beginnings is trained on the posteriors of a bounded
 sample of documents (``sample``; those with labels first, one text of each id), and calibrated on those of them that have labels. It scores every whole text.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -31,16 +33,27 @@ from facetflow.llm.quality import calibrate
 
 SAMPLE = 16_000
 
-#: Lexicons of insults, contempt and threats.
+#: Lexicons by kind of abuse.
 LEXICONS = {
     "persons": "idiot moron loser clown fool jerk imbecile creep bigot bastard",
     "contempt": "stupid pathetic worthless dumb useless ridiculous hopeless inferior",
     "disgust": "disgusting scum trash filth vermin garbage vile repulsive",
     "threat": "kill murder hang shoot destroy hate",
+    "dehumanising": "rats pigs cockroaches parasites subhuman savages swine animals",
+    "exclusion": "deport expel banish invaders unwelcome outsiders",
+    "shaming": "coward liar traitor disgrace shame ashamed embarrassment",
+    "profanity": "damn crap bloody freaking bullshit hell",
 }
+#: Phrases of abuse.
+PHRASES = ("shut up", "go to hell", "drop dead", "get lost", "nobody likes you", "nobody wants you", "i hope you", "people like you")
 #: Characters stripped from words' ends.
 MARKS = ".,!?:;\"'()[]{}<>*%&$#|"
-WORD_VOTERS, START_VOTERS, STARTS = 4, 4, (4, 5)
+PATTERNS = ("marks", "shouting", "masked", "aimed", "phrases")
+#: Induced terms part at these shares of toxic rows among those that hold them.
+TIERS = (0.95, 0.8, 0.0)
+STARTS, FACTOR = (4, 5), 4
+_MASKED = re.compile(r"[A-Za-z][*#@$]+[A-Za-z]")
+_AIMED = re.compile(r"\b(?:you|you're|your|u)\b(?:\W+\w+){0,3}?\W+(?:" + "|".join((LEXICONS["persons"] + " " + LEXICONS["contempt"] + " " + LEXICONS["disgust"]).split()) + r")\b", re.I)
 
 
 def terms(text: str) -> tuple[set[str], set[str]]:
@@ -51,8 +64,8 @@ def terms(text: str) -> tuple[set[str], set[str]]:
     return words, starts
 
 
-def telling(rows: list[tuple], hot: np.ndarray, kind: int, most: int) -> list[str]:
-    """Terms (0: words, 1: beginnings) that come with ``hot`` rows beyond chance, the most telling first.
+def telling(rows: list[tuple], hot: np.ndarray, kind: int) -> list[tuple[str, float]]:
+    """Terms (0: words, 1: beginnings) that come with ``hot`` rows beyond chance, the most telling first, with the share of hot rows.
 
     A term's n rows, a share p of them hot, are beyond chance if n times the divergence of p from the share of hot rows
     exceeds the log of the number of terms by 4. Rows that hold nearly the same words count once: near copies are no
@@ -83,36 +96,47 @@ def telling(rows: list[tuple], hot: np.ndarray, kind: int, most: int) -> list[st
             continue
         gain = n * (p * math.log(p / base) + (0 if p == 1 else (1 - p) * math.log((1 - p) / (1 - base))))
         if gain > bar:
-            out.append((-gain, t))
-    return [t for _, t in sorted(out)[:most]]
+            out.append((-gain, t, p))
+    return [(t, p) for _, t, p in sorted(out)]
 
 
 class Voters:
-    """Bit j of a text's votes is voter j's."""
+    """Bit j of a text's votes is that of voter ``names[j]``."""
 
-    def __init__(self, words: list[str], starts: list[str]):
+    def __init__(self, words: list[tuple[str, float]], starts: list[tuple[str, float]]):
+        self.names = [*LEXICONS, *PATTERNS, *(f"{kind}>={t}" for kind in ("words", "beginnings") for t in TIERS)]
+        place = {name: 1 << j for j, name in enumerate(self.names)}
+        self.bit = [place[x] for x in PATTERNS]
         self.words: dict[str, int] = {}
         self.starts: dict[str, int] = {}
-        self.n = len(LEXICONS) + WORD_VOTERS + START_VOTERS + 2
-        for j, terms_of in enumerate(LEXICONS.values()):
-            for t in terms_of.split():
-                self.words[t] = self.words.get(t, 0) | 1 << j
-        for kind, table, at, voters in ((words, self.words, len(LEXICONS), WORD_VOTERS), (starts, self.starts, len(LEXICONS) + WORD_VOTERS, START_VOTERS)):
-            for t in kind:
-                table[t] = table.get(t, 0) | 1 << at + xxhash.xxh32_intdigest(t) % voters
+        for name, of in LEXICONS.items():
+            for t in of.split():
+                self.words[t] = self.words.get(t, 0) | place[name]
+        for kind, found, table in (("words", words, self.words), ("beginnings", starts, self.starts)):
+            for t, p in found:
+                table[t] = table.get(t, 0) | place[f"{kind}>={next(x for x in TIERS if p >= x)}"]
+        self.n = len(self.names)
 
     def votes(self, text: str) -> int:
         words, starts = terms(text)
+        marks, shouting, masked, aimed, phrases = self.bit
         out = 0
         for t in self.words.keys() & words:
             out |= self.words[t]
         for t in self.starts.keys() & starts:
             out |= self.starts[t]
         if "!!" in text or "?!" in text:
-            out |= 1 << self.n - 2
+            out |= marks
         capitals = sum(map(str.isupper, text))
         if capitals > 20 and capitals > 0.3 * len(text):
-            out |= 1 << self.n - 1
+            out |= shouting
+        if _MASKED.search(text):
+            out |= masked
+        if out & 7 and _AIMED.search(text):  # one of the first three lexicons has voted
+            out |= aimed
+        low = text.lower()
+        if any(x in low for x in PHRASES):
+            out |= phrases
         return out
 
 
@@ -148,7 +172,7 @@ def label_model(patterns: dict[int, float], known: dict[tuple[int, int], float],
         return new, weight
 
     post, weight = estimate([[j] for j in range(voters)], post)
-    # correlations that the classes leave: join those voters, three to a factor at most
+    # correlations that the classes leave: join those voters to factors, the strongest first
     groups = [[j] for j in range(voters)]
     pairs = []
     for w in weight:
@@ -160,28 +184,28 @@ def label_model(patterns: dict[int, float], known: dict[tuple[int, int], float],
         pairs += [(-abs(corr[i, j]), i, j) for i in range(voters) for j in range(i) if abs(corr[i, j]) > tie]
     for _, i, j in sorted(pairs):
         a, b = (next(g for g in groups if v in g) for v in (i, j))
-        if a is not b and len(a) + len(b) <= 3:
+        if a is not b and len(a) + len(b) <= FACTOR:
             groups.remove(b)
             a += b
     post, _ = estimate(groups, post)
     return dict(zip(keys, post.tolist()))
 
 
-def train(rows: list[tuple], post: np.ndarray, labels: np.ndarray, most: int = 2000, rounds: int = 150) -> dict:
+def train(rows: list[tuple], post: np.ndarray, labels: np.ndarray, rounds: int = 150) -> dict:
     """A linear model on indicators: weights of words and of beginnings, bias, slope, offset. labels: -1 where unknown."""
     n1, n0 = max(1, int((post > 0.5).sum())), max(1, int((post <= 0.5).sum()))
-    chosen = [(k, t) for k in (0, 1) for t in telling(rows, post > 0.5, k, most)]
+    chosen = [(k, t) for k in (0, 1) for t, _ in telling(rows, post > 0.5, k)]
     place = [{}, {}]
     for i, (k, t) in enumerate(chosen):
         place[k][t] = i
     sets = [np.array(sorted(place[k][t] for k in (0, 1) for t in place[k].keys() & r[k]), dtype=np.int64) for r in rows]
-    # rows with the same indicators are one row with a weight
+    # rows with the same indicators are one row, with the square root of their number as its weight
     same: dict[bytes, list] = {}
     for x, p in zip(sets, post):
         g = same.setdefault(x.tobytes(), [x, 0.0, 0.0])
         g[1] += 1
         g[2] += p
-    cases = [(x, min(n, 20.0), p / n) for x, n, p in same.values()]
+    cases = [(x, math.sqrt(n), p / n) for x, n, p in same.values()]
     w, b, g2, gb = np.zeros(len(chosen)), math.log(n1 / n0), np.full(len(chosen), 1e-6), 1e-6
     rng = np.random.default_rng(3)
     for _ in range(rounds):  # logistic loss on soft labels, adaptive steps, a little shrinkage
@@ -234,7 +258,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label_col:
     def lexicons(pdf: pd.DataFrame):
         with_label = pdf[pdf["label"] >= 0]
         found, y = parts(with_label)
-        words, starts = (telling(found, y == 1, k, 600) for k in (0, 1))
+        words, starts = (telling(found, y == 1, k) for k in (0, 1))
         return {"words": words, "starts": starts}
 
     got = one_task(lexicons) or {"words": [], "starts": []}
