@@ -77,6 +77,12 @@ def cotan(at: Column, b: Column, c: Column) -> Column:
     return F.coalesce(F.try_divide(dot(u, v), norm(cross(u, v))), F.lit(0.0))
 
 
+def cotan_unguarded(at: Column, b: Column, c: Column) -> Column:
+    """Cotangent of the angle at ``at``; null, not 0, where the triangle has no area."""
+    u, v = minus(b, at), minus(c, at)
+    return F.try_divide(dot(u, v), norm(cross(u, v)))
+
+
 def area_from_lengths(a, b, c) -> Column:
     """Heron's formula; 0 where the lengths make no triangle."""
     a, b, c = map(_col, (a, b, c))
@@ -140,6 +146,58 @@ def surface_point_kind(l0, l1, l2, eps: float = 1e-12) -> Column:
     return F.when(F.greatest(*ls) >= 1 - eps, "vertex").when(F.least(*ls) <= eps, "edge").otherwise("face")
 
 
+def surface_point(l0, l1, l2, eps: float = 1e-12) -> Column:
+    """A face point as (kind, k, t): vertex of corner k, edge that leaves corner k at share t of the way, or face (nulls).
+
+    Weights that do not add up to 1 are divided by their sum, then held to [0, 1]; edges are tried from corner 0, 2 and 1.
+    """
+    ls = [_col(x) for x in (l0, l1, l2)]
+    total = ls[0] + ls[1] + ls[2]
+    off = (F.abs(total - 1) > eps) & (total > eps)
+    x, y, z = (F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(off, F.try_divide(v, total)).otherwise(v))) for v in ls)
+    made = lambda kind, k, t: F.struct(F.lit(kind).alias("kind"), F.lit(k).cast("int").alias("k"), t.cast("double").alias("t"))
+    none = F.lit(None)
+    out = F.when(x >= 1 - eps, made("vertex", 0, none)).when(y >= 1 - eps, made("vertex", 1, none)).when(z >= 1 - eps, made("vertex", 2, none))
+    return out.when(z <= eps, made("edge", 0, y)).when(y <= eps, made("edge", 2, x)).when(x <= eps, made("edge", 1, z)).otherwise(made("face", None, none))
+
+
+def spline_at(knots, t) -> Column:
+    """A periodic spline at angle t: knots are an array of (t, p), rising in t; tangents are half the way between neighbours.
+
+    0 without a knot, the value of a single knot everywhere.
+    """
+    k, t = _col(knots), _col(t)
+    n = F.size(k)
+    after = F.coalesce(F.nullif(F.array_position(F.transform(k, lambda x: x["t"] > t), True), F.lit(0)) - 1, F.lit(0)).cast("int")
+    at = [F.get(k, F.pmod(after + d, n).cast("int")) for d in (-2, -1, 0, 1)]
+    p0, p1, p2, p3 = (x["p"] for x in at)
+    m1, m2 = 0.5 * (p2 - p0), 0.5 * (p3 - p1)
+    turn = lambda a: F.atan2(F.sin(a), F.cos(a))
+    s = F.try_divide(turn(t - at[1]["t"]), turn(at[2]["t"] - at[1]["t"]))
+    s2, s3 = s * s, s * s * s
+    curve = (2 * s3 - 3 * s2 + 1) * p1 + (s3 - 2 * s2 + s) * m1 + (3 * s2 - 2 * s3) * p2 + (s3 - s2) * m2
+    return F.when(n == 0, F.lit(0.0)).when(n == 1, F.get(k, F.lit(0))["p"]).otherwise(curve)
+
+
+def with_knot(knots, t, p) -> Column:
+    """The knots with one at t of value p, in place of one that is there."""
+    k, t = _col(knots), _col(t)
+    return F.array_sort(F.concat(F.filter(k, lambda x: x["t"] != t), F.array(F.struct(t.cast("double").alias("t"), _col(p).cast("double").alias("p")))))
+
+
+def without_knot(knots, t, tolerance: float = 1e-3) -> Column:
+    """The knots without the one nearest to t, if it is nearer than ``tolerance`` and no other is as near."""
+    k, t = _col(knots), _col(t)
+    d = F.transform(k, lambda x: F.abs(x["t"] - t))
+    least = F.array_min(d)
+    lone = (least < tolerance) & (F.size(F.filter(d, lambda x: x == least)) == 1)
+    return F.when(lone, F.filter(k, lambda x: F.abs(x["t"] - t) != least)).otherwise(k)
+
+
+def reset_knots(knots) -> Column:
+    return F.transform(_col(knots), lambda x: F.struct(x["t"].alias("t"), F.lit(0.0).alias("p")))
+
+
 def catmull_rom(p0, p1, p2, p3, t) -> Column:
     """The point at t in [0, 1] between p1 and p2 of a Catmull-Rom spline."""
     p0, p1, p2, p3, t = map(_col, (p0, p1, p2, p3, t))

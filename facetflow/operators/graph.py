@@ -51,16 +51,17 @@ def bfs_levels(edges: DataFrame, roots: DataFrame, max_rounds: int = 10_000, cut
     raise RuntimeError(f"bfs_levels: no end after {max_rounds} rounds")
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000, cut_every: int = 4) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, within: float | None = None, max_rounds: int = 10_000, cut_every: int = 4) -> DataFrame:
     """(mesh_id, node, distance) along edges (mesh_id, a, b, length) from any of the sources (mesh_id, node).
 
-    Only nodes whose distance became less are relaxed in the next round.
+    Only nodes whose distance became less are relaxed in the next round. Nodes farther than ``within`` have no row.
     """
     both = cut(edges.select("mesh_id", "length", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("s")).select("mesh_id", "s.node", "s.other", "length"))
     whole = best = active = cut(sources.select("mesh_id", "node", F.lit(0.0).alias("distance")).distinct())
     found = []
     for _ in range(max_rounds):
         offer = active.join(both, ["mesh_id", "node"]).groupBy("mesh_id", F.col("other").alias("node")).agg(F.min(F.col("distance") + F.col("length")).alias("offer"))
+        offer = offer if within is None else offer.where(F.col("offer") <= within)
         less = offer.join(best, ["mesh_id", "node"], "left").where(F.col("distance").isNull() | (F.col("offer") < F.col("distance") - 1e-12))
         active = cut(less.select("mesh_id", "node", F.col("offer").alias("distance")))
         if not active.limit(1).count():
@@ -87,6 +88,35 @@ def bfs_tree(edges: DataFrame) -> DataFrame:
     return level.join(up, ["mesh_id", "node"], "left").select("mesh_id", "node", "level", F.col("up.other").alias("parent"), F.col("up.e").alias("e"))
 
 
+def shortest_tree(edges: DataFrame, distance: DataFrame) -> DataFrame:
+    """(mesh_id, node, parent, e): for each node of ``distance`` (mesh_id, node, distance) a neighbour on a shortest way to its source.
+
+    edges: (mesh_id, a, b, length). Of several it is the nearest to the source, then the least; an edge of length 0 leads to
+    a parent only where no other does. e is the node itself. Sources have no parent.
+    """
+    both = edges.select("mesh_id", "length", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("s")).select("mesh_id", "s.node", "s.other", "length")
+    near = distance.select("mesh_id", F.col("node").alias("other"), F.col("distance").alias("before"))
+    fits = (F.col("before") + F.col("length") <= F.col("distance") + 1e-12) & ((F.col("before") < F.col("distance") - 1e-15) | ((F.col("length") == 0) & (F.col("distance") > 0)))
+    step = both.join(distance, ["mesh_id", "node"]).join(near, ["mesh_id", "other"]).where(fits)
+    # where only edges of length 0 lead to a node it hangs on one that is reached otherwise, or on one that hangs on such a one
+    firm = step.where("length > 0").select("mesh_id", F.col("node").alias("other"), F.lit(1).alias("firm")).distinct()
+    by = step.join(firm, ["mesh_id", "other"], "left").groupBy("mesh_id", "node").agg(F.min(F.struct((F.col("length") == 0).alias("flat"), F.col("firm").isNull().alias("loose"), "before", "other")).alias("up"))
+    return distance.join(by, ["mesh_id", "node"], "left").select("mesh_id", "node", F.when(F.col("distance") > 0, F.col("up.other")).alias("parent"), F.col("node").alias("e"))
+
+
+def sums_to_root(steps: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(mesh_id, generator, node, value): the sum of val over the steps (mesh_id, generator, node, parent, val) from node to the root."""
+    now = cut(steps.select("mesh_id", "generator", "node", F.col("parent").alias("to"), F.col("val").alias("value")))
+    for _ in range(max_rounds):
+        ahead = now.select("mesh_id", "generator", F.col("node").alias("to"), F.col("to").alias("far"), F.col("value").alias("more"))
+        new = cut(now.join(ahead, ["mesh_id", "generator", "to"], "left").select("mesh_id", "generator", "node", F.col("far").alias("to"), (F.col("value") + F.coalesce("more", F.lit(0.0))).alias("value")))
+        drop_shared(now)
+        now = new
+        if not now.where("to is not null").limit(1).count():
+            return now.select("mesh_id", "generator", "node", "value")
+    raise RuntimeError(f"sums_to_root: no end after {max_rounds} rounds")
+
+
 def root_paths(tree: DataFrame, starts: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(mesh_id, start, node, e): the nodes on the way from each start (mesh_id, start) to the root, with the edge up from each.
 

@@ -1,4 +1,4 @@
-"""Point location as joins: in a triangulated plane by grid cells, on a sphere by the best of all faces."""
+"""Point location as joins: in a triangulated plane by grid cells, on a sphere by cells of direction."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.functions import geometry as g
+from facetflow.operators.topology import Mesh, edges, halfedges, paired
+from facetflow.shared import materialize
 
 PLANAR_TOLERANCE = 1e-12
 SPHERE_TOLERANCE = 1e-8
@@ -17,14 +19,18 @@ def planar(points: DataFrame, triangles: DataFrame, cells: int | None = None) ->
     A triangle goes to the grid cells that its bounding box touches, a point to its own; they meet in an equi-join and the
     exact weights decide. Of several faces (shared edges) the lowest counts. Points outside have no row.
     """
-    if cells is None:
-        cells = max(1, int(triangles.count() ** 0.5))
+    box = [(F.least(*(F.col(p)[c] for p in ("ua", "ub", "uc"))), F.greatest(*(F.col(p)[c] for p in ("ua", "ub", "uc")))) for c in "xy"]
+    if cells is None:  # a cell is as wide and as high as the mean triangle's box
+        mean = triangles.agg(*(F.avg(hi - lo).alias(n) for (lo, hi), n in zip(box, "uw"))).first()
+        many = [max(1, min(1 << 20, int(1 / mean[n]))) if mean[n] else 1 for n in "uw"]
+    else:
+        many = [cells, cells]
     pad = 1e-9
-    cell = lambda x: F.floor(x * cells)
-    box = [(F.least(*(F.col(p)[c] for p in ("ua", "ub", "uc"))) - pad, F.greatest(*(F.col(p)[c] for p in ("ua", "ub", "uc"))) + pad) for c in "xy"]
-    spread = triangles.select("mesh_id", "f", "ua", "ub", "uc", F.explode(F.sequence(cell(box[0][0]), cell(box[0][1]))).alias("i"), *(x.alias(n) for x, n in zip((cell(box[1][0]), cell(box[1][1])), ("j0", "j1"))))
+    cell = lambda x, n: F.floor(x * n)
+    u0, u1, w0, w1 = (cell(x, n) for (lo, hi), n in zip(box, many) for x in (lo - pad, hi + pad))
+    spread = triangles.select("mesh_id", "f", "ua", "ub", "uc", F.explode(F.sequence(u0, u1)).alias("i"), w0.alias("j0"), w1.alias("j1"))
     spread = spread.select("mesh_id", "f", "ua", "ub", "uc", "i", F.explode(F.sequence("j0", "j1")).alias("j"))
-    asked = points.select("point_id", "mesh_id", "u", "w", cell(F.col("u")).alias("i"), cell(F.col("w")).alias("j"))
+    asked = points.select("point_id", "mesh_id", "u", "w", cell(F.col("u"), many[0]).alias("i"), cell(F.col("w"), many[1]).alias("j"))
     hits = asked.join(spread, ["mesh_id", "i", "j"]).select("point_id", "mesh_id", "f", g.planar_barycentric("u", "w", F.col("ua"), F.col("ub"), F.col("uc")).alias("l")).where(F.array_min("l") >= -PLANAR_TOLERANCE)
     hits = hits.select("point_id", "mesh_id", "f", *(F.get("l", F.lit(k)).alias(f"l{k}") for k in range(3)))
     return hits.groupBy("point_id", "mesh_id").agg(F.min(F.struct("f", "l0", "l1", "l2")).alias("s")).select("point_id", "mesh_id", "s.*")
@@ -34,19 +40,89 @@ def sphere(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """(point_id, mesh_id, f, l0, l1, l2) for directions (point_id, mesh_id, x, y, z) on meshes of triangles (pa, pb, pc).
 
     The ray from the centre hits the face whose least raw weight is greatest, the lowest face on ties; weights are clamped
-    to 0 and add up to 1. Points of no length have no row.
+    to 0 and add up to 1. A face goes to the cells of space that its directions touch, a point to its direction's cell; only
+    points that no face of their cell holds (within SPHERE_TOLERANCE) meet all faces of their mesh. One that no face looks
+    towards has the face of the nearest centroid, with equal weights. Points of no length have no row.
     """
+    corners = ("pa", "pb", "pc")
     p = g.point("x", "y", "z")
-    n = g.face_normal(F.col("pa"), F.col("pb"), F.col("pc"))
-    ray = F.try_divide(g.dot(n, F.col("pa")), g.dot(n, F.col("p")))
-    aimed = points.select("point_id", "mesh_id", p.alias("p")).where(g.norm(F.col("p")) > 1e-15)
-    pairs = aimed.join(triangles.select("mesh_id", "f", "pa", "pb", "pc"), "mesh_id").withColumn("ray", ray).where("ray > 0")
-    hit = g.scaled(F.col("p"), F.col("ray"))
-    raw = pairs.select("point_id", "mesh_id", "f", *(x.alias(f"r{k}") for k, x in enumerate(g.barycentric(hit, F.col("pa"), F.col("pb"), F.col("pc")))))
-    best = raw.withColumn("least", F.round(F.least("r0", "r1", "r2"), 12)).groupBy("point_id", "mesh_id").agg(F.min(F.struct((-F.col("least")).alias("m"), "f", "r0", "r1", "r2")).alias("s")).select("point_id", "mesh_id", "s.*")
+    aimed = points.select("point_id", "mesh_id", g.unit(p).alias("p")).where(g.norm(p) > 1e-15)
+    u = [g.unit(F.col(c)) for c in corners]
+    normal = g.face_normal(*(F.col(f"u{c}") for c in corners))
+    # a direction in the face differs from a point of the flat face on the unit sphere by 1 less the plane's distance at most
+    sunk = 1 - F.coalesce(F.abs(F.try_divide(g.dot(normal, F.col("upa")), g.norm(normal))), F.lit(0.0))
+    box = triangles.select("mesh_id", "f", *corners, *(x.alias(f"u{c}") for x, c in zip(u, corners))).withColumn("pad", sunk + 1e-9)
+    low, high = ([f(*(F.col(f"u{c}")[k] for c in corners)) for k in "xyz"] for f in (F.least, F.greatest))
+    mean = box.agg(F.avg(F.greatest(*(h - w for w, h in zip(low, high))) + 2 * F.col("pad")).alias("wide")).first()["wide"]
+    n = max(1, min(1 << 10, int(2 / mean))) if mean else 1
+    cell = lambda x: F.floor((x + 1) * (n / 2.0))
+    within = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
+    spans = [F.sequence(cell(within(w - F.col("pad"))), cell(within(h + F.col("pad")))) for w, h in zip(low, high)]
+    placed = box.select("mesh_id", "f", *corners, F.explode(spans[0]).alias("i"), spans[1].alias("js"), spans[2].alias("ks"))
+    placed = placed.select("mesh_id", "f", *corners, "i", F.explode("js").alias("j"), "ks").select("mesh_id", "f", *corners, "i", "j", F.explode("ks").alias("k"))
+    own = aimed.select("point_id", "mesh_id", "p", *(cell(F.col("p")[c]).alias(name) for c, name in zip("xyz", "ijk")))
+
+    def weighed(pairs: DataFrame) -> DataFrame:
+        n = g.face_normal(*(F.col(c) for c in corners))
+        ray = F.try_divide(g.dot(n, F.col("pa")), g.dot(n, F.col("p")))
+        hit = g.scaled(F.col("p"), F.col("ray"))
+        pairs = pairs.withColumn("ray", ray).where("ray > 0")
+        raw = pairs.select("point_id", "mesh_id", "f", *(x.alias(f"r{k}") for k, x in enumerate(g.barycentric(hit, *(F.col(c) for c in corners)))))
+        return raw.withColumn("least", F.round(F.least("r0", "r1", "r2"), 12))
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("point_id", "mesh_id").agg(F.min(F.struct((-F.col("least")).alias("m"), "f", "r0", "r1", "r2")).alias("s")).select("point_id", "mesh_id", "s.f", "s.r0", "s.r1", "s.r2")
+
+    near = best(weighed(own.join(placed, ["mesh_id", "i", "j", "k"])).where(F.col("least") >= -SPHERE_TOLERANCE))
+    missed = aimed.join(near, ["point_id", "mesh_id"], "left_anti")
+    faces = triangles.select("mesh_id", "f", *corners)
+    wide = best(weighed(missed.join(faces, "mesh_id")))
+    lost = missed.join(wide, ["point_id", "mesh_id"], "left_anti").join(faces, "mesh_id")
+    gap = g.length(F.col("p"), g.centroid(*(F.col(c) for c in corners)))
+    third = F.lit(1.0 / 3)
+    last = lost.groupBy("point_id", "mesh_id").agg(F.min_by("f", F.struct(F.round(gap, 12), "f")).alias("f")).select("point_id", "mesh_id", "f", *(third.alias(f"r{k}") for k in range(3)))
     held = [F.greatest(F.col(f"r{k}"), F.lit(0.0)) for k in range(3)]
     total = held[0] + held[1] + held[2]
-    return best.select("point_id", "mesh_id", "f", *((h / total).alias(f"l{k}") for k, h in enumerate(held)))
+    return near.unionByName(wide).unionByName(last).select("point_id", "mesh_id", "f", *((h / total).alias(f"l{k}") for k, h in enumerate(held)))
+
+
+def surface_points(points: DataFrame, mesh: Mesh) -> DataFrame:
+    """(point_id, mesh_id, kind, id, t): face points (point_id, mesh_id, f, l0, l1, l2) as a vertex v, an edge e at t, or a face f.
+
+    t is the share of the way along the edge's first halfedge.
+    """
+    half = halfedges(mesh.faces)
+    edge = edges(half)
+    way = paired(half, edge).join(edge.select("mesh_id", "e", F.col("h").alias("first")), ["mesh_id", "e"]).select("mesh_id", "f", "k", "tail", "e", (F.col("h") == F.col("first")).alias("forward"))
+    made = points.select("point_id", "mesh_id", "f", g.surface_point("l0", "l1", "l2").alias("s")).select("point_id", "mesh_id", "f", "s.*")
+    on = made.join(way, ["mesh_id", "f", "k"], "left")
+    ident = F.when(F.col("kind") == "vertex", F.col("tail")).when(F.col("kind") == "edge", F.col("e")).otherwise(F.col("f"))
+    return on.select("point_id", "mesh_id", "kind", ident.alias("id"), F.when(F.col("forward"), F.col("t")).otherwise(1 - F.col("t")).alias("t"))
+
+
+def straight(pairs: DataFrame, mesh: Mesh) -> DataFrame:
+    """Pairs (pair_id, mesh_id, f1, a0, a1, a2, f2, b0, b1, b2) whose shortest way is one segment without any search, as (pair_id, mesh_id, reason).
+
+    face: both in one face. edge: both on one edge. beside: one inside a face and the other on an edge of it.
+    """
+    ends = {}
+    for n, f, c in ((1, "f1", "a"), (2, "f2", "b")):
+        rows = pairs.select(F.col("pair_id").alias("point_id"), "mesh_id", F.col(f).alias("f"), *(F.col(f"{c}{k}").alias(f"l{k}") for k in range(3)))
+        ends[n] = surface_points(rows, mesh).select(F.col("point_id").alias("pair_id"), "mesh_id", F.col("kind").alias(f"kind{n}"), F.col("id").alias(f"id{n}"))
+    half = halfedges(mesh.faces)
+    sides = paired(half, edges(half)).groupBy("mesh_id", "e").agg(F.collect_set("f").alias("beside"))  # the two faces of an edge
+    both = pairs.select("pair_id", "mesh_id", "f1", "f2").join(ends[1], ["pair_id", "mesh_id"]).join(ends[2], ["pair_id", "mesh_id"])
+    e = F.when((F.col("kind1") == "edge") & (F.col("kind2") == "face"), F.col("id1")).when((F.col("kind2") == "edge") & (F.col("kind1") == "face"), F.col("id2"))
+    other = F.when(F.col("kind1") == "face", F.col("id1")).otherwise(F.col("id2"))
+    both = both.withColumn("e", e).withColumn("other", other).join(sides, ["mesh_id", "e"], "left")
+    reason = F.when(F.col("f1") == F.col("f2"), "face").when((F.col("kind1") == "edge") & (F.col("kind2") == "edge") & (F.col("id1") == F.col("id2")), "edge").when(F.array_contains("beside", F.col("other")), "beside")
+    return both.select("pair_id", "mesh_id", reason.alias("reason")).where("reason is not null")
+
+
+def path_face_points(points: DataFrame, triangles: DataFrame) -> DataFrame:
+    """(path_id, seq, f, l0, l1, l2): points (path_id, seq, mesh_id, f, x, y, z) of paths with their weights in their face (pa, pb, pc)."""
+    rows = points.join(triangles.select("mesh_id", "f", "pa", "pb", "pc"), ["mesh_id", "f"])
+    return rows.select("path_id", "seq", "f", *(x.alias(f"l{k}") for k, x in enumerate(g.barycentric(g.point("x", "y", "z"), F.col("pa"), F.col("pb"), F.col("pc")))))
 
 
 def to_points(located: DataFrame, triangles: DataFrame) -> DataFrame:
@@ -58,15 +134,24 @@ def to_points(located: DataFrame, triangles: DataFrame) -> DataFrame:
 def nearest_vertices(points: DataFrame, vertices: DataFrame, cells: int) -> DataFrame:
     """(point_id, mesh_id, v, distance): the nearest of vertices (mesh_id, v, u, w), the lowest on ties.
 
-    Sound where every cell's 3 x 3 neighbourhood holds a vertex within one cell's width; other points have no row.
+    A vertex goes to its cell and the eight around it, a point meets those of its cell; what is nearer than a cell's width is
+    settled. Others try again with cells twice as wide, so every point of a mesh that has a vertex gets a row.
     """
-    cell = lambda c: F.floor(F.col(c) * cells)
     steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    near = vertices.select("mesh_id", "v", F.col("u").alias("vu"), F.col("w").alias("vw"), cell("u").alias("i"), cell("w").alias("j"), F.explode(steps).alias("s")).select("mesh_id", "v", "vu", "vw", (F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"))
-    asked = points.select("point_id", "mesh_id", "u", "w", cell("u").alias("i"), cell("w").alias("j"))
     d = (F.col("u") - F.col("vu")) ** 2 + (F.col("w") - F.col("vw")) ** 2
-    best = asked.join(near, ["mesh_id", "i", "j"]).groupBy("point_id", "mesh_id").agg(F.min(F.struct(F.round(d, 12).alias("d"), "v")).alias("s"))
-    return best.where(F.col("s.d") <= 1.0 / cells**2).select("point_id", "mesh_id", "s.v", F.sqrt("s.d").alias("distance"))
+    left = points.join(vertices.select("mesh_id").distinct(), "mesh_id", "left_semi").select("point_id", "mesh_id", "u", "w")
+    out, n = None, float(cells)
+    while True:
+        cell = lambda c, n=n: F.floor(F.col(c) * n)
+        near = vertices.select("mesh_id", "v", F.col("u").alias("vu"), F.col("w").alias("vw"), cell("u").alias("i"), cell("w").alias("j"), F.explode(steps).alias("s")).select("mesh_id", "v", "vu", "vw", (F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"))
+        asked = left.select("point_id", "mesh_id", "u", "w", cell("u").alias("i"), cell("w").alias("j"))
+        best = asked.join(near, ["mesh_id", "i", "j"]).groupBy("point_id", "mesh_id").agg(F.min(F.struct(F.round(d, 12).alias("d"), "v")).alias("s"))
+        settled = best.where(F.col("s.d") <= 1.0 / n**2).select("point_id", "mesh_id", "s.v", F.sqrt("s.d").alias("distance"))
+        out = settled if out is None else out.unionByName(settled)
+        left = left.join(settled, ["point_id", "mesh_id"], "left_anti")
+        if left.isEmpty():
+            return out
+        left, n = materialize(left, "not-settled"), n / 2
 
 
 def tiles(vertices: DataFrame) -> DataFrame:

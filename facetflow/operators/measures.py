@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from facetflow.functions import geometry as g
-from facetflow.operators.topology import Mesh, edges, halfedges, paired, with_corners
+from facetflow.operators.topology import Mesh, boundary, edges, halfedges, numbered, paired, with_corners
 
 #: A weight below zero is set to this.
 LEAST_WEIGHT = 0.01
@@ -59,25 +59,27 @@ def edge_weights(mesh: Mesh, kind: str = "Uniform") -> DataFrame:
     """(mesh_id, e, v0, v1, weight) for one of the weightings.
 
     coTan: the sum of the cotangents that face the edge. MeanValue: half-angle tangents at the tail of the edge's first
-    halfedge over the length. Authalic: cotangents at its head over the squared length. A weight below 0 is 0.01.
+    halfedge over the length. Authalic: cotangents at its head over the squared length. A weight below 0 is 0.01, on an edge
+    without length 0. One join of the corners and one grouping by the edge's ends; edges are numbered last.
     """
     g.embedding_type(kind)
-    edge = edges(halfedges(mesh.faces))
     if kind == "Uniform":
-        return edge.select("mesh_id", "e", "v0", "v1", F.lit(1.0).alias("weight"))
-    half = paired(halfedges(mesh.faces), edge).select("mesh_id", "h", "e", "f", "k", "tail", "head")
-    at = mesh.vertices.select("mesh_id", "v", g.point("x", "y", "z").alias("p"))
-    opposite = with_corners(mesh).select("mesh_id", "f", F.array("pa", "pb", "pc").alias("p"))
-    sides = half.join(opposite, ["mesh_id", "f"]).select("mesh_id", "e", "h", "tail", "head", F.element_at("p", F.col("k") + 1).alias("pt"), F.element_at("p", (F.col("k") + 1) % 3 + 1).alias("ph"), F.element_at("p", (F.col("k") + 2) % 3 + 1).alias("po"))
-    first = edge.select("mesh_id", "e", "v0", "v1")
-    sides = sides.join(first, ["mesh_id", "e"])
-    forward = F.col("tail") == F.col("v0")
-    p0, p1 = F.when(forward, F.col("pt")).otherwise(F.col("ph")), F.when(forward, F.col("ph")).otherwise(F.col("pt"))
-    part = {"coTan": g.cotan(F.col("po"), F.col("pt"), F.col("ph")), "MeanValue": F.tan(g.angle(p0, p1, F.col("po")) / 2), "Authalic": g.cotan(p1, p0, F.col("po"))}[kind]
-    n = {"coTan": 0, "MeanValue": 1, "Authalic": 2}[kind]
-    made = sides.withColumn("part", part).withColumn("length", g.length(F.col("pt"), F.col("ph"))).groupBy("mesh_id", "e", "v0", "v1").agg(F.sum("part").alias("s"), F.max("length").alias("l"))
-    w = F.col("s") if n == 0 else F.try_divide(F.col("s"), F.col("l") if n == 1 else F.col("l") * F.col("l"))
-    return made.withColumn("w", w).select("mesh_id", "e", "v0", "v1", F.when(F.col("w") < 0, LEAST_WEIGHT).otherwise(F.col("w")).alias("weight"))
+        return edges(halfedges(mesh.faces)).select("mesh_id", "e", "v0", "v1", F.lit(1.0).alias("weight"))
+    p = [F.col(c) for c in ("pa", "pb", "pc")]
+    ids = [F.col(c) for c in "abc"]
+    # a side with its opposite corner says what it adds at either end; both ends are summed, as the first halfedge is not known yet
+    at = {"coTan": lambda v, w, o: g.cotan(o, v, w), "MeanValue": lambda v, w, o: F.tan(g.angle(v, w, o) / 2), "Authalic": lambda v, w, o: g.cotan(w, v, o)}[kind]
+    sides = []
+    for k in range(3):
+        (i, pt), (j, ph), po = (ids[k], p[k]), (ids[(k + 1) % 3], p[(k + 1) % 3]), p[(k + 2) % 3]
+        here, there = at(pt, ph, po), at(ph, pt, po)
+        sides.append(F.struct((3 * F.col("f") + k).alias("h"), i.alias("tail"), j.alias("head"), F.when(i < j, here).otherwise(there).alias("lo_part"), F.when(i < j, there).otherwise(here).alias("hi_part"), g.length(pt, ph).alias("l")))
+    side = with_corners(mesh).select("mesh_id", F.explode(F.array(*sides)).alias("s")).select("mesh_id", "s.*")
+    made = side.groupBy("mesh_id", F.least("tail", "head").alias("lo"), F.greatest("tail", "head").alias("hi")).agg(F.min("h").alias("h"), F.min_by("tail", "h").alias("v0"), F.min_by("head", "h").alias("v1"), F.sum("lo_part").alias("s_lo"), F.sum("hi_part").alias("s_hi"), F.max("l").alias("l"))
+    s = F.when(F.col("v0") == F.col("lo"), F.col("s_lo")).otherwise(F.col("s_hi"))
+    w = {"coTan": s, "MeanValue": F.try_divide(s, F.col("l")), "Authalic": F.try_divide(s, F.col("l") * F.col("l"))}[kind]
+    weighed = made.withColumn("w", F.coalesce(w, F.lit(0.0))).select("mesh_id", "h", "v0", "v1", F.when(F.col("w") < 0, LEAST_WEIGHT).otherwise(F.col("w")).alias("weight"))
+    return numbered(weighed, "h", "e").select("mesh_id", "e", "v0", "v1", "weight")
 
 
 def laplacian(weights: DataFrame) -> DataFrame:
@@ -115,6 +117,69 @@ def least_height_turn(points: DataFrame, turns: int = 36) -> DataFrame:
     return best.select("mesh_id", "b.turn", F.col("b.h").alias("height"))
 
 
+def least_height_uv(uv: DataFrame, turns: int = 36) -> DataFrame:
+    """(mesh_id, point_id, u, w): the points turned as :func:`least_height_turn` says."""
+    turn = F.broadcast(least_height_turn(uv, turns).select("mesh_id", (F.col("turn") * F.pi() / turns).alias("angle")))
+    co, si = F.cos("angle"), F.sin("angle")
+    return uv.join(turn, "mesh_id").select("mesh_id", "point_id", (co * F.col("u") - si * F.col("w")).alias("u"), (si * F.col("u") + co * F.col("w")).alias("w"))
+
+
+def principal_uv(uv_faces: DataFrame) -> DataFrame:
+    """(mesh_id, f, ua, ub, uc) turned about the mean of the faces' centroids onto their principal axes; the mean is added back."""
+    m = uv_measures(uv_faces)
+    a, b, c = F.col("suu"), F.col("suw"), F.col("sww")
+    disc = F.sqrt((a - c) ** 2 + 4 * b * b) / 2
+    x, y = F.when(b < 0, -b).otherwise(b), F.when(b < 0, a - ((a + c) / 2 - disc)).otherwise((a + c) / 2 + disc - a)
+    n = F.sqrt(x * x + y * y)
+    axis = m.select("mesh_id", "mean_u", "mean_w", F.coalesce(F.try_divide(x, n), F.lit(0.0)).alias("vx"), F.coalesce(F.try_divide(y, n), F.lit(0.0)).alias("vy"))
+
+    def turned(p: str):
+        du, dw = F.col(p)["x"] - F.col("mean_u"), F.col(p)["y"] - F.col("mean_w")
+        return g.point(F.col("vx") * du + F.col("vy") * dw + F.col("mean_u"), -F.col("vy") * du + F.col("vx") * dw + F.col("mean_w")).alias(p)
+
+    return uv_faces.join(F.broadcast(axis), "mesh_id").select("mesh_id", "f", *(turned(p) for p in ("ua", "ub", "uc")))
+
+
+def area_ratio(mesh: Mesh, uv_faces: DataFrame) -> DataFrame:
+    """(mesh_id, ratio): the surface's area over that in uv; 1 where the latter is not above 0."""
+    there = with_corners(mesh).groupBy("mesh_id").agg(F.sum(g.face_area(F.col("pa"), F.col("pb"), F.col("pc"))).alias("area"))
+    flat = uv_measures(uv_faces).select("mesh_id", "area_uv")
+    return there.join(flat, "mesh_id").select("mesh_id", F.when((F.col("area_uv") > 0) & (F.col("area_uv") < float("inf")), F.try_divide("area", "area_uv")).otherwise(F.lit(1.0)).alias("ratio"))
+
+
+def boundary_wedges(mesh: Mesh, uv: DataFrame) -> DataFrame:
+    """(mesh_id, v, exterior, scaling, tx, ty) for boundary vertices with one boundary halfedge each way; uv: (mesh_id, v, u, w).
+
+    exterior: pi less the angles at v. scaling: of the boundary edges into and out of v, log of the uv length over the length
+    in space, weighted by the uv lengths. tx, ty: the unit sum of their unit directions in uv.
+    """
+    rim = boundary(halfedges(mesh.faces)).select("mesh_id", "tail", "head")
+    at = mesh.vertices.join(uv, ["mesh_id", "v"]).select("mesh_id", "v", g.point("x", "y", "z").alias("p"), g.point("u", "w").alias("q"))
+    for c in ("tail", "head"):
+        rim = rim.join(at.select("mesh_id", F.col("v").alias(c), F.col("p").alias(f"p_{c}"), F.col("q").alias(f"q_{c}")), ["mesh_id", c])
+    d = g.minus(F.col("q_head"), F.col("q_tail"))
+    rim = rim.select("mesh_id", "tail", "head", g.norm(d).alias("l"), F.ln(F.try_divide(g.norm(d), g.length(F.col("p_tail"), F.col("p_head")))).alias("s"), g.unit(d).alias("t"))
+    into = rim.select("mesh_id", F.col("head").alias("v"), *(F.col(c).alias(f"{c}1") for c in ("l", "s", "t")))
+    out = rim.select("mesh_id", F.col("tail").alias("v"), *(F.col(c).alias(f"{c}2") for c in ("l", "s", "t")))
+    turn = corner_angles(mesh).groupBy("mesh_id", "v").agg((F.pi() - F.sum("angle")).alias("exterior"))
+    scaling = F.try_divide(F.col("l1") * F.col("s1") + F.col("l2") * F.col("s2"), F.col("l1") + F.col("l2"))
+    tangent = g.unit(g.plus(F.col("t1"), F.col("t2")))
+    return into.join(out, ["mesh_id", "v"]).join(turn, ["mesh_id", "v"]).select("mesh_id", "v", "exterior", scaling.alias("scaling"), tangent["x"].alias("tx"), tangent["y"].alias("ty"))
+
+
+def period_map(first: tuple, second: tuple) -> list:
+    """The 2 x 2 matrix, by rows, that takes one pair of periods ((u, w) columns) to another: second times the inverse of first."""
+    (a, c), (b, d) = ([g._col(x) for x in p] for p in first)
+    (e, k), (f, m) = ([g._col(x) for x in p] for p in second)
+    det = a * d - b * c
+    return [F.try_divide(x, det) for x in (e * d - f * c, f * a - e * b, k * d - m * c, m * a - k * b)]
+
+
+def longest_path(lengths: DataFrame) -> DataFrame:
+    """One row (path_id, length): the longest of (path_id, length), the least path_id on ties."""
+    return lengths.agg(F.max_by(F.struct("path_id", "length"), F.struct("length", -F.col("path_id"))).alias("s")).select("s.*")
+
+
 def path_lengths(points: DataFrame) -> DataFrame:
     """(path_id, n_points, length) of polylines (path_id, seq, x, y, z)."""
     w = W.partitionBy("path_id").orderBy("seq")

@@ -252,7 +252,7 @@ def planar_locate(spark, d):
 
 @query("bary_to_point", _TORUS + f", {_POINTS}, q AS (SELECT point_id, floor(u * n)::BIGINT AS i, floor(w * 20)::BIGINT AS j, u * n - floor(u * n) AS s, w * 20 - floor(w * 20) AS t FROM pts, size), l AS (SELECT point_id, 2 * (i * 20 + j) + (s < t)::BIGINT AS f, CASE WHEN s >= t THEN 1 - s ELSE 1 - t END AS l0, CASE WHEN s >= t THEN s - t ELSE s END AS l1, CASE WHEN s >= t THEN t ELSE t - s END AS l2 FROM q) SELECT point_id, {_r('l0 * ax + l1 * bx + l2 * cx')} AS x, {_r('l0 * ay + l1 * by_ + l2 * cy')} AS y, {_r('l0 * az + l1 * bz + l2 * cz')} AS z FROM l JOIN tri USING (f)")
 def bary_to_point(spark, d):
-    located = locate.planar(tables.uv_points(spark, d), tables.torus_uv(spark, d), 40)
+    located = locate.planar(tables.uv_points(spark, d), tables.torus_uv(spark, d))
     return locate.to_points(located, topology.with_corners(tables.part_torus(spark, d))).select("point_id", *(r6(c).alias(c) for c in "xyz"))
 
 
@@ -382,4 +382,4 @@ def disk_embedding(spark, d):
 
 @query("sphere_embedding")
 def sphere_embedding(spark, d):
-    return embedding.sphere(tables.part_sphere(spark, d)).select("v", *(r6(c).alias(c) for c in "xyz"))
+    return embedding.sphere(tables.part_sphere(spark, d), "Uniform").select("v", *(r6(c).alias(c) for c in "xyz"))
