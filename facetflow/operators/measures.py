@@ -169,8 +169,9 @@ def boundary_wedges(mesh: Mesh, uv: DataFrame) -> DataFrame:
 
 def period_map(first: tuple, second: tuple) -> list:
     """The 2 x 2 matrix, by rows, that takes one pair of periods ((u, w) columns) to another: second times the inverse of first."""
-    (a, c), (b, d) = ([g._col(x) for x in p] for p in first)
-    (e, k), (f, m) = ([g._col(x) for x in p] for p in second)
+    column = lambda x: F.lit(float(x)) if isinstance(x, (int, float)) else g._col(x)
+    (a, c), (b, d) = ([column(x) for x in p] for p in first)
+    (e, k), (f, m) = ([column(x) for x in p] for p in second)
     det = a * d - b * c
     return [F.try_divide(x, det) for x in (e * d - f * c, f * a - e * b, k * d - m * c, m * a - k * b)]
 

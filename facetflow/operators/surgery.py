@@ -1,7 +1,7 @@
 """Repair and cutting of meshes: fans of faces around vertices, turning, parting, and loading as one.
 
-A corner of a face is numbered by the halfedge that leaves it. The corners around a vertex fall into fans: corners of faces
-that share an edge there are of one fan, unless the edge is cut. A manifold vertex has one fan.
+A corner of a face is numbered by the halfedge that leaves it. The corners around a vertex fall into fans: corners of the two faces
+of an edge there are of one fan, unless the edge is cut. A manifold vertex has one fan.
 """
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ class Split(NamedTuple):
 def fans(mesh: Mesh, cut: DataFrame | None = None) -> DataFrame:
     """(mesh_id, f, k, v, h, fan): for each corner the least corner of its fan; edges of ``cut`` (mesh_id, lo, hi) part fans."""
     half = halfedges(mesh.faces)
-    lo, hi = F.least("v", "w").alias("lo"), F.greatest("v", "w").alias("hi")
-    out = half.select("mesh_id", F.col("tail").alias("v"), F.col("head").alias("w"), "h", "f", "k")
-    into = half.select("mesh_id", F.col("head").alias("v"), F.col("tail").alias("w"), F.col("nxt").alias("h2"))
-    joined = out.join(into, ["mesh_id", "v", "w"]).select("mesh_id", F.col("h").alias("a"), F.col("h2").alias("b"), lo, hi)
+    # both edges of each corner, whichever way its face runs along them
+    ends = F.array(F.struct(F.col("tail").alias("v"), F.col("head").alias("w"), F.col("h").alias("corner")), F.struct(F.col("head").alias("v"), F.col("tail").alias("w"), F.col("nxt").alias("corner")))
+    met = half.select("mesh_id", F.explode(ends).alias("s")).groupBy("mesh_id", "s.v", "s.w").agg(F.min("s.corner").alias("a"), F.max("s.corner").alias("b"), F.count(F.lit(1)).alias("n"))
+    joined = met.where("n = 2").select("mesh_id", "a", "b", F.least("v", "w").alias("lo"), F.greatest("v", "w").alias("hi"))
+    out = half.select("mesh_id", F.col("tail").alias("v"), "h", "f", "k")
     if cut is not None:
         joined = joined.join(cut.select("mesh_id", "lo", "hi"), ["mesh_id", "lo", "hi"], "left_anti")
     label = graph.components(joined.select("mesh_id", "a", "b"))

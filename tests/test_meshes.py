@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetflow.functions import geometry as g
-from facetflow.operators import graph, locate, measures, topology
-from facetflow.plans import catalogue
+from facetflow.operators import graph, locate, measures, surgery, topology
+from facetflow.plans import catalogue, surfaces  # noqa: F401
 from facetflow.sources import obj, tables
 
 TETRAHEDRON = "# four corners\nv 1 1 1\nv -1 -1 1\nv -1 1 -1\nv 1 -1 -1\nvn 0 0 1\nf 1/1/1 2/2/1 3\nf 1 4 2\nf 1 3 -1\nf 2 4 3\n"
@@ -32,6 +32,9 @@ def test_obj_reading(spark, tetrahedron, tmp_path):
     assert quad.vertices.where("z is null").count() == 0
     with pytest.raises(ValueError, match="Unable to open file"):
         obj.read_obj(spark, ["mesh.ply"])
+    obj.write_obj(tetrahedron, str(tmp_path / "out.obj"), number="exact")
+    back = obj.read_obj(spark, [str(tmp_path / "out.obj")])
+    assert sorted(back.faces.collect()) == sorted(tetrahedron.faces.collect()) and sorted(back.vertices.collect()) == sorted(tetrahedron.vertices.collect())
     obj.write_obj(tetrahedron, str(tmp_path / "out"))
     folder = tmp_path / "out" / "mesh_id=0"
     text = "".join((folder / p).read_text() for p in sorted(os.listdir(folder)) if p.startswith("part"))
@@ -156,7 +159,59 @@ def test_scalar_functions(spark):
     assert row.wrap == 0.75 and row.none.x is None and row.spline == 1.5
 
 
-SLOW = {"bfs_levels"}  # held against its SQL at sf0.01 by the driver
+def test_streams_write_numbers_like_c(spark):
+    xs = [0.0, -0.0, 1.0, -1.5, 1e-5, 123456.0, 1234567.0, 0.0001, 0.00012345678, 999999.5, 1e300, -2.5e-7, 100.0, 3.14159265]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [r[0] for r in df.select(obj.stream_number("x")).collect()] == ["%g" % x for x in xs]
+
+
+def test_polygons_and_their_diagonals(spark):
+    rows = ["v 0 0 0", "v 1 0 0", "v 1 1 0", "v 0 1 0", "v 2 0 0", "f 1 2 3 4", "f 2 5 3", "f -5 -4 -3 -2 -1"]
+    lines = spark.createDataFrame([(0, i * 70_000, x) for i, x in enumerate(rows)], "mesh_id long, line long, value string")
+    assert [tuple(r)[1:] for r in obj.parse(lines).faces.orderBy("f").collect()] == [(0, 0, 1, 2), (1, 0, 2, 3), (2, 1, 4, 2), (3, 0, 1, 2), (4, 0, 2, 3), (5, 0, 3, 4)]
+    assert sorted(tuple(r)[1:] for r in obj.diagonals(lines).collect()) == [(0, 2), (0, 2), (0, 3)]
+    assert {(r.f, r.polygon // 70_000) for r in obj.polygon_of(lines).collect()} == {(0, 5), (1, 5), (2, 6), (3, 7), (4, 7), (5, 7)}
+
+
+def test_loading_repairs_and_checks(spark):
+    # two tetrahedra that share a vertex and are turned anyhow, and a vertex of no face
+    v = [(9, 9, 9), (0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1), (-1, 0, 0), (0, -1, 0), (0, 0, -1)]
+    one = [(1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)]
+    mesh = surgery.load_mesh(spark, v[:5], one, normalize=True)
+    assert mesh.vertices.count() == 4 and topology.misdirected_edges(topology.halfedges(mesh.faces)).count() == 0
+    assert abs(topology.summary(mesh).first().area - 1) < 1e-9
+    with pytest.raises(topology.MeshError, match="one component"):
+        surgery.load_mesh(spark, v, one + [(1, 5, 6), (1, 5, 7), (1, 6, 7), (5, 6, 7)])
+    strip = [(0, 1, 2), (1, 3, 2), (2, 3, 4), (3, 5, 4), (4, 5, 1), (5, 0, 1)]  # a band with one twist
+    with pytest.raises(topology.MeshError, match="oriented"):
+        surgery.load_mesh(spark, [(i, i * i, 0) for i in range(6)], strip)
+
+
+def test_knots_and_periods(spark):
+    k = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ((0.5, 1.0), (1.0, 2.0), (2.0, 4.0))))
+    row = spark.range(1).select(
+        g.with_knot(k, F.lit(1.0), F.lit(7.0)).alias("put"), g.with_knot(k, F.lit(0.1), F.lit(7.0)).alias("new"), g.without_knot(k, F.lit(1.0005)).alias("less"), g.without_knot(k, F.lit(1.5)).alias("same"), g.reset_knots(k).alias("zero"),
+        g.spline_at(F.slice(k, 1, 0), F.lit(1.0)).alias("none"), g.spline_at(F.slice(k, 1, 1), F.lit(3.0)).alias("one"), g.spline_at(k, F.lit(1.0)).alias("at"), F.array(*measures.period_map(((1.0, 0.0), (0.0, 2.0)), ((3.0, 1.0), (0.0, 4.0)))).alias("map"),
+    ).first()
+    assert [x.p for x in row.put] == [1.0, 7.0, 4.0] and [x.t for x in row.new] == [0.1, 0.5, 1.0, 2.0] and [x.t for x in row.less] == [0.5, 2.0] and len(row.same) == 3
+    assert [x.p for x in row.zero] == [0.0] * 3 and row.none == 0.0 and row.one == 1.0 and row.at == 2.0 and row["map"] == [3.0, 0.0, 1.0, 2.0]
+
+
+def test_points_far_from_all_vertices_have_a_nearest(spark):
+    at = spark.createDataFrame([(0, 0, 0.9, 0.9), (0, 1, 0.95, 0.9)], "mesh_id long, v long, u double, w double")
+    p = spark.createDataFrame([(1, 0, 0.05, 0.05), (2, 0, 0.94, 0.9)], "point_id long, mesh_id long, u double, w double")
+    assert {r.point_id: r.v for r in locate.nearest_vertices(p, at, 64).collect()} == {1: 0, 2: 1}
+
+
+def test_sphere_without_a_face_towards_a_point(spark):
+    # one face: the point behind it takes its centroid
+    t = spark.createDataFrame([(0, 0, (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))], "mesh_id long, f long, pa struct<x double, y double, z double>, pb struct<x double, y double, z double>, pc struct<x double, y double, z double>")
+    p = spark.createDataFrame([(1, 0, -1.0, -1.0, -1.0), (2, 0, 1.0, 1.0, 1.0), (3, 0, 0.0, 0.0, 0.0)], "point_id long, mesh_id long, x double, y double, z double")
+    got = {r.point_id: (r.f, round(r.l0, 6)) for r in locate.sphere(p, t).collect()}
+    assert got == {1: (0, 0.333333), 2: (0, 0.333333)}
+
+
+SLOW = {"bfs_levels", "form_checks", "sphere_locator"}  # held against its SQL at sf0.01 by the driver
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL.keys() - SLOW))
@@ -173,3 +228,16 @@ def test_query_is_that_of_its_sql(spark, sf, name):
             assert (got[c] == want[c]).all()
         else:
             assert np.allclose(got[c].astype(float), want[c].astype(float), atol=1e-6, rtol=0)
+
+
+def test_streams_of_points_are_located(spark, sf, tmp_path):
+    from facetflow.streaming import locate_stream
+
+    grid, points = tables.unit_grid(spark, 5).cache(), tables.uv_points(spark, sf).limit(300).cache()
+    points.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    write = lambda rows, n: rows.write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch={n}"))
+    query = locate_stream(stream, lambda p: locate.planar(p, grid, 5), write, str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).select("point_id", "f").collect()
+    assert sorted(got) == sorted(locate.planar(points, grid, 5).select("point_id", "f").collect()) and len(got) == 300
