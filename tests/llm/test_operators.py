@@ -558,3 +558,21 @@ def test_short_repeated_units_go(spark):
     got = {r.doc_id: (r.text, r.removed_words) for r in linededup.remove_repeats(d).collect()}
     assert got[1] == ("All rights are reserved here. One own line of this text.", 0)
     assert got[2] == ("Another first line of words. Bye now.", 5)
+
+
+def test_hot_keys_and_clashing_names_change_nothing(spark):
+    rows = [(7 if i % 3 else i, i, "x") for i in range(6000)]
+    many = spark.createDataFrame(rows, "k long, i long, salt string")
+    few = spark.createDataFrame([(k, k * 2, "y") for k in range(0, 6000, 2)] + [(7, 14, "z")], "k long, twice long, parts string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = common.spread(many, few, ["k"], F.col("i"), how)
+        assert counted(got, *got.columns) == counted(many.join(few, ["k"], how), *got.columns)
+
+
+def test_columns_with_the_names_that_operators_use_survive(spark):
+    text = " ".join(f"w{i}" for i in range(40)) + "."
+    docs = spark.createDataFrame([(1, text, 5, 6, 7, 8), (2, text, 1, 2, 3, 4), (3, "other words stand here now", 9, 9, 9, 9)], "doc_id long, text string, __i long, __key long, i long, k long")
+    left = simhash.near_dedup(docs)
+    assert left.columns == docs.columns and counted(left, *docs.columns) == collections.Counter({(1, text, 5, 6, 7, 8): 1, (3, "other words stand here now", 9, 9, 9, 9): 1})
+    cut = linededup.remove_repeats(docs)
+    assert {(r.doc_id, r["__i"], r["__key"], r.i, r.k, r.text) for r in cut.collect()} == {(1, 5, 6, 7, 8, text), (2, 1, 2, 3, 4, ""), (3, 9, 9, 9, 9, "other words stand here now")}

@@ -41,3 +41,58 @@ def test_stages_in_order(spark, sf):
     for r in rows:
         filled[r.sequence_id] += r.length
     assert max(filled.values()) <= 2048 and np.mean(list(filled.values())) > 1500
+
+
+def test_run_is_that_of_plain_python(spark, sf):
+    """All stages behind the trained classifier, computed anew without Spark: the same pieces with the same ids."""
+    import zlib
+
+    import duckdb
+    import pandas as pd
+    from tokenizers import Tokenizer
+
+    from facetflow.llm import bpe, mixing
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = sorted((r.doc_id, r.text or "", r.source) for r in corpus_pipeline.keep_good(spark, docs, sf).collect())
+
+    def words(text):
+        return [w for w in text.encode().lower().split() if w]
+
+    def five(text):
+        w = words(text)
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    kept, sets = [], []
+    for row in good:  # an earlier document that stays takes its near copies away
+        a = five(row[1])
+        if not any((not a and not b) or len(a & b) >= 0.8 * len(a | b) for b in sets):
+            kept.append(row)
+            sets.append(a)
+
+    seen, cut = set(), []
+    for i, text, source in kept:
+        spans, last = [], None
+        for n, (start, end, _, _, digest) in enumerate(linededup.units(text)):
+            if digest in seen:
+                spans = [*spans[:-1], (spans[-1][0], end)] if last == n - 1 else [*spans, (start, end)]
+                last = n
+            seen.add(digest)
+        for start, end in reversed(spans):
+            text = text[:start] + text[end:]
+        if not spans or text.strip(" "):
+            cut.append((i, text, source))
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(cut, columns=["doc_id", "text", "source"]))
+    times = {i: taken // size for i, size, _, _, taken in con.sql(mixing.ORACLE).fetchall() if size}
+    library, want = Tokenizer.from_file(bpe.vocabulary_path("byte_bpe_50k.json")), collections.Counter()
+    for i, text, _ in cut:
+        x = library.encode(text, add_special_tokens=False).ids + [0]
+        at, to = 0, len(x) - (len(x) - 1) // 2048 * 2048
+        for k in range((len(x) - 1) // 2048 + 1):
+            if times.get(i):
+                want[i, k, at, to - at, zlib.crc32(np.array(x[at:to], "<u4").tobytes())] += times[i]
+            at, to = to, to + 2048
+    got = collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, sf).collect())
+    assert got == want and sum(want.values()) > 100
