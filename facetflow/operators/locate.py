@@ -73,17 +73,20 @@ def sphere(points: DataFrame, triangles: DataFrame) -> DataFrame:
     def best(rows: DataFrame) -> DataFrame:
         return rows.groupBy("point_id", "mesh_id").agg(F.min(F.struct((-F.col("least")).alias("m"), "f", "r0", "r1", "r2")).alias("s")).select("point_id", "mesh_id", "s.f", "s.r0", "s.r1", "s.r2")
 
-    near = best(weighed(own.join(placed, ["mesh_id", "i", "j", "k"])).where(F.col("least") >= -SPHERE_TOLERANCE))
+    held = [F.greatest(F.col(f"r{k}"), F.lit(0.0)) for k in range(3)]
+    weights = [(h / (held[0] + held[1] + held[2])).alias(f"l{k}") for k, h in enumerate(held)]
+    near = materialize(best(weighed(own.join(placed, ["mesh_id", "i", "j", "k"])).where(F.col("least") >= -SPHERE_TOLERANCE)), "located")
     missed = aimed.join(near, ["point_id", "mesh_id"], "left_anti")
+    if missed.isEmpty():
+        return near.select("point_id", "mesh_id", "f", *weights)
+    missed = materialize(missed, "not-located")
     faces = triangles.select("mesh_id", "f", *corners)
     wide = best(weighed(missed.join(faces, "mesh_id")))
     lost = missed.join(wide, ["point_id", "mesh_id"], "left_anti").join(faces, "mesh_id")
     gap = g.length(F.col("p"), g.centroid(*(F.col(c) for c in corners)))
     third = F.lit(1.0 / 3)
     last = lost.groupBy("point_id", "mesh_id").agg(F.min_by("f", F.struct(F.round(gap, 12), "f")).alias("f")).select("point_id", "mesh_id", "f", *(third.alias(f"r{k}") for k in range(3)))
-    held = [F.greatest(F.col(f"r{k}"), F.lit(0.0)) for k in range(3)]
-    total = held[0] + held[1] + held[2]
-    return near.unionByName(wide).unionByName(last).select("point_id", "mesh_id", "f", *((h / total).alias(f"l{k}") for k, h in enumerate(held)))
+    return near.unionByName(wide).unionByName(last).select("point_id", "mesh_id", "f", *weights)
 
 
 def surface_points(points: DataFrame, mesh: Mesh) -> DataFrame:

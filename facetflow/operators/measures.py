@@ -72,8 +72,9 @@ def edge_weights(mesh: Mesh, kind: str = "Uniform") -> DataFrame:
     sides = []
     for k in range(3):
         (i, pt), (j, ph), po = (ids[k], p[k]), (ids[(k + 1) % 3], p[(k + 1) % 3]), p[(k + 2) % 3]
-        here, there = at(pt, ph, po), at(ph, pt, po)
-        sides.append(F.struct((3 * F.col("f") + k).alias("h"), i.alias("tail"), j.alias("head"), F.when(i < j, here).otherwise(there).alias("lo_part"), F.when(i < j, there).otherwise(here).alias("hi_part"), g.length(pt, ph).alias("l")))
+        here = at(pt, ph, po)
+        there = here if kind == "coTan" else at(ph, pt, po)
+        sides.append(F.struct((3 * F.col("f") + k).alias("h"), i.alias("tail"), j.alias("head"), (here if kind == "coTan" else F.when(i < j, here).otherwise(there)).alias("lo_part"), (here if kind == "coTan" else F.when(i < j, there).otherwise(here)).alias("hi_part"), g.length(pt, ph).alias("l")))
     side = with_corners(mesh).select("mesh_id", F.explode(F.array(*sides)).alias("s")).select("mesh_id", "s.*")
     made = side.groupBy("mesh_id", F.least("tail", "head").alias("lo"), F.greatest("tail", "head").alias("hi")).agg(F.min("h").alias("h"), F.min_by("tail", "h").alias("v0"), F.min_by("head", "h").alias("v1"), F.sum("lo_part").alias("s_lo"), F.sum("hi_part").alias("s_hi"), F.max("l").alias("l"))
     s = F.when(F.col("v0") == F.col("lo"), F.col("s_lo")).otherwise(F.col("s_hi"))
