@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.functions import geometry as g
-from facetflow.operators import embedding, graph, homology, locate, measures, surgery, topology, torus
+from facetflow.operators import embedding, graph, homology, locate, loops, measures, surgery, topology, torus
 from facetflow.plans.catalogue import _POINTS, _SPHERE, _TORUS, _UV, _r, query, r6
 from facetflow.shared import materialize
 from facetflow.sources import obj, tables
@@ -73,7 +73,7 @@ def separated_vertices(spark, d):
     return surgery.separated(_bands(spark, d))[0].select("component", "v", "old", *(r6(c).alias(c) for c in "xyz"))
 
 
-@query("separated_faces", _BANDS + "SELECT p.component, row_number() OVER (PARTITION BY p.component ORDER BY f) - 1 AS f, x.v AS a, y.v AS b, z.v AS c FROM bf JOIN bp p USING (part) JOIN bv x ON x.old = a AND x.part = bf.part JOIN bv y ON y.old = b AND y.part = bf.part JOIN bv z ON z.old = c AND z.part = bf.part")
+@query("separated_faces", _BANDS + "SELECT p.component, row_number() OVER (PARTITION BY p.component ORDER BY f) - 1 AS f, x.v AS a, y.v AS b, z.v AS c FROM bf JOIN bp p USING (part) JOIN bv x ON x.old = a JOIN bv y ON y.old = b JOIN bv z ON z.old = c")
 def separated_faces(spark, d):
     return surgery.separated(_bands(spark, d))[1].select("component", "f", "a", "b", "c")
 
@@ -336,6 +336,58 @@ def form_checks(spark, d):
     return out.select("generator", "loop_ends", "form_faces", "harmonic_faces", "harmonic_vertices")
 
 
+# --- labelled loops -----------------------------------------------------------------------------------------------------
+
+
+def _labelled(spark, d) -> tuple[topology.Mesh, DataFrame]:
+    """The part torus subdivided, labelled along ring 0 and over the faces between the columns 0 and 1."""
+    mesh = tables.part_torus(spark, d)
+    edge = topology.edges(topology.halfedges(mesh.faces)).select("mesh_id", F.least("v0", "v1").alias("lo"), F.greatest("v0", "v1").alias("hi"))
+    between = lambda c, other: (F.col(c) % 20 == 0) & (F.col(other) % 20 == 1)
+    return loops.subdivide_labelled(mesh, edge.where("hi < 20"), edge.where(between("lo", "hi") | between("hi", "lo")))
+
+
+@query("labelled_subdivision", _TORUS + """, s AS (SELECT count(*) AS nv, (SELECT count(*) FROM edge) AS ne FROM vert),
+x AS (SELECT e.e, h.f FROM edge e JOIN half h ON least(h.tail, h.head) = e.lo AND greatest(h.tail, h.head) = e.hi WHERE (e.lo % 20 = 0 AND e.hi % 20 = 1) OR (e.lo % 20 = 1 AND e.hi % 20 = 0))
+SELECT lo, nv + e AS hi, 1 AS generator FROM edge, s WHERE hi < 20 UNION ALL SELECT hi, nv + e, 1 FROM edge, s WHERE hi < 20 UNION ALL SELECT nv + e, nv + ne + f, 2 FROM x, s""")
+def labelled_subdivision(spark, d):
+    return _labelled(spark, d)[1].select("lo", "hi", "generator")
+
+
+@query("labelled_cut_counts", _TORUS + "SELECT 124 * n + 41 AS n_vertices, 364 * n + 40 AS n_edges, 240 * n AS n_faces, 1::BIGINT AS euler FROM size")
+def labelled_cut_counts(spark, d):
+    mesh, labels = _labelled(spark, d)
+    return topology.summary(surgery.split(mesh, labels).mesh).select("n_vertices", "n_edges", "n_faces", "euler")
+
+
+@query("crossing_pair", "SELECT 0::BIGINT AS loop_ends, 0::BIGINT AS path_ends, 1::BIGINT AS meetings")
+def crossing_pair(spark, d):
+    """Vertices of the first loop that have not two of its edges, faces of its path that have not two crossed edges, edges in both."""
+    mesh = tables.part_torus(spark, d)
+    trees = homology.tree_cotree(mesh)
+    loop, crossed = (materialize(x) for x in loops.crossing_pair(trees))
+    not_two = lambda rows, a, b, name: rows.select(F.explode(F.array(a, b)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.when(F.col("n") != 2, 1)).alias(name))
+    sides = crossed.join(trees.edges, ["mesh_id", "lo", "hi"])
+    both = loop.join(crossed, ["mesh_id", "lo", "hi"]).agg(F.count(F.lit(1)).alias("meetings"))
+    return not_two(loop, "lo", "hi", "loop_ends").crossJoin(not_two(sides, "left", "right", "path_ends")).crossJoin(both)  # one row each
+
+
+@query("shortest_loops", "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 0::BIGINT, true), (1, 0, 0, true)) AS t(generator, loop_ends, off_mesh, winds)")
+def shortest_loops(spark, d):
+    """For each generator: vertices where its short loop ends, edges of it that the mesh has not, and whether a form adds up to something along it."""
+    mesh = tables.part_torus(spark, d)
+    trees = homology.tree_cotree(mesh)
+    loop = materialize(loops.shortest_loops(mesh, trees))
+    ends = F.array(F.struct(F.col("hi").alias("v"), F.col("val").alias("way")), F.struct(F.col("lo").alias("v"), (-F.col("val")).alias("way")))
+    open_at = loop.select("generator", F.explode(ends).alias("s")).groupBy("generator", "s.v").agg(F.sum("s.way").alias("sum")).groupBy("generator").agg(F.count(F.when(F.col("sum") != 0, 1)).alias("loop_ends"))
+    on_mesh = loop.join(trees.edges, ["mesh_id", "lo", "hi"], "left")
+    off = on_mesh.groupBy("generator").agg(F.count(F.when(F.col("e").isNull(), 1)).alias("off_mesh"))
+    forms = homology.closed_forms(trees).select("mesh_id", "e", F.col("generator").alias("form"), F.col("val").alias("turn"))
+    along = on_mesh.join(forms, ["mesh_id", "e"]).groupBy("generator", "form").agg(F.sum(F.col("val") * F.col("turn")).alias("sum"))
+    winds = along.groupBy("generator").agg(F.max(F.col("sum") != 0).alias("winds"))
+    return open_at.join(off, "generator").join(winds, "generator", "left").select("generator", "loop_ends", "off_mesh", F.coalesce("winds", F.lit(False)).alias("winds"))
+
+
 # --- the sphere and OBJ text --------------------------------------------------------------------------------------------
 
 
