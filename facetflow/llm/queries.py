@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetflow.llm import ann, bpe, linededup, media, mixing, packing, quality, simhash, toxicity, warc
+from facetflow.llm import alignment, ann, bpe, exactdedup, linededup, media, mixing, negatives, packing, quality, simhash, toxicity, warc
 from facetflow.llm.common import fold
 
 
@@ -60,6 +60,18 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_groups(_table(spark, sf_dir, "documents"))
+
+
+def negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), label_col=negatives.turned_label())
+
+
+def alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity_query,
     "op2_token_counts": token_count_query,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing_query,
     "op9_media": media_query,
     "op10_substring_dedup": line_dedup_query,
+    "op11_exact_dedup": exact_dedup_query,
+    "op12_hard_negatives": negatives_query,
+    "op13_alignment": alignment_query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.ORACLE, "op11_exact_dedup": exactdedup.ORACLE, "op12_hard_negatives": negatives.ORACLE}
