@@ -1,4 +1,4 @@
-"""Graphs over mesh tables, by iterated joins: components, breadth-first levels, shortest distances.
+"""Graphs over mesh tables: components and trees by iterated joins, breadth-first levels and shortest distances by condensed blocks.
 
 Each round's state is written to the shared checkpoint folder, so lineage stays short and a lost executor costs no more than
 its part of a round.
@@ -6,55 +6,171 @@ its part of a round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from facetflow.shared import drop_shared, materialize as cut
+from facetflow.operators.condense import APART, BLOCK, DENSE, Condensing, MeshIds
+from facetflow.shared import drop_shared, spread
+from facetflow.shared import materialize as cut
+
+
+#: Tables of fewer rows are joined without a look for hot keys.
+FEW_ROWS = 1 << 17
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of edges between numbers: each number, and the least of its component."""
+    nodes, place = np.unique(np.r_[a, b], return_inverse=True)
+    u, v = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[u], root[v]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[root]
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(mesh_id, node, root) for each node of edges (mesh_id, a, b): root is the least node of its component.
 
-    In each round a node takes the least label of itself and its neighbours, and then the label of that label.
+    Edges of near ids meet in a task, which links each node to the least that it is joined to there. Large-star and small-star steps
+    do the rest until nothing changes: grouped minima and one join each, in which the neighbours of a hub are dealt out.
     """
-    both = edges.select("mesh_id", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("s")).select("mesh_id", "s.*").distinct()
-    both = last = cut(both)
-    label = both.select("mesh_id", "node").distinct().withColumn("root", F.col("node"))
+    ids = MeshIds(edges)
+    own = ids.to_long(edges.select("mesh_id", "a", "b"))
+
+    def near(batches):
+        for pdf in batches:
+            for mesh, some in pdf.groupby("mesh_id"):
+                node, root = _merged(some["a"].to_numpy(), some["b"].to_numpy())
+                yield pd.DataFrame({"mesh_id": mesh, "u": node, "v": root})
+
+    kind = "mesh_id long, u long, v long"
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_by_place = own.repartition(parts, "mesh_id", F.floor(F.least("a", "b") / 16384)).sortWithinPartitions("mesh_id", F.least("a", "b"))
+    every = cut(sorted_by_place.mapInPandas(near, kind))  # with a row for each node
+    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("mesh_id", "u", "v").cast("decimal(38,0)"))).first())
+    now = cut(every.where("u <> v").distinct())
+    mark = state(now)
     for _ in range(max_rounds):
-        near = both.join(label.select("mesh_id", F.col("node").alias("other"), "root"), ["mesh_id", "other"]).groupBy("mesh_id", "node").agg(F.min("root").alias("near"))
-        low = label.join(near, ["mesh_id", "node"]).select("mesh_id", "node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = low.select("mesh_id", F.col("node").alias("root"), F.col("root").alias("far"))
-        new = cut(low.join(jump, ["mesh_id", "root"]).select("mesh_id", "node", "old", F.col("far").alias("root")))
-        changed = new.where("old <> root").limit(1).count()
-        if last is not both:
-            drop_shared(last)
-        label, last = new.drop("old"), new
-        if not changed:
-            return label
+        # large-star: each larger neighbour of u goes to the least of u and its neighbours
+        both = now.unionByName(now.select("mesh_id", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("mesh_id", "u").agg(F.min("v").alias("m")).select("mesh_id", "u", F.least("u", "m").alias("m"))
+        large = spread(both.where("v > u"), least, ["mesh_id", "u"], F.col("v"), least=FEW_ROWS).select("mesh_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small-star: each smaller neighbour of u, and u, go to the least of them
+        low = large.groupBy("mesh_id", "u").agg(F.min("v").alias("m"))
+        small = large.join(low, ["mesh_id", "u"]).select("mesh_id", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("mesh_id", "u", F.col("m").alias("v"))).distinct()
+        new = cut(small)
+        got = state(new)
+        drop_shared(now)
+        now = new
+        if got == mark:
+            nodes = every.select("mesh_id", F.col("u").alias("node")).distinct()
+            found = nodes.join(now.select("mesh_id", F.col("u").alias("node"), F.col("v").alias("root")), ["mesh_id", "node"], "left")
+            return ids.back(found.withColumn("root", F.coalesce("root", "node")))
+        mark = got
     raise RuntimeError(f"components: no end after {max_rounds} rounds")
 
 
-def bfs_levels(edges: DataFrame, roots: DataFrame, max_rounds: int = 10_000, cut_every: int = 5) -> DataFrame:
+class Ways:
+    """Blocks of a graph of lengths: what counts is the shortest way, and the vertex apart is the start of all of them."""
+
+    def merged(self, weight: str) -> Column:
+        return F.min(weight)
+
+    @staticmethod
+    def shortest(n: int, a: np.ndarray, b: np.ndarray, length: np.ndarray, start: np.ndarray, chunk: int = 64) -> np.ndarray:
+        """``start`` (ways, n) made as short as edges in both directions allow."""
+        tail, head, length = np.r_[a, b], np.r_[b, a], np.r_[length, length]
+        order = np.argsort(head, kind="stable")
+        tail, head, length = tail[order], head[order], length[order]
+        begin = np.flatnonzero(np.r_[True, head[1:] != head[:-1]]) if len(head) else np.zeros(0, dtype=int)
+        for i in range(0, len(start) if len(head) else 0, chunk):
+            some = start[i : i + chunk]
+            while True:
+                new = some.copy()
+                new[:, head[begin]] = np.minimum(some[:, head[begin]], np.minimum.reduceat(some[:, tail] + length, begin, axis=1))
+                if (new == some).all():
+                    break
+                some = new
+            start[i : i + chunk] = some
+        return start
+
+    @staticmethod
+    def parts(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        """Inside, around, and the edges as places in both, one after the other."""
+        v, other = rows["v"].to_numpy(), rows["other"].to_numpy()
+        inside = np.unique(v)
+        around = np.setdiff1d(other, inside)
+        own = np.isin(other, inside)
+        at = np.where(own, np.searchsorted(inside, other), len(inside) + np.searchsorted(around, other))
+        return inside, around, np.searchsorted(inside, v), at, rows["weight"].to_numpy()
+
+    def fill(self, rows: pd.DataFrame, values: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        inside, around, a, b, length = self.parts(rows)
+        m, n = len(inside), len(inside) + len(around)
+        start = np.full((len(around), n), np.inf)
+        start[np.arange(len(around)), m + np.arange(len(around))] = 0.0
+        way = self.shortest(n, a, b, length, start)[:, m:]
+        i, j = np.nonzero(np.triu(np.isfinite(way), 1))
+        return pd.DataFrame({"a": around[i], "b": around[j], "value": way[i, j]}), pd.DataFrame({"v": around[:0], "system": around[:0], "value": way[:0, 0] if len(around) else np.zeros(0)})
+
+    def inside(self, rows: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        inside, around, a, b, length = self.parts(rows)
+        start = np.full((1, len(inside) + len(around)), np.inf)
+        start[0, len(inside) + np.searchsorted(around, values["v"].to_numpy())] = values["value"].to_numpy()
+        start[0, len(inside) + np.flatnonzero(around == APART)] = 0.0
+        way = self.shortest(start.shape[1], a, b, length, start)[0, : len(inside)]
+        found = np.isfinite(way)
+        return pd.DataFrame({"v": inside[found], "system": 0, "value": way[found]})
+
+
+def distances(edges: DataFrame, sources: DataFrame, within: float | None = None, places: DataFrame | None = None, block: int = BLOCK, dense: int = DENSE) -> DataFrame:
+    """(mesh_id, node, distance) along edges (mesh_id, a, b, length) from any of the sources (mesh_id, node); ids are not negative.
+
+    The graph is condensed by blocks (see condense): shortest ways between the vertices around a block stand for its inside. So the
+    rounds grow with the logarithm of the nodes, not with the edges of a way. Where that does not help, as in a graph without
+    neighbourhoods, and for ways no longer than ``within``, edges are relaxed round by round; nodes farther than that have no row.
+    ``places``: (mesh_id, v, x, y, z), by which nodes near each other share a block; else those of near ids do.
+    """
+    if within is not None:
+        return relaxed(edges, sources, within)
+    ids = MeshIds(edges.select("mesh_id").unionByName(sources.select("mesh_id")))
+    own, starts = ids.to_long(edges.select("mesh_id", "a", "b", "length")), ids.to_long(sources.select("mesh_id", "node").distinct())
+    lengths = own.where("a <> b").select("mesh_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("length").alias("weight"))
+    apart = starts.select("mesh_id", F.lit(APART).cast("long").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("weight"))
+    graph = lengths.unionByName(apart).groupBy("mesh_id", "a", "b").agg(F.min("weight").alias("weight"))
+    none = graph.select("mesh_id", F.lit(0).cast("long").alias("system"), F.col("a").alias("v"), F.col("weight").alias("value")).limit(0)
+    state = Condensing(Ways(), graph, none, None if places is None else ids.to_long(places), block, dense)
+    if state.run():
+        rest = state.rest()
+    else:
+        start = state.graph.where(F.col("a") == APART).select("mesh_id", F.col("a").alias("node")).distinct()
+        far = relaxed(state.graph.withColumnRenamed("weight", "length"), start).where(F.col("node") != APART)
+        rest = far.select("mesh_id", F.lit(0).cast("long").alias("system"), F.col("node").alias("v"), F.col("distance").alias("value"))
+    return ids.back(state.expanded(rest)).select("mesh_id", F.col("v").alias("node"), F.col("value").alias("distance"))
+
+
+def bfs_levels(edges: DataFrame, roots: DataFrame, places: DataFrame | None = None, block: int = BLOCK, dense: int = DENSE) -> DataFrame:
     """(mesh_id, node, level): the number of edges from the mesh's root (mesh_id, node), for all nodes reached."""
-    both = cut(edges.select("mesh_id", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("s")).select("mesh_id", "s.*").distinct())
-    seen = cut(roots.select("mesh_id", "node", F.lit(0).cast("long").alias("level")))
-    frontier = seen
-    for level in range(1, max_rounds):
-        reached = frontier.select("mesh_id", "node").join(both, ["mesh_id", "node"]).select("mesh_id", F.col("other").alias("node")).distinct().join(seen, ["mesh_id", "node"], "left_anti")
-        frontier = cut(reached.withColumn("level", F.lit(level).cast("long")))
-        if not frontier.limit(1).count():
-            return seen
-        seen = seen.unionByName(frontier)
-        if level % cut_every == 0:
-            seen = cut(seen)
-    raise RuntimeError(f"bfs_levels: no end after {max_rounds} rounds")
-
-
-def distances(edges: DataFrame, sources: DataFrame, within: float | None = None, max_rounds: int = 10_000, cut_every: int = 4) -> DataFrame:
-    """(mesh_id, node, distance) along edges (mesh_id, a, b, length) from any of the sources (mesh_id, node).
-
-    Only nodes whose distance became less are relaxed in the next round. Nodes farther than ``within`` have no row.
+    far = distances(edges.select("mesh_id", "a", "b", F.lit(1.0).alias("length")), roots, places=places, block=block, dense=dense)
+    return far.select("mesh_id", "node", F.col("distance").cast("long").alias("level"))
+
+
+def relaxed(edges: DataFrame, sources: DataFrame, within: float | None = None, max_rounds: int = 10_000, cut_every: int = 4) -> DataFrame:
+    """What :func:`distances` gives, edge by edge: for short ways, as its rounds are as many as the longest way has edges.
+
+    Only nodes whose distance became less are relaxed in the next round.
     """
     both = cut(edges.select("mesh_id", "length", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("s")).select("mesh_id", "s.node", "s.other", "length"))
     whole = best = active = cut(sources.select("mesh_id", "node", F.lit(0.0).alias("distance")).distinct())
@@ -72,7 +188,7 @@ def distances(edges: DataFrame, sources: DataFrame, within: float | None = None,
             best = cut(best)
             drop_shared(whole, *found[:-1])
             whole, found = best, found[-1:]
-    raise RuntimeError(f"distances: no end after {max_rounds} rounds")
+    raise RuntimeError(f"relaxed: no end after {max_rounds} rounds")
 
 
 def bfs_tree(edges: DataFrame) -> DataFrame:
@@ -109,7 +225,9 @@ def sums_to_root(steps: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = cut(steps.select("mesh_id", "generator", "node", F.col("parent").alias("to"), F.col("val").alias("value")))
     for _ in range(max_rounds):
         ahead = now.select("mesh_id", "generator", F.col("node").alias("to"), F.col("to").alias("far"), F.col("value").alias("more"))
-        new = cut(now.join(ahead, ["mesh_id", "generator", "to"], "left").select("mesh_id", "generator", "node", F.col("far").alias("to"), (F.col("value") + F.coalesce("more", F.lit(0.0))).alias("value")))
+        # those that have come to a root take no part: they would all share one key
+        going = spread(now.where("to is not null"), ahead, ["mesh_id", "generator", "to"], F.col("node"), "left", least=FEW_ROWS).select("mesh_id", "generator", "node", F.col("far").alias("to"), (F.col("value") + F.coalesce("more", F.lit(0.0))).alias("value"))
+        new = cut(now.where("to is null").unionByName(going))
         drop_shared(now)
         now = new
         if not now.where("to is not null").limit(1).count():
@@ -123,12 +241,14 @@ def root_paths(tree: DataFrame, starts: DataFrame, max_rounds: int = 60) -> Data
     Steps double in each round: a tree of depth n takes log2 n rounds.
     """
     jump = tree.where("parent is not null").select("mesh_id", "node", F.col("parent").alias("to"))
-    reached = starts.select("mesh_id", "start").distinct().withColumn("node", F.col("start"))
+    reached, old = starts.select("mesh_id", "start").distinct().withColumn("node", F.col("start")), []
     for _ in range(max_rounds):
         jump = cut(jump)
+        drop_shared(*old)
         if not jump.limit(1).count():
             return reached.join(tree.where("parent is not null").select("mesh_id", "node", "e"), ["mesh_id", "node"]).select("mesh_id", "start", "node", "e")
         further = reached.join(jump, ["mesh_id", "node"]).select("mesh_id", "start", F.col("to").alias("node"))
+        old = [jump, reached]
         reached = cut(reached.unionByName(further))
         jump = jump.join(jump.select("mesh_id", F.col("node").alias("to"), F.col("to").alias("far")), ["mesh_id", "to"]).select("mesh_id", "node", F.col("far").alias("to"))
     raise RuntimeError(f"root_paths: no end after {max_rounds} rounds")
@@ -152,14 +272,17 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         taken.append(pick.select("mesh_id", "e"))
         mate = pick.select("mesh_id", F.col("c").alias("to"), F.col("e").alias("mate_e"))
         pointer = cut(pick.join(mate, ["mesh_id", "to"]).select("mesh_id", "c", F.when((F.col("e") == F.col("mate_e")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to")))
-        moved = True
+        moved, last = True, pointer
         while moved:
             ahead = pointer.select("mesh_id", F.col("c").alias("to"), F.col("to").alias("far"))
             stepped = cut(pointer.join(ahead, ["mesh_id", "to"]).select("mesh_id", "c", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
-            moved, pointer = bool(stepped.where("moved").limit(1).count()), stepped.drop("moved")
-        for c in ("u", "v"):
-            live = live.join(pointer.select("mesh_id", F.col("c").alias(c), F.col("to").alias(f"new_{c}")), ["mesh_id", c])
+            drop_shared(last)
+            moved, pointer, last = bool(stepped.where("moved").limit(1).count()), stepped.drop("moved"), stepped
+        old = live
+        for c in ("u", "v"):  # many edges may be at one component by now
+            live = spread(live, pointer.select("mesh_id", F.col("c").alias(c), F.col("to").alias(f"new_{c}")), ["mesh_id", c], F.col("e"), counted=old, least=FEW_ROWS)
         live = cut(live.select("mesh_id", "e", F.col("new_u").alias("u"), F.col("new_v").alias("v")).where("u <> v"))
+        drop_shared(old, last)
     raise RuntimeError(f"spanning_forest: no end after {max_rounds} rounds")
 
 
@@ -181,7 +304,9 @@ def rooted(tree: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not rank.where("to is not null").limit(1).count():
             break
         ahead = rank.select("mesh_id", F.col("node").alias("to"), F.col("e").alias("to_e"), F.col("to").alias("far"), F.col("to_e").alias("far_e"), F.col("left").alias("more"))
-        rank = cut(rank.join(ahead, ["mesh_id", "to", "to_e"], "left").select("mesh_id", "node", "other", "e", F.col("far").alias("to"), F.col("far_e").alias("to_e"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
+        going = rank.where("to is not null").join(ahead, ["mesh_id", "to", "to_e"], "left").select("mesh_id", "node", "other", "e", F.col("far").alias("to"), F.col("far_e").alias("to_e"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"))
+        old, rank = rank, cut(rank.where("to is null").unionByName(going))
+        drop_shared(old)
     back = rank.select("mesh_id", F.col("node").alias("other"), "e", F.col("left").alias("left_back"))
     down = rank.join(back, ["mesh_id", "other", "e"]).where(F.col("left") > F.col("left_back")).select("mesh_id", F.col("other").alias("node"), F.col("node").alias("parent"), "e")
     top = root.select("mesh_id", F.col("root").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("e"))

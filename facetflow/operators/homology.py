@@ -29,9 +29,21 @@ def _tree(edge):
     return graph.cut(graph.rooted(graph.cut(graph.spanning_forest(edge))))
 
 
-def tree_cotree(mesh: Mesh) -> Trees:
+def polygons(faces: DataFrame, uncuttable: DataFrame) -> DataFrame:
+    """(mesh_id, f, polygon): faces that share an edge of ``uncuttable`` (mesh_id, lo, hi) are of one polygon, named by its least face."""
+    half = halfedges(faces).select("mesh_id", "f", F.least("tail", "head").alias("lo"), F.greatest("tail", "head").alias("hi"))
+    inner = half.join(uncuttable.select("mesh_id", "lo", "hi").distinct(), ["mesh_id", "lo", "hi"], "left_semi")
+    met = inner.groupBy("mesh_id", "lo", "hi").agg(F.min("f").alias("a"), F.max("f").alias("b"))
+    label = graph.components(met.select("mesh_id", "a", "b"))
+    return faces.select("mesh_id", "f").join(label.select("mesh_id", F.col("node").alias("f"), "root"), ["mesh_id", "f"], "left").select("mesh_id", "f", F.coalesce("root", "f").alias("polygon"))
+
+
+def tree_cotree(mesh: Mesh, uncuttable: DataFrame | None = None) -> Trees:
     """A tree of vertices, a tree of faces, and ``rest``: the edges in neither, numbered by e.
 
+    Edges of ``uncuttable`` (mesh_id, lo, hi), such as diagonals of polygons, are in no tree of vertices. The tree of faces takes
+    them first, so it spans each polygon before it leaves it, as a tree of polygons would; so none is left over, and no loop has one.
+
     Trees are those of least e, and may be as deep as they have nodes: they come from merging components and a ranked tour,
     in rounds that grow with the logarithm of the nodes. Loops are therefore not the shortest of their class.
 
@@ -42,10 +54,19 @@ def tree_cotree(mesh: Mesh) -> Trees:
         F.min(F.least("tail", "head")).alias("lo"), F.max(F.greatest("tail", "head")).alias("hi"),
         F.max(F.when(F.col("tail") < F.col("head"), F.col("f"))).alias("left"), F.max(F.when(F.col("tail") > F.col("head"), F.col("f"))).alias("right"),
     )
-    edge = graph.cut(sided)
-    of_vertices = _tree(edge.select("mesh_id", F.col("lo").alias("a"), F.col("hi").alias("b"), "e"))
-    cut = edge.join(of_vertices.where("parent is not null").select("mesh_id", "e"), ["mesh_id", "e"], "left_anti").where("left is not null and right is not null")
-    of_faces = _tree(cut.select("mesh_id", F.col("left").alias("a"), F.col("right").alias("b"), "e"))
+    if uncuttable is not None:
+        sided = sided.join(uncuttable.select("mesh_id", "lo", "hi", F.lit(False).alias("cuttable")).distinct(), ["mesh_id", "lo", "hi"], "left").withColumn("cuttable", F.coalesce("cuttable", F.lit(True)))
+    else:
+        sided = sided.withColumn("cuttable", F.lit(True))
+    both = graph.cut(sided)
+    edge = both.drop("cuttable")
+    of_vertices = _tree(both.where("cuttable").select("mesh_id", F.col("lo").alias("a"), F.col("hi").alias("b"), "e"))
+    cut = both.join(of_vertices.where("parent is not null").select("mesh_id", "e"), ["mesh_id", "e"], "left_anti").where("left is not null and right is not null")
+    # below all others: taken first
+    first = lambda e: F.when(F.col("cuttable"), F.col(e)).otherwise(F.col(e) - (1 << 62))
+    of_faces = _tree(cut.select("mesh_id", F.col("left").alias("a"), F.col("right").alias("b"), first("e").alias("e")))
+    of_faces = of_faces.withColumn("e", F.when(F.col("e") < 0, F.col("e") + (1 << 62)).otherwise(F.col("e")))
+    cut = cut.drop("cuttable")
     rest = cut.join(of_faces.where("parent is not null").select("mesh_id", "e"), ["mesh_id", "e"], "left_anti")
     return Trees(edge, of_vertices, of_faces, graph.cut(numbered(rest, "e", "generator")))
 

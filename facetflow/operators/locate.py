@@ -1,8 +1,10 @@
-"""Point location as joins: in a triangulated plane by grid cells, on a sphere by cells of direction."""
+"""Point location as joins: in a triangulated plane by cells of each triangle's size, on a sphere by cells of direction."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetflow.functions import geometry as g
@@ -13,78 +15,134 @@ PLANAR_TOLERANCE = 1e-12
 SPHERE_TOLERANCE = 1e-8
 
 
-def planar(points: DataFrame, triangles: DataFrame, cells: int | None = None) -> DataFrame:
-    """(point_id, mesh_id, f, l0, l1, l2) for points (point_id, mesh_id, u, w) in triangles (mesh_id, f, ua, ub, uc).
+#: Pairs of levels that a table's triangles are told apart by, at most; a point asks all that occur.
+MOST_LEVELS = 12
+#: Levels of cells: their width is 2 ** -level.
+COARSEST, FINEST = -40, 40
+
+
+class Cells(NamedTuple):
+    """Triangles by the cells they touch, and the levels that occur, as tuples of one level for each axis."""
+
+    placed: DataFrame
+    levels: list[tuple[int, ...]]
+
+
+def _levels(extents: list[Column]) -> list[Column]:
+    """For each extent the finest level whose cells are as wide at least."""
+    return [F.greatest(F.lit(COARSEST), F.least(F.lit(FINEST), F.floor(-F.log2(F.greatest(x, F.lit(2.0**-60)))))).cast("int") for x in extents]
+
+
+def _coarser(found: list[tuple[int, ...]], most: int = MOST_LEVELS) -> int:
+    """The least step so that at most ``most`` tuples of levels are left when each is rounded down to a multiple of it."""
+    step = 1
+    while len({tuple(x // step for x in t) for t in found}) > most:
+        step += 1
+    return step
 
-    A triangle goes to the grid cells that its bounding box touches, a point to its own; they meet in an equi-join and the
-    exact weights decide. Of several faces (shared edges) the lowest counts. Points outside have no row.
+
+def planar_cells(triangles: DataFrame) -> Cells:
+    """Triangles (mesh_id, f, ua, ub, uc) with the cells (lu, lw, i, j) that their bounding boxes touch, four at most.
+
+    A triangle stands at the level of its own width and of its own height, so no large one falls into many small cells, and no
+    small one shares its cell with many others than small ones. Levels are told apart as finely as MOST_LEVELS allows.
     """
     box = [(F.least(*(F.col(p)[c] for p in ("ua", "ub", "uc"))), F.greatest(*(F.col(p)[c] for p in ("ua", "ub", "uc")))) for c in "xy"]
-    if cells is None:  # a cell is as wide and as high as the mean triangle's box
-        mean = triangles.agg(*(F.avg(hi - lo).alias(n) for (lo, hi), n in zip(box, "uw"))).first()
-        many = [max(1, min(1 << 20, int(1 / mean[n]))) if mean[n] else 1 for n in "uw"]
-    else:
-        many = [cells, cells]
     pad = 1e-9
-    cell = lambda x, n: F.floor(x * n)
-    u0, u1, w0, w1 = (cell(x, n) for (lo, hi), n in zip(box, many) for x in (lo - pad, hi + pad))
-    spread = triangles.select("mesh_id", "f", "ua", "ub", "uc", F.explode(F.sequence(u0, u1)).alias("i"), w0.alias("j0"), w1.alias("j1"))
-    spread = spread.select("mesh_id", "f", "ua", "ub", "uc", "i", F.explode(F.sequence("j0", "j1")).alias("j"))
-    asked = points.select("point_id", "mesh_id", "u", "w", cell(F.col("u"), many[0]).alias("i"), cell(F.col("w"), many[1]).alias("j"))
-    hits = asked.join(spread, ["mesh_id", "i", "j"]).select("point_id", "mesh_id", "f", g.planar_barycentric("u", "w", F.col("ua"), F.col("ub"), F.col("uc")).alias("l")).where(F.array_min("l") >= -PLANAR_TOLERANCE)
+    sized = triangles.select("mesh_id", "f", "ua", "ub", "uc", *(x.alias(n) for x, n in zip(_levels([hi - lo + 2 * pad for lo, hi in box]), ("lu", "lw"))), *((x + d).alias(n) for (lo, hi), axis in zip(box, "uw") for x, d, n in ((lo, -pad, f"{axis}0"), (hi, pad, f"{axis}1"))))
+    found = [(r["lu"], r["lw"]) for r in sized.where("u0 is not null and w0 is not null and u1 is not null and w1 is not null").select("lu", "lw").distinct().collect()]  # 81 levels each at most
+    step = _coarser(found)
+    down = lambda c: (F.floor(F.col(c) / step) * step).cast("int")
+    cell = lambda x, level: F.floor(F.col(x) * F.pow(F.lit(2.0), F.col(level)))
+    rows = sized.withColumn("lu", down("lu")).withColumn("lw", down("lw"))
+    rows = rows.select("mesh_id", "f", "ua", "ub", "uc", "lu", "lw", F.explode(F.sequence(cell("u0", "lu"), cell("u1", "lu"))).alias("i"), cell("w0", "lw").alias("j0"), cell("w1", "lw").alias("j1"))
+    placed = rows.select("mesh_id", "f", "ua", "ub", "uc", "lu", "lw", "i", F.explode(F.sequence("j0", "j1")).alias("j"))
+    return Cells(placed, sorted({(a // step * step, b // step * step) for a, b in found}))
+
+
+def cells_of_points(points: DataFrame, levels: list[tuple[int, ...]]) -> DataFrame:
+    """Points (point_id, mesh_id, u, w) with their cell (lu, lw, i, j) at each of the levels."""
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("lu"), F.lit(b).alias("lw"), F.lit(2.0**a).alias("ku"), F.lit(2.0**b).alias("kw")) for a, b in levels or [(0, 0)])))
+    fine = points.where("abs(u) < 1e12 and abs(w) < 1e12").select("point_id", "mesh_id", "u", "w", each.alias("s"))
+    return fine.select("point_id", "mesh_id", "u", "w", "s.lu", "s.lw", F.floor(F.col("u") * F.col("s.ku")).alias("i"), F.floor(F.col("w") * F.col("s.kw")).alias("j"))
+
+
+def lowest_faces(pairs: DataFrame, same: Column | None = None) -> DataFrame:
+    """Of points beside triangles (f, ua, ub, uc) the lowest face that holds each; pairs for which ``same`` is not true do not count."""
+    weights = g.planar_barycentric("u", "w", F.col("ua"), F.col("ub"), F.col("uc"))
+    hits = pairs.select("point_id", "mesh_id", "f", (weights if same is None else F.when(same, weights)).alias("l")).where(F.array_min("l") >= -PLANAR_TOLERANCE)
     hits = hits.select("point_id", "mesh_id", "f", *(F.get("l", F.lit(k)).alias(f"l{k}") for k in range(3)))
     return hits.groupBy("point_id", "mesh_id").agg(F.min(F.struct("f", "l0", "l1", "l2")).alias("s")).select("point_id", "mesh_id", "s.*")
 
 
+def planar(points: DataFrame, triangles: DataFrame) -> DataFrame:
+    """(point_id, mesh_id, f, l0, l1, l2) for points (point_id, mesh_id, u, w) in triangles (mesh_id, f, ua, ub, uc).
+
+    A triangle goes to the cells of its own size that its bounding box touches, a point to its cell at each level that occurs; they
+    meet in an equi-join and the exact weights decide. Of several faces (shared edges) the lowest counts. Points outside, and
+    those with a coordinate that is null, no number or beyond 1e12, have no row.
+    """
+    cells = planar_cells(triangles)
+    return lowest_faces(cells_of_points(points, cells.levels).join(cells.placed, ["mesh_id", "lu", "lw", "i", "j"]))
+
+
 def sphere(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """(point_id, mesh_id, f, l0, l1, l2) for directions (point_id, mesh_id, x, y, z) on meshes of triangles (pa, pb, pc).
 
     The ray from the centre hits the face whose least raw weight is greatest, the lowest face on ties; weights are clamped
-    to 0 and add up to 1. A face goes to the cells of space that its directions touch, a point to its direction's cell; only
-    points that no face of their cell holds (within SPHERE_TOLERANCE) meet all faces of their mesh. One that no face looks
-    towards has the face of the nearest centroid, with equal weights. Points of no length have no row.
+    to 0 and add up to 1. A face goes to the cells of space, of its own size, that its directions touch, a point to its direction's
+    cell at each level that occurs; only points that no face of their cells holds (within SPHERE_TOLERANCE) meet all faces of their
+    mesh, which are dealt over tasks for that. One that no face looks towards has the face of the nearest centroid, with equal
+    weights. Points of no length, or with a coordinate that is null or no number, have no row.
     """
     corners = ("pa", "pb", "pc")
     p = g.point("x", "y", "z")
-    aimed = points.select("point_id", "mesh_id", g.unit(p).alias("p")).where(g.norm(p) > 1e-15)
+    aimed = points.select("point_id", "mesh_id", g.unit(p).alias("p")).where((g.norm(p) > 1e-15) & (g.norm(p) < float("inf")))
     u = [g.unit(F.col(c)) for c in corners]
     normal = g.face_normal(*(F.col(f"u{c}") for c in corners))
     # a direction in the face differs from a point of the flat face on the unit sphere by 1 less the plane's distance at most
     sunk = 1 - F.coalesce(F.abs(F.try_divide(g.dot(normal, F.col("upa")), g.norm(normal))), F.lit(0.0))
     box = triangles.select("mesh_id", "f", *corners, *(x.alias(f"u{c}") for x, c in zip(u, corners))).withColumn("pad", sunk + 1e-9)
-    low, high = ([f(*(F.col(f"u{c}")[k] for c in corners)) for k in "xyz"] for f in (F.least, F.greatest))
-    mean = box.agg(F.avg(F.greatest(*(h - w for w, h in zip(low, high))) + 2 * F.col("pad")).alias("wide")).first()["wide"]
-    n = max(1, min(1 << 10, int(2 / mean))) if mean else 1
-    cell = lambda x: F.floor((x + 1) * (n / 2.0))
     within = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
-    spans = [F.sequence(cell(within(w - F.col("pad"))), cell(within(h + F.col("pad")))) for w, h in zip(low, high)]
-    placed = box.select("mesh_id", "f", *corners, F.explode(spans[0]).alias("i"), spans[1].alias("js"), spans[2].alias("ks"))
-    placed = placed.select("mesh_id", "f", *corners, "i", F.explode("js").alias("j"), "ks").select("mesh_id", "f", *corners, "i", "j", F.explode("ks").alias("k"))
-    own = aimed.select("point_id", "mesh_id", "p", *(cell(F.col("p")[c]).alias(name) for c, name in zip("xyz", "ijk")))
+    low, high = ([f(*(F.col(f"u{c}")[k] for c in corners)) for k in "xyz"] for f in (F.least, F.greatest))
+    box = box.select("mesh_id", "f", *corners, *(within(x - F.col("pad")).alias(f"{k}0") for x, k in zip(low, "xyz")), *(within(x + F.col("pad")).alias(f"{k}1") for x, k in zip(high, "xyz")))
+    sized = box.withColumn("level", _levels([F.greatest(*(F.col(f"{k}1") - F.col(f"{k}0") for k in "xyz"))])[0]).where("x0 is not null")
+    found = [(r["level"],) for r in sized.select("level").distinct().collect()]  # 81 levels at most
+    step = _coarser(found)
+    levels = sorted({a // step * step for (a,) in found})
+    cell = lambda x, width: F.floor((x + 1) * width)
+    width = F.pow(F.lit(2.0), F.col("level"))
+    placed = sized.withColumn("level", (F.floor(F.col("level") / step) * step).cast("int"))
+    for k, n in zip("xyz", "ijk"):
+        placed = placed.withColumn(n, F.explode(F.sequence(cell(F.col(f"{k}0"), width), cell(F.col(f"{k}1"), width)))).drop(f"{k}0", f"{k}1")
+    at = F.explode(F.array(*(F.struct(F.lit(a).alias("level"), F.lit(2.0**a).alias("width")) for a in levels or [0])))
+    own = aimed.select("point_id", "mesh_id", "p", at.alias("s")).select("point_id", "mesh_id", "p", "s.level", *(cell(F.col("p")[c], F.col("s.width")).alias(name) for c, name in zip("xyz", "ijk")))
 
     def weighed(pairs: DataFrame) -> DataFrame:
         n = g.face_normal(*(F.col(c) for c in corners))
-        ray = F.try_divide(g.dot(n, F.col("pa")), g.dot(n, F.col("p")))
-        hit = g.scaled(F.col("p"), F.col("ray"))
-        pairs = pairs.withColumn("ray", ray).where("ray > 0")
-        raw = pairs.select("point_id", "mesh_id", "f", *(x.alias(f"r{k}") for k, x in enumerate(g.barycentric(hit, *(F.col(c) for c in corners)))))
-        return raw.withColumn("least", F.round(F.least("r0", "r1", "r2"), 12))
+        pairs = pairs.withColumn("n", n).withColumn("ray", F.try_divide(g.dot(F.col("n"), F.col("pa")), g.dot(F.col("n"), F.col("p")))).where("ray > 0")
+        hit = pairs.withColumn("hit", g.scaled(F.col("p"), F.col("ray"))).withColumn("nn", g.dot(F.col("n"), F.col("n")))
+        for k, (a, b) in enumerate((("pb", "pc"), ("pc", "pa"), ("pa", "pb"))):
+            hit = hit.withColumn(f"r{k}", F.try_divide(g.dot(g.face_normal(F.col("hit"), F.col(a), F.col(b)), F.col("n")), F.col("nn")))
+        return hit.select("point_id", "mesh_id", "f", "r0", "r1", "r2", F.round(F.least("r0", "r1", "r2"), 12).alias("least"))
 
     def best(rows: DataFrame) -> DataFrame:
         return rows.groupBy("point_id", "mesh_id").agg(F.min(F.struct((-F.col("least")).alias("m"), "f", "r0", "r1", "r2")).alias("s")).select("point_id", "mesh_id", "s.f", "s.r0", "s.r1", "s.r2")
 
     held = [F.greatest(F.col(f"r{k}"), F.lit(0.0)) for k in range(3)]
     weights = [(h / (held[0] + held[1] + held[2])).alias(f"l{k}") for k, h in enumerate(held)]
-    near = materialize(best(weighed(own.join(placed, ["mesh_id", "i", "j", "k"])).where(F.col("least") >= -SPHERE_TOLERANCE)), "located")
+    near = materialize(best(weighed(own.join(placed, ["mesh_id", "level", "i", "j", "k"])).where(F.col("least") >= -SPHERE_TOLERANCE)), "located")
     missed = aimed.join(near, ["point_id", "mesh_id"], "left_anti")
     if missed.isEmpty():
         return near.select("point_id", "mesh_id", "f", *weights)
-    missed = materialize(missed, "not-located")
-    faces = triangles.select("mesh_id", "f", *corners)
-    wide = best(weighed(missed.join(faces, "mesh_id")))
-    lost = missed.join(wide, ["point_id", "mesh_id"], "left_anti").join(faces, "mesh_id")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    missed = materialize(missed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), "not-located")
+    faces = triangles.select("mesh_id", "f", *corners, F.pmod(F.xxhash64("f"), F.lit(parts)).cast("int").alias("part"))
+    all_of = missed.join(faces, ["mesh_id", "part"])
+    wide = materialize(best(weighed(all_of)), "located-far")
     gap = g.length(F.col("p"), g.centroid(*(F.col(c) for c in corners)))
     third = F.lit(1.0 / 3)
+    lost = all_of.join(wide.select("point_id", "mesh_id"), ["point_id", "mesh_id"], "left_anti")
     last = lost.groupBy("point_id", "mesh_id").agg(F.min_by("f", F.struct(F.round(gap, 12), "f")).alias("f")).select("point_id", "mesh_id", "f", *(third.alias(f"r{k}") for k in range(3)))
     return near.unionByName(wide).unionByName(last).select("point_id", "mesh_id", "f", *weights)
 
@@ -138,23 +196,31 @@ def nearest_vertices(points: DataFrame, vertices: DataFrame, cells: int) -> Data
     """(point_id, mesh_id, v, distance): the nearest of vertices (mesh_id, v, u, w), the lowest on ties.
 
     A vertex goes to its cell and the eight around it, a point meets those of its cell; what is nearer than a cell's width is
-    settled. Others try again with cells twice as wide, so every point of a mesh that has a vertex gets a row.
+    settled. Others try again with cells twice as wide, until a cell holds all that there is: so every point of a mesh that has a
+    vertex gets a row. Points and vertices with a coordinate that is null, no number or infinite take no part.
     """
+    fine = "u is not null and w is not null and not isnan(u) and not isnan(w) and abs(u) < double('infinity') and abs(w) < double('infinity')"
+    points, vertices = points.where(fine), vertices.where(fine)
     steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
     d = (F.col("u") - F.col("vu")) ** 2 + (F.col("w") - F.col("vw")) ** 2
     left = points.join(vertices.select("mesh_id").distinct(), "mesh_id", "left_semi").select("point_id", "mesh_id", "u", "w")
-    out, n = None, float(cells)
+    out, n, least = None, float(cells), None
     while True:
         cell = lambda c, n=n: F.floor(F.col(c) * n)
         near = vertices.select("mesh_id", "v", F.col("u").alias("vu"), F.col("w").alias("vw"), cell("u").alias("i"), cell("w").alias("j"), F.explode(steps).alias("s")).select("mesh_id", "v", "vu", "vw", (F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"))
         asked = left.select("point_id", "mesh_id", "u", "w", cell("u").alias("i"), cell("w").alias("j"))
         best = asked.join(near, ["mesh_id", "i", "j"]).groupBy("point_id", "mesh_id").agg(F.min(F.struct(F.round(d, 12).alias("d"), "v")).alias("s"))
-        settled = best.where(F.col("s.d") <= 1.0 / n**2).select("point_id", "mesh_id", "s.v", F.sqrt("s.d").alias("distance"))
+        last = least is not None and n <= least  # all are within a cell of each other
+        settled = best.where(F.lit(last) | (F.col("s.d") <= 1.0 / n**2)).select("point_id", "mesh_id", "s.v", F.sqrt("s.d").alias("distance"))
         out = settled if out is None else out.unionByName(settled)
         left = left.join(settled, ["point_id", "mesh_id"], "left_anti")
-        if left.isEmpty():
+        if last or left.isEmpty():
             return out
-        left, n = materialize(left, "not-settled"), n / 2
+        left = materialize(left, "not-settled")
+        if least is None:
+            far = F.max(F.greatest(F.abs("u"), F.abs("w")))
+            least = 0.5 / max(1e-300, 2 * max(x.agg(far).first()[0] or 0.0 for x in (left, vertices)))
+        n = n / 2 if n > 1e-9 else least  # beyond that the rest is taken at once
 
 
 def tiles(vertices: DataFrame) -> DataFrame:

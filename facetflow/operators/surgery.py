@@ -109,6 +109,20 @@ def repaired(mesh: Mesh) -> Mesh:
     return Mesh(mesh.vertices, oriented(mesh.faces))
 
 
+def repaired_cuttable(mesh: Mesh, uncuttable: DataFrame) -> tuple[Mesh, DataFrame]:
+    """The mesh as :func:`repaired` leaves it, and its edges (mesh_id, lo, hi) that no cut may pass.
+
+    A mesh from which vertices were removed, or of which some were taken apart, has none: all its edges can be cut then.
+    """
+    lone = isolated_vertices(mesh).select("mesh_id")
+    if lone.limit(1).count():
+        mesh = remove_isolated(mesh)
+    parts = split(mesh)
+    changed = graph.cut(lone.unionByName(parts.copies.select("mesh_id")).distinct())
+    kept = uncuttable.select("mesh_id", "lo", "hi").distinct().join(changed, "mesh_id", "left_anti")
+    return Mesh(parts.mesh.vertices, oriented(parts.mesh.faces)), kept
+
+
 def load_mesh(spark: SparkSession, source, faces=None, normalize: bool = False) -> Mesh:
     """One mesh from an OBJ file's path, or from rows of coordinates and rows of indices: repaired, checked, of one component.
 

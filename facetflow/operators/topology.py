@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from facetflow.functions import geometry as g
+from facetflow.shared import fresh
 
 
 class MeshError(ValueError):
@@ -30,12 +31,13 @@ def numbered(df: DataFrame, key: str, name: str, width: int = 1 << 16) -> DataFr
 
     Ranks are counted within buckets of ``width`` keys, and the buckets' counts are added up.
     """
-    bucketed = df.withColumn("__bucket", F.floor(F.col(key) / width))
-    sizes = bucketed.groupBy("mesh_id", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.partitionBy("mesh_id").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("mesh_id", "__bucket", before.alias("__before"))
-    own = F.row_number().over(W.partitionBy("mesh_id", "__bucket").orderBy(key)) - 1
-    return bucketed.withColumn("__own", own).join(offsets, ["mesh_id", "__bucket"]).withColumn(name, F.col("__before") + F.col("__own")).drop("__bucket", "__own", "__before")
+    bucket, n, own, before = (fresh(c, df) for c in ("bucket", "n", "own", "before"))
+    bucketed = df.withColumn(bucket, F.floor(F.col(key) / width))
+    sizes = bucketed.groupBy("mesh_id", bucket).agg(F.count(F.lit(1)).alias(n))
+    up_to = F.coalesce(F.sum(n).over(W.partitionBy("mesh_id").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("mesh_id", bucket, up_to.alias(before))
+    rank = F.row_number().over(W.partitionBy("mesh_id", bucket).orderBy(key)) - 1
+    return bucketed.withColumn(own, rank).join(offsets, ["mesh_id", bucket]).withColumn(name, F.col(before) + F.col(own)).drop(bucket, own, before)
 
 
 def rotated_faces(faces: DataFrame) -> DataFrame:
@@ -132,11 +134,16 @@ def summary(mesh: Mesh) -> DataFrame:
     return of_vertices.join(of_edges, "mesh_id").join(of_faces, "mesh_id").select("mesh_id", "n_vertices", "n_edges", "n_faces", euler.alias("euler"), "area", "diameter")
 
 
-def check(mesh: Mesh, require_closed: bool = True) -> None:
-    """Raise a MeshError with the first fault found: bad indices, edges of three faces, isolated vertices, a boundary."""
+def check(mesh: Mesh, require_closed: bool = True, components=None) -> None:
+    """Raise a MeshError with the first fault found: bad indices, edges of three faces, isolated vertices, a boundary.
+
+    With ``components`` (see :func:`vertex_fans`) vertices around which the faces fall into several fans are a fault too.
+    """
     used = mesh.faces.select("mesh_id", F.explode(F.array("a", "b", "c")).alias("v"))
     half = halfedges(mesh.faces)
     faults = [("Invalid face indices", used.join(mesh.vertices, ["mesh_id", "v"], "left_anti")), ("Mesh has non-manifold edges.", non_manifold_edges(edges(half))), ("Mesh has isolated vertices.", isolated_vertices(mesh))]
+    if components is not None:
+        faults.append(("Mesh has non-manifold vertices.", vertex_fans(half, components).where("fans > 1")))
     if require_closed:
         faults.append(("Mesh has a boundary.", boundary(half)))
     for message, rows in faults:
@@ -144,6 +151,33 @@ def check(mesh: Mesh, require_closed: bool = True) -> None:
             raise MeshError(message)
 
 
+def vertex_kinds(mesh: Mesh) -> DataFrame:
+    """(mesh_id, v, isolated, on_boundary, inside_hole): of no face; at an edge of one face; all of whose edges are of one face."""
+    half = halfedges(mesh.faces)
+    ends = edges(half).select("mesh_id", F.explode(F.array("v0", "v1")).alias("v"), (F.col("n_faces") == 1).alias("open"))
+    around = ends.groupBy("mesh_id", "v").agg(F.max("open").alias("some"), F.min("open").alias("every"))
+    at = mesh.vertices.select("mesh_id", "v").join(around, ["mesh_id", "v"], "left")
+    no = F.lit(False)
+    return at.select("mesh_id", "v", F.col("some").isNull().alias("isolated"), F.coalesce("some", no).alias("on_boundary"), F.coalesce("every", no).alias("inside_hole"))
+
+
+def real_faces(mesh: Mesh, poles: DataFrame | None = None) -> DataFrame:
+    """(mesh_id, f, real): a face is real unless it has a vertex of ``poles`` (mesh_id, pole), which were taken out."""
+    out = mesh.faces.select("mesh_id", "f", F.explode(F.array("a", "b", "c")).alias("v"))
+    if poles is None:
+        return mesh.faces.select("mesh_id", "f", F.lit(True).alias("real"))
+    at = out.join(poles.select("mesh_id", F.col("pole").alias("v"), F.lit(True).alias("at_pole")), ["mesh_id", "v"], "left")
+    return at.groupBy("mesh_id", "f").agg((~F.coalesce(F.max("at_pole"), F.lit(False))).alias("real"))
+
+
+def shared_edges(faces: DataFrame) -> DataFrame:
+    """(mesh_id, f, other, e): for each face each face beside it, and the edge between them."""
+    half = halfedges(faces)
+    sides = paired(half, edges(half)).select("mesh_id", "f", "e")
+    beside = sides.select("mesh_id", F.col("f").alias("other"), "e")
+    return sides.join(beside, ["mesh_id", "e"]).where("f <> other").select("mesh_id", "f", "other", "e")
+
+
 def with_corners(mesh: Mesh) -> DataFrame:
     """Faces with their corners' positions pa, pb, pc."""
     out = mesh.faces

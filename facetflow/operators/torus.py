@@ -50,7 +50,7 @@ def planar_embedding(cut: Split, kind: str = "Uniform", tolerance: float = 1e-10
     two = F.array(F.struct(F.lit(0).alias("system"), F.col("u").alias("value")), F.struct(F.lit(1).alias("system"), F.col("w").alias("value")))
     fixed = graph.cut(placed.select("mesh_id", "v", F.explode(two).alias("s")).select("mesh_id", "s.system", "v", "s.value"))
     weights = graph.cut(measures.edge_weights(cut.mesh, kind).select("mesh_id", "v0", "v1", "weight"))
-    x = solve.dirichlet(weights, fixed, tolerance=tolerance)
+    x = solve.dirichlet(weights, fixed, places=cut.mesh.vertices, tolerance=tolerance)
     return x.groupBy("mesh_id", "v").agg(*(F.max(F.when(F.col("system") == k, F.col("value"))).alias(c) for k, c in enumerate("uw")))
 
 

@@ -247,7 +247,7 @@ def dijkstra_distance(spark, d):
 
 @query("planar_locate", f"WITH {_POINTS}, {_LOCATED} SELECT point_id, f, {_r('l0')} AS l0, {_r('l1')} AS l1, {_r('l2')} AS l2 FROM loc")
 def planar_locate(spark, d):
-    return locate.planar(tables.uv_points(spark, d), tables.unit_grid(spark, GRID), GRID).select("point_id", "f", *(r6(f"l{k}").alias(f"l{k}") for k in range(3)))
+    return locate.planar(tables.uv_points(spark, d), tables.unit_grid(spark, GRID)).select("point_id", "f", *(r6(f"l{k}").alias(f"l{k}") for k in range(3)))
 
 
 @query("bary_to_point", _TORUS + f", {_POINTS}, q AS (SELECT point_id, floor(u * n)::BIGINT AS i, floor(w * 20)::BIGINT AS j, u * n - floor(u * n) AS s, w * 20 - floor(w * 20) AS t FROM pts, size), l AS (SELECT point_id, 2 * (i * 20 + j) + (s < t)::BIGINT AS f, CASE WHEN s >= t THEN 1 - s ELSE 1 - t END AS l0, CASE WHEN s >= t THEN s - t ELSE s END AS l1, CASE WHEN s >= t THEN t ELSE t - s END AS l2 FROM q) SELECT point_id, {_r('l0 * ax + l1 * bx + l2 * cx')} AS x, {_r('l0 * ay + l1 * by_ + l2 * cy')} AS y, {_r('l0 * az + l1 * bz + l2 * cz')} AS z FROM l JOIN tri USING (f)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from facetflow.functions import geometry as g
 from facetflow.operators import embedding, graph, homology, locate, loops, measures, surgery, topology, torus
+from facetflow.operators.locator import PlanarLocator
 from facetflow.plans.catalogue import _POINTS, _SPHERE, _TORUS, _UV, _r, query, r6
 from facetflow.shared import materialize
 from facetflow.sources import obj, tables
@@ -339,12 +340,17 @@ def form_checks(spark, d):
 # --- labelled loops -----------------------------------------------------------------------------------------------------
 
 
+def _ring_and_columns(mesh: topology.Mesh) -> tuple[DataFrame, DataFrame]:
+    """The edges of ring 0, and those between the columns 0 and 1."""
+    edge = topology.edges(topology.halfedges(mesh.faces)).select("mesh_id", F.least("v0", "v1").alias("lo"), F.greatest("v0", "v1").alias("hi"))
+    between = lambda c, other: (F.col(c) % 20 == 0) & (F.col(other) % 20 == 1)
+    return edge.where("hi < 20"), edge.where(between("lo", "hi") | between("hi", "lo"))
+
+
 def _labelled(spark, d) -> tuple[topology.Mesh, DataFrame]:
     """The part torus subdivided, labelled along ring 0 and over the faces between the columns 0 and 1."""
     mesh = tables.part_torus(spark, d)
-    edge = topology.edges(topology.halfedges(mesh.faces)).select("mesh_id", F.least("v0", "v1").alias("lo"), F.greatest("v0", "v1").alias("hi"))
-    between = lambda c, other: (F.col(c) % 20 == 0) & (F.col(other) % 20 == 1)
-    return loops.subdivide_labelled(mesh, edge.where("hi < 20"), edge.where(between("lo", "hi") | between("hi", "lo")))
+    return loops.subdivide_labelled(mesh, *_ring_and_columns(mesh))
 
 
 @query("labelled_subdivision", _TORUS + """, s AS (SELECT count(*) AS nv, (SELECT count(*) FROM edge) AS ne FROM vert),
@@ -388,6 +394,60 @@ def shortest_loops(spark, d):
     return open_at.join(off, "generator").join(winds, "generator", "left").select("generator", "loop_ends", "off_mesh", F.coalesce("winds", F.lit(False)).alias("winds"))
 
 
+# --- a locator of the torus ---------------------------------------------------------------------------------------------
+
+_KEPT: dict[tuple[str, str, str], PlanarLocator] = {}
+
+
+def _locator(spark, d, kind: str) -> PlanarLocator:
+    """The part torus's locator, written once a session for all queries that ask it."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _KEPT:
+        mesh = tables.part_torus(spark, d)
+        if kind == "trees":
+            _KEPT[key] = PlanarLocator.from_mesh(mesh)
+        else:
+            loop, crossed = _ring_and_columns(mesh)
+            _KEPT[key] = PlanarLocator.from_loops(mesh, loop, crossed)
+    return _KEPT[key]
+
+
+_LABELS = """, s AS (SELECT count(*) AS nv, (SELECT count(*) FROM edge) AS ne FROM vert),
+cross_ AS (SELECT e.e, h.f FROM edge e JOIN half h ON least(h.tail, h.head) = e.lo AND greatest(h.tail, h.head) = e.hi WHERE (e.lo % 20 = 0 AND e.hi % 20 = 1) OR (e.lo % 20 = 1 AND e.hi % 20 = 0)),
+label AS (SELECT lo, nv + e AS hi, 1 AS generator FROM edge, s WHERE hi < 20 UNION ALL SELECT hi, nv + e, 1 FROM edge, s WHERE hi < 20 UNION ALL SELECT nv + e, nv + ne + f, 2 FROM cross_, s),
+sv AS (SELECT v, x, y, z FROM vert UNION ALL SELECT nv + e, (tx + hx) / 2, (ty + hy) / 2, (tz + hz) / 2 FROM edge JOIN ang USING (h), s UNION ALL SELECT nv + ne + f, (ax + bx + cx) / 3, (ay + by_ + cy) / 3, (az + bz + cz) / 3 FROM tri, s),
+st AS (SELECT 6 * f + 2 * ((k + 1) % 3) AS g, tail, head, nv + e AS w, nv + ne + f AS d FROM half JOIN edge ON edge.lo = least(tail, head) AND edge.hi = greatest(tail, head), s),
+sf AS (SELECT g AS f, tail AS a, w AS b, d AS c FROM st UNION ALL SELECT g + 1, w, head, d FROM st)
+"""
+
+
+@query("torus_locator_round_trip", f"WITH {_POINTS} SELECT point_id, {_r('u')} AS u, {_r('w')} AS w FROM pts")
+def torus_locator_round_trip(spark, d):
+    """Points of the square, located on the part torus that was cut along its trees' loops: each gives its place back."""
+    at = _locator(spark, d, "trees")
+    return at.to_plane(at.locate(tables.uv_points(spark, d))).select("point_id", r6("u").alias("u"), r6("w").alias("w"))
+
+
+@query("torus_locator_faces", _TORUS + _LABELS + f"SELECT f AS point_id, f, {_r('(p.x + q.x + r.x) / 3')} AS x, {_r('(p.y + q.y + r.y) / 3')} AS y, {_r('(p.z + q.z + r.z) / 3')} AS z FROM sf JOIN sv p ON p.v = a JOIN sv q ON q.v = b JOIN sv r ON r.v = c")
+def torus_locator_faces(spark, d):
+    """The centre of each face in the square, located and brought to space: the face itself, and its centre there."""
+    at = _locator(spark, d, "loops")
+    middle = g.centroid(F.col("ua"), F.col("ub"), F.col("uc"))
+    points = at.triangles.select(F.col("f").alias("point_id"), "mesh_id", middle["x"].alias("u"), middle["y"].alias("w"))
+    found = materialize(at.locate(points))
+    return at.to_surface(found).join(found.select("point_id", "f"), "point_id").select("point_id", "f", *(r6(c).alias(c) for c in "xyz"))
+
+
+@query("torus_locator_identification", _TORUS + _LABELS + "SELECT v, count(*) AS n FROM (SELECT lo AS v FROM label UNION ALL SELECT hi FROM label) GROUP BY v")
+def torus_locator_identification(spark, d):
+    return _locator(spark, d, "loops").identification_map().select("v", "n").distinct()
+
+
+@query("torus_locator_loops", _TORUS + _LABELS + f"SELECT generator, {_r('sum(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2))')} AS length FROM label JOIN sv p ON p.v = lo JOIN sv q ON q.v = hi GROUP BY generator")
+def torus_locator_loops(spark, d):
+    return _locator(spark, d, "loops").generator_lengths().select("generator", r6("length").alias("length"))
+
+
 # --- the sphere and OBJ text --------------------------------------------------------------------------------------------
 
 

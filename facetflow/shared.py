@@ -55,14 +55,17 @@ def fresh(name: str, *tables: DataFrame) -> str:
     return name
 
 
-def spread(many: DataFrame, few: DataFrame, on: list[str], by: Column, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+def spread(many: DataFrame, few: DataFrame, on: list[str], by: Column, how: str = "inner", counted: DataFrame | None = None, least: int = 0) -> DataFrame:
     """``many`` joined with ``few`` on the columns ``on``, where a few keys may hold a large share of ``many``'s rows.
 
     A sketch of fixed size finds the keys of ``counted`` (by default ``many``) that hold more rows than half a shuffle
     partition should. Their rows are dealt over as many parts as they would fill partitions, by a hash of ``by``, and
     ``few``'s rows of these keys are repeated for each part. So the result is that of the plain join (inner, left,
-    left_semi or left_anti), and the repeats come to a few times the number of partitions at most.
+    left_semi or left_anti), and the repeats come to a few times the number of partitions at most. A table of fewer than ``least``
+    rows is joined plainly.
     """
+    if least and (many if counted is None else counted).limit(least).count() < least:
+        return many.join(few, on, how)
     spark, key = many.sparkSession, F.xxhash64(*on)
     wide = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     got = (many if counted is None else counted).agg(F.expr(f"approx_top_k(xxhash64({', '.join(f'`{c}`' for c in on)}), {min(2 * wide, 4000)}, {min(max(1000, 32 * wide), 900_000)})").alias("top"), F.count(F.lit(1)).alias("n")).first()
@@ -75,3 +78,18 @@ def spread(many: DataFrame, few: DataFrame, on: list[str], by: Column, how: str
     left = many.withColumn(h, key).join(table, h, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(by), F.col(parts)), F.lit(0))).drop(h, parts)
     right = few.withColumn(h, key).join(table, h, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(h, parts)
     return left.join(right.withColumn(salt, F.col(salt).cast("long")), [*on, salt], how).drop(salt)
+
+
+#: Rows of a table of one row a mesh that are broadcast.
+FEW = 100_000
+
+
+def beside(many: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """``many`` with the rows of ``few``, which has a row or some for each key, where one key may hold most of ``many``.
+
+    ``few`` is counted: it is broadcast if it has at most FEW rows, else hot keys are dealt out. It is written once for that.
+    """
+    small = few if hasattr(few, "_shared_path") else materialize(few, "beside")
+    if small.count() <= FEW:
+        return many.join(F.broadcast(small), on)
+    return spread(many, small, on, F.xxhash64(*(F.col(f"`{c}`") for c in many.columns)))
