@@ -302,8 +302,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: MinHash keys of a text: two of similarity j share one with probability 1 - (1 - j ** ROWS) ** BANDS, 0.9993 at 0.8.
 BANDS, ROWS = 24, 6
-#: So many nodes of a bucket are held against the others in a round after the first.
-FRONT = 16
+#: Nodes of a bucket that are held against the others: one in the first round, and so many times as many in each round that follows.
+GROWTH = 16
+#: Nodes that a tile holds others against, and the number of others that a tile has in the mean.
+TILE, TILE_ROWS = 16, 2048
 _A, _B = np.random.default_rng(11).integers(1, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
 
 
@@ -333,12 +335,57 @@ def signatures(plain: DataFrame, words: int, how_many: int) -> DataFrame:
     return rows.mapInPandas(run, schema).withColumn("i", F.col("i").cast(plain.schema["i"].dataType))
 
 
+class Tile:
+    """Up to some texts, and which of others are copies of them: common shingles are counted for all at once."""
+
+    def __init__(self, words: int, similarity: float):
+        self.words, self.similarity = words, similarity
+        self.ids: list[bytes] = []
+        self.sets: list[set[bytes]] = []
+        self.table = None
+
+    def hold(self, ids: list[bytes], texts: list[str]) -> None:
+        self.ids += ids
+        self.sets += [set(shingles(x or "", self.words)) for x in texts]
+
+    def _index(self) -> None:
+        """The hashes of all shingles in order, where each one's holders begin, and the holders."""
+        flat = np.array([(xxhash.xxh64_intdigest(u), i) for i, s in enumerate(self.sets) for u in s], dtype=np.uint64).reshape(-1, 2)
+        flat = flat[np.argsort(flat[:, 0], kind="stable")]
+        begin = np.flatnonzero(np.r_[True, flat[1:, 0] != flat[:-1, 0]]) if len(flat) else np.zeros(0, dtype=int)
+        self.table = flat[begin, 0], np.r_[begin, len(flat)], flat[:, 1].astype(np.int64)
+        self.sizes = np.array([len(s) for s in self.sets])
+
+    def copies(self, ids: list[bytes], texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """(id, held id): pairs at the similarity or above, by the shingles themselves."""
+        if self.table is None:
+            self._index()
+        hashes, begin, holders = self.table
+        out = []
+        for d, x in zip(ids, texts):
+            own = set(shingles(x or "", self.words))
+            common = np.zeros(len(self.ids), dtype=np.int64)
+            if own and len(hashes):
+                mine = np.fromiter(map(xxhash.xxh64_intdigest, own), dtype=np.uint64, count=len(own))
+                at = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
+                at = at[hashes[at] == mine]
+                many = begin[at + 1] - begin[at]
+                end = np.cumsum(many)
+                common = np.bincount(holders[np.repeat(begin[at] - (end - many), many) + np.arange(end[-1] if len(end) else 0)], minlength=len(self.ids))
+            for i in np.flatnonzero(common >= self.similarity * (len(own) + self.sizes - common)):
+                if self.ids[i] != d:
+                    b = self.sets[i]
+                    if (not own and not b) or len(own & b) >= self.similarity * len(own | b):
+                        out.append((d, self.ids[i]))
+        return out
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 6, agree: int = 3, how_many: int = 2) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest id.
 
     Documents of the same words are one node, led by the smallest id. Nodes meet in buckets: one for each of their ``how_many`` fingerprints of
     distinct ``words``-word shingles, one for each link of fingerprints within ``radius`` bits, and one for each MinHash key. In rounds, all nodes
-    of a bucket are held against its first few. A node that was held against all before it in its buckets, and has a Jaccard
+    of a bucket are held against its first one, then its first GROWTH, and so on, so a bucket of n nodes takes some log n rounds. A node that was held against all before it in its buckets, and has a Jaccard
     similarity of at least ``similarity`` to none, stays; those with that similarity to it go; both leave their buckets, until
     no bucket has two nodes. So each document that goes has a copy
     that stays, and two that stay are no near copies if they share a bucket. Rows of the same id and text are one document:
@@ -380,23 +427,65 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 same[n] = (not a and not b) or len(a & b) >= similarity * len(a | b)
             yield pdf.loc[same, ["d", "fd"]]
 
-    lost, most = None, 1
-    while not now.isEmpty():
-        # compare with the first ``most`` of each bucket: one in the first round, which ends large groups
-        front = materialize(now.withColumn("n", F.row_number().over(W.partitionBy("s", "key").orderBy("m"))).where(F.col("n") <= most).drop("n"), "near-front")
+    ranks = nodes.select("d", m)
+
+    def compared(front: DataFrame) -> DataFrame:
+        """Pairs (d, fd) of copies: each node of ``now`` behind a first node of its bucket, where a bucket has one such."""
         pairs = materialize(spread(now, front.withColumnRenamed("m", "f"), ["s", "key"], F.col("m.d")).where("m > f").select(F.col("m.d").alias("d"), F.col("f.d").alias("fd")).distinct(), "near-candidates")
         # a first node's text meets those of all nodes behind it, dealt out where they are many
         t, f = with_text, with_text.select(F.col("d").alias("fd"), F.col("text").alias("first_text"))
         found = materialize(spread(pairs.join(t, "d"), f, ["fd"], F.col("d"), counted=pairs).mapInPandas(verify, "d binary, fd binary"), "near-pairs")
+        drop_shared(pairs)
+        return found
+
+    def tiled(front: DataFrame) -> DataFrame:
+        """The same where buckets have many first nodes: they go in tiles of TILE, and no pair that is unlike is ever a row.
+
+        A first node is in one tile, that of the least of its buckets. A node asks each tile of its buckets once, however
+        many of them it shares with it; those that ask one tile are dealt out.
+        """
+        home = front.groupBy("m").agg(F.min(F.struct("s", "key", F.floor((F.col("n") - 1) / TILE).alias("g"))).alias("h")).select("m", F.xxhash64("h.s", "h.key", "h.g").alias("tile"))
+        home = materialize(home, "near-tiles")
+        tiles = front.join(home, "m").select("s", "key", "tile").distinct()
+        asks = materialize(spread(now, tiles, ["s", "key"], F.col("m.d")).select("tile", F.col("m.d").alias("d")).distinct(), "near-asks")
+        parts = asks.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("parts"))
+        held = home.select("tile", F.col("m.d").alias("d")).join(parts, "tile").select("tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "d")
+        asking = spread(asks, parts, ["tile"], F.col("d")).select("tile", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "d")
+        rows = held.unionByName(asking).join(with_text, "d")
+        wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        met = rows.repartition(wide, "tile", "part").sortWithinPartitions("tile", "part", "kind").mapInPandas(meet, "d binary, fd binary").distinct()
+        found = met.join(ranks, "d").join(ranks.withColumnsRenamed({"d": "fd", "m": "f"}), "fd").where("m > f").select("d", "fd")
+        found = materialize(found, "near-pairs")
+        drop_shared(home, asks)
+        return found
+
+    def meet(batches):
+        key, tile = None, None
+        for pdf in batches:
+            for at, some in pdf.groupby(["tile", "part", "kind"], sort=True):
+                if at[:2] != key:
+                    key, tile = at[:2], Tile(words, similarity)
+                if at[2] == 0:
+                    tile.hold(some["d"].tolist(), some["text"].tolist())
+                else:
+                    found = tile.copies(some["d"].tolist(), some["text"].tolist())
+                    if found:
+                        yield pd.DataFrame(found, columns=["d", "fd"])
+
+    lost, most = None, 1
+    while not now.isEmpty():
+        # the first ``most`` of each bucket: one in the first round, which ends large groups
+        front = materialize(now.withColumn("n", F.row_number().over(W.partitionBy("s", "key").orderBy("m"))).where(F.col("n") <= most), "near-front")
+        found = compared(front.drop("n")) if most == 1 else tiled(front)
         behind = now.join(front, ["s", "key", "m"], "left_anti").select(F.col("m.d").alias("d"))
         stays = materialize(front.select(F.col("m.d").alias("d")).distinct().join(behind.unionByName(found.select("d")).distinct(), "d", "left_anti"), "near-first")
         gone = materialize(spread(found, stays.select(F.col("d").alias("fd")), ["fd"], F.col("d"), "left_semi").select("d").distinct(), "near-gone")
         lost = gone if lost is None else lost.unionByName(gone)
         rest = materialize(now.join(stays.unionByName(gone), F.col("m.d") == F.col("d"), "left_anti"), "near-rest")
-        drop_shared(now, front, pairs, found)
+        drop_shared(now, front, found)
         now = crowded(rest, "near-buckets")
         drop_shared(rest, stays)
-        most = FRONT
+        most *= GROWTH
     kept = nodes if lost is None else nodes.join(lost, "d", "left_anti")
     i, k = fresh("i", docs), fresh("k", docs)
     g = kept.select(F.col("low.i").alias(i), F.col("low.k").alias(k)).alias("g")

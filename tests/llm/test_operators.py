@@ -503,6 +503,40 @@ def test_near_dedup_goes_on_after_the_first_document(spark):
     assert sorted(r.doc_id for r in simhash.near_dedup(d).collect()) == stay
 
 
+def first_come(texts, similarity=0.8, words=5):
+    """Ids that stay if each goes that has a copy before it that stays."""
+    sets = {i: set(simhash.shingles(x, words)) for i, x in texts.items()}
+    stay = []
+    for i in sorted(sets):
+        if not any(len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) for j in stay):
+            stay.append(i)
+    return stay
+
+
+def test_near_dedup_of_a_family_just_below_the_threshold(spark, monkeypatch):
+    """Pages of one template with a similarity of 0.766, among them copies of some: all share their buckets, none but copies go."""
+    template = [f"w{i}" for i in range(200)]
+    texts = {i: " ".join(template + [f"u{i}x{k}" for k in range(30)]) for i in range(240)}
+    texts |= {300 + i: texts[200 + i % 40] + " more" for i in range(60)} | {400 + i: texts[7] for i in range(30)}
+    want, rounds, first = first_come(texts), [], simhash.Tile
+    assert len(want) == 240
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    seen = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name="table": rounds.append(name) or seen(df, name))
+    assert sorted(r.doc_id for r in simhash.near_dedup(d).collect()) == want
+    assert rounds.count("near-front") <= 5 and first is simhash.Tile
+
+
+def test_tiles_count_common_shingles(spark):
+    rnd = random.Random(12)
+    texts = [" ".join(rnd.choice("abcdef") for _ in range(rnd.choice([0, 1, 4, 6, 30]))) for _ in range(80)]
+    tile = simhash.Tile(3, 0.5)
+    tile.hold([str(i).encode() for i in range(9)], texts[:9])
+    got = set(tile.copies([str(i).encode() for i in range(80)], texts))
+    sets = [set(simhash.shingles(x, 3)) for x in texts]
+    assert got == {(str(i).encode(), str(j).encode()) for i in range(80) for j in range(9) if i != j and ((not sets[i] and not sets[j]) or (sets[i] | sets[j] and len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])))}
+
+
 def test_near_dedup_is_exact_at_similarity_0_93(spark):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
