@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from facetflow.operators.condense import APART, BLOCK, DENSE, Condensing, MeshIds
 from facetflow.shared import drop_shared, spread
@@ -252,62 +251,3 @@ def root_paths(tree: DataFrame, starts: DataFrame, max_rounds: int = 60) -> Data
         reached = cut(reached.unionByName(further))
         jump = jump.join(jump.select("mesh_id", F.col("node").alias("to"), F.col("to").alias("far")), ["mesh_id", "to"]).select("mesh_id", "node", F.col("far").alias("to"))
     raise RuntimeError(f"root_paths: no end after {max_rounds} rounds")
-
-
-def spanning_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """The edges (mesh_id, a, b, e) of the spanning forest of least e (distinct within a mesh).
-
-    In each round every component takes its least edge to another; they merge by pointer doubling. The number of rounds
-    grows with the logarithm of the nodes, however deep the trees are.
-    """
-    live, taken = cut(edges.select("mesh_id", "e", F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")), []
-    for _ in range(max_rounds):
-        if not live.limit(1).count():
-            ids = edges.select("mesh_id", "e").limit(0)
-            for t in taken:
-                ids = ids.unionByName(t)
-            return edges.join(ids.distinct(), ["mesh_id", "e"]).select("mesh_id", "a", "b", "e")
-        both = live.select("mesh_id", "e", F.explode(F.array(F.struct(F.col("u").alias("c"), F.col("v").alias("to")), F.struct(F.col("v").alias("c"), F.col("u").alias("to")))).alias("s"))
-        pick = cut(both.groupBy("mesh_id", "s.c").agg(F.min(F.struct("e", "s.to")).alias("m")).select("mesh_id", "c", "m.e", "m.to"))
-        taken.append(pick.select("mesh_id", "e"))
-        mate = pick.select("mesh_id", F.col("c").alias("to"), F.col("e").alias("mate_e"))
-        pointer = cut(pick.join(mate, ["mesh_id", "to"]).select("mesh_id", "c", F.when((F.col("e") == F.col("mate_e")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("to")))
-        moved, last = True, pointer
-        while moved:
-            ahead = pointer.select("mesh_id", F.col("c").alias("to"), F.col("to").alias("far"))
-            stepped = cut(pointer.join(ahead, ["mesh_id", "to"]).select("mesh_id", "c", F.col("far").alias("to"), (F.col("far") != F.col("to")).alias("moved")))
-            drop_shared(last)
-            moved, pointer, last = bool(stepped.where("moved").limit(1).count()), stepped.drop("moved"), stepped
-        old = live
-        for c in ("u", "v"):  # many edges may be at one component by now
-            live = spread(live, pointer.select("mesh_id", F.col("c").alias(c), F.col("to").alias(f"new_{c}")), ["mesh_id", c], F.col("e"), counted=old, least=FEW_ROWS)
-        live = cut(live.select("mesh_id", "e", F.col("new_u").alias("u"), F.col("new_v").alias("v")).where("u <> v"))
-        drop_shared(old, last)
-    raise RuntimeError(f"spanning_forest: no end after {max_rounds} rounds")
-
-
-def rooted(tree: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(mesh_id, node, parent, e) of trees (mesh_id, a, b, e), one a mesh, from the least node, which has no parent.
-
-    A tour passes each edge there and back; its places are ranked by pointer doubling, and an edge is first passed
-    from the parent. For trees whose nodes have few edges each.
-    """
-    arcs = tree.select("mesh_id", "e", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("s")).select("mesh_id", "s.node", "s.other", "e")
-    around = W.partitionBy("mesh_id", "node")
-    arcs = cut(arcs.withColumn("first_e", F.min("e").over(around)).withColumn("next_e", F.coalesce(F.lead("e").over(around.orderBy("e")), F.col("first_e"))))
-    root = arcs.groupBy("mesh_id").agg(F.min("node").alias("root"))
-    turn = arcs.select("mesh_id", F.col("node").alias("other"), "e", F.col("next_e").alias("then"), (F.col("next_e") == F.col("first_e")).alias("wraps"))
-    ends = (F.col("other") == F.col("root")) & F.col("wraps")
-    tour = arcs.select("mesh_id", "node", "other", "e").join(turn, ["mesh_id", "other", "e"]).join(root, "mesh_id")
-    rank = cut(tour.select("mesh_id", "node", "other", "e", F.when(~ends, F.col("other")).alias("to"), F.when(~ends, F.col("then")).alias("to_e"), F.lit(1).cast("long").alias("left")))
-    for _ in range(max_rounds):
-        if not rank.where("to is not null").limit(1).count():
-            break
-        ahead = rank.select("mesh_id", F.col("node").alias("to"), F.col("e").alias("to_e"), F.col("to").alias("far"), F.col("to_e").alias("far_e"), F.col("left").alias("more"))
-        going = rank.where("to is not null").join(ahead, ["mesh_id", "to", "to_e"], "left").select("mesh_id", "node", "other", "e", F.col("far").alias("to"), F.col("far_e").alias("to_e"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"))
-        old, rank = rank, cut(rank.where("to is null").unionByName(going))
-        drop_shared(old)
-    back = rank.select("mesh_id", F.col("node").alias("other"), "e", F.col("left").alias("left_back"))
-    down = rank.join(back, ["mesh_id", "other", "e"]).where(F.col("left") > F.col("left_back")).select("mesh_id", F.col("other").alias("node"), F.col("node").alias("parent"), "e")
-    top = root.select("mesh_id", F.col("root").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("e"))
-    return down.unionByName(top)

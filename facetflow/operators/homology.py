@@ -25,8 +25,22 @@ class Trees(NamedTuple):
     rest: DataFrame
 
 
-def _tree(edge):
-    return graph.cut(graph.rooted(graph.cut(graph.spanning_forest(edge))))
+def _tree(edge: DataFrame) -> DataFrame:
+    """(mesh_id, node, parent, e): the tree of the nodes' levels, from the least node."""
+    return graph.cut(graph.bfs_tree(graph.cut(edge)).select("mesh_id", "node", "parent", "e"))
+
+
+def _tree_of_polygons(faces: DataFrame, both: DataFrame, cut: DataFrame) -> DataFrame:
+    """A tree of faces that holds each edge which cannot be cut, and between polygons those of a tree of levels."""
+    inner = both.where("not cuttable").select("mesh_id", "lo", "hi")
+    of = graph.cut(polygons(faces, inner))
+    between = cut.where("cuttable")
+    for c in ("left", "right"):
+        between = between.join(of.select("mesh_id", F.col("f").alias(c), F.col("polygon").alias(f"{c}_polygon")), ["mesh_id", c])
+    steps = between.where("left_polygon <> right_polygon").select("mesh_id", F.col("left_polygon").alias("a"), F.col("right_polygon").alias("b"), "e")
+    taken = _tree(steps).where("parent is not null").select("mesh_id", "e")
+    whole = cut.join(taken.unionByName(cut.where("not cuttable").select("mesh_id", "e")), ["mesh_id", "e"], "left_semi")
+    return _tree(whole.select("mesh_id", F.col("left").alias("a"), F.col("right").alias("b"), "e"))
 
 
 def polygons(faces: DataFrame, uncuttable: DataFrame) -> DataFrame:
@@ -41,11 +55,8 @@ def polygons(faces: DataFrame, uncuttable: DataFrame) -> DataFrame:
 def tree_cotree(mesh: Mesh, uncuttable: DataFrame | None = None) -> Trees:
     """A tree of vertices, a tree of faces, and ``rest``: the edges in neither, numbered by e.
 
-    Edges of ``uncuttable`` (mesh_id, lo, hi), such as diagonals of polygons, are in no tree of vertices. The tree of faces takes
-    them first, so it spans each polygon before it leaves it, as a tree of polygons would; so none is left over, and no loop has one.
-
-    Trees are those of least e, and may be as deep as they have nodes: they come from merging components and a ranked tour,
-    in rounds that grow with the logarithm of the nodes. Loops are therefore not the shortest of their class.
+    Both are trees of levels, from the least vertex and the least face. Edges of ``uncuttable`` (mesh_id, lo, hi), such as diagonals of
+    polygons, are in no tree of vertices and all in that of faces, which is one of polygons; so none is left over, and no loop has one.
 
     left is the face that runs along an edge from lo to hi, right the other.
     """
@@ -54,18 +65,18 @@ def tree_cotree(mesh: Mesh, uncuttable: DataFrame | None = None) -> Trees:
         F.min(F.least("tail", "head")).alias("lo"), F.max(F.greatest("tail", "head")).alias("hi"),
         F.max(F.when(F.col("tail") < F.col("head"), F.col("f"))).alias("left"), F.max(F.when(F.col("tail") > F.col("head"), F.col("f"))).alias("right"),
     )
-    if uncuttable is not None:
-        sided = sided.join(uncuttable.select("mesh_id", "lo", "hi", F.lit(False).alias("cuttable")).distinct(), ["mesh_id", "lo", "hi"], "left").withColumn("cuttable", F.coalesce("cuttable", F.lit(True)))
-    else:
+    if uncuttable is None:
         sided = sided.withColumn("cuttable", F.lit(True))
+    else:
+        sided = sided.join(uncuttable.select("mesh_id", "lo", "hi", F.lit(False).alias("cuttable")).distinct(), ["mesh_id", "lo", "hi"], "left").withColumn("cuttable", F.coalesce("cuttable", F.lit(True)))
     both = graph.cut(sided)
     edge = both.drop("cuttable")
     of_vertices = _tree(both.where("cuttable").select("mesh_id", F.col("lo").alias("a"), F.col("hi").alias("b"), "e"))
-    cut = both.join(of_vertices.where("parent is not null").select("mesh_id", "e"), ["mesh_id", "e"], "left_anti").where("left is not null and right is not null")
-    # below all others: taken first
-    first = lambda e: F.when(F.col("cuttable"), F.col(e)).otherwise(F.col(e) - (1 << 62))
-    of_faces = _tree(cut.select("mesh_id", F.col("left").alias("a"), F.col("right").alias("b"), first("e").alias("e")))
-    of_faces = of_faces.withColumn("e", F.when(F.col("e") < 0, F.col("e") + (1 << 62)).otherwise(F.col("e")))
+    cut = graph.cut(both.join(of_vertices.where("parent is not null").select("mesh_id", "e"), ["mesh_id", "e"], "left_anti").where("left is not null and right is not null"))
+    if uncuttable is None:
+        of_faces = _tree(cut.select("mesh_id", F.col("left").alias("a"), F.col("right").alias("b"), "e"))
+    else:
+        of_faces = _tree_of_polygons(mesh.faces, both, cut)
     cut = cut.drop("cuttable")
     rest = cut.join(of_faces.where("parent is not null").select("mesh_id", "e"), ["mesh_id", "e"], "left_anti")
     return Trees(edge, of_vertices, of_faces, graph.cut(numbered(rest, "e", "generator")))

@@ -29,8 +29,11 @@ class Cells(NamedTuple):
 
 
 def _levels(extents: list[Column]) -> list[Column]:
-    """For each extent the finest level whose cells are as wide at least."""
-    return [F.greatest(F.lit(COARSEST), F.least(F.lit(FINEST), F.floor(-F.log2(F.greatest(x, F.lit(2.0**-60)))))).cast("int") for x in extents]
+    """For each extent the finest level whose cells are as wide at least.
+
+    Never null, and seen to be so: else Spark would ask whether it is, with the whole expression in each join below.
+    """
+    return [F.coalesce(F.greatest(F.lit(COARSEST), F.least(F.lit(FINEST), F.floor(-F.log2(F.greatest(x, F.lit(2.0**-60)))))).cast("int"), F.lit(0)) for x in extents]
 
 
 def _coarser(found: list[tuple[int, ...]], most: int = MOST_LEVELS) -> int:
@@ -52,7 +55,7 @@ def planar_cells(triangles: DataFrame) -> Cells:
     sized = triangles.select("mesh_id", "f", "ua", "ub", "uc", *(x.alias(n) for x, n in zip(_levels([hi - lo + 2 * pad for lo, hi in box]), ("lu", "lw"))), *((x + d).alias(n) for (lo, hi), axis in zip(box, "uw") for x, d, n in ((lo, -pad, f"{axis}0"), (hi, pad, f"{axis}1"))))
     found = [(r["lu"], r["lw"]) for r in sized.where("u0 is not null and w0 is not null and u1 is not null and w1 is not null").select("lu", "lw").distinct().collect()]  # 81 levels each at most
     step = _coarser(found)
-    down = lambda c: (F.floor(F.col(c) / step) * step).cast("int")
+    down = lambda c: F.coalesce((F.floor(F.col(c) / step) * step).cast("int"), F.lit(0))
     cell = lambda x, level: F.floor(F.col(x) * F.pow(F.lit(2.0), F.col(level)))
     rows = sized.withColumn("lu", down("lu")).withColumn("lw", down("lw"))
     rows = rows.select("mesh_id", "f", "ua", "ub", "uc", "lu", "lw", F.explode(F.sequence(cell("u0", "lu"), cell("u1", "lu"))).alias("i"), cell("w0", "lw").alias("j0"), cell("w1", "lw").alias("j1"))
@@ -102,36 +105,42 @@ def sphere(points: DataFrame, triangles: DataFrame) -> DataFrame:
     normal = g.face_normal(*(F.col(f"u{c}") for c in corners))
     # a direction in the face differs from a point of the flat face on the unit sphere by 1 less the plane's distance at most
     sunk = 1 - F.coalesce(F.abs(F.try_divide(g.dot(normal, F.col("upa")), g.norm(normal))), F.lit(0.0))
-    box = triangles.select("mesh_id", "f", *corners, *(x.alias(f"u{c}") for x, c in zip(u, corners))).withColumn("pad", sunk + 1e-9)
+    flat = triangles.select("mesh_id", "f", *corners, *(x[k].alias(f"u{c}{k}") for x, c in zip(u, corners) for k in "xyz"))
+    box = flat.select("mesh_id", "f", *corners, *(g.point(*(f"u{c}{k}" for k in "xyz")).alias(f"u{c}") for c in corners), *(F.col(f"u{c}{k}") for c in corners for k in "xyz")).withColumn("pad", sunk + 1e-9)
     within = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
-    low, high = ([f(*(F.col(f"u{c}")[k] for c in corners)) for k in "xyz"] for f in (F.least, F.greatest))
+    low, high = ([f(*(F.col(f"u{c}{k}") for c in corners)) for k in "xyz"] for f in (F.least, F.greatest))
     box = box.select("mesh_id", "f", *corners, *(within(x - F.col("pad")).alias(f"{k}0") for x, k in zip(low, "xyz")), *(within(x + F.col("pad")).alias(f"{k}1") for x, k in zip(high, "xyz")))
-    sized = box.withColumn("level", _levels([F.greatest(*(F.col(f"{k}1") - F.col(f"{k}0") for k in "xyz"))])[0]).where("x0 is not null")
+    sized = box.withColumn("level", _levels([F.greatest(*(F.col(f"{k}1") - F.col(f"{k}0") for k in "xyz"))])[0])
     found = [(r["level"],) for r in sized.select("level").distinct().collect()]  # 81 levels at most
     step = _coarser(found)
     levels = sorted({a // step * step for (a,) in found})
     cell = lambda x, width: F.floor((x + 1) * width)
     width = F.pow(F.lit(2.0), F.col("level"))
-    placed = sized.withColumn("level", (F.floor(F.col("level") / step) * step).cast("int"))
+    placed = sized.withColumn("level", F.coalesce((F.floor(F.col("level") / step) * step).cast("int"), F.lit(0)))
     for k, n in zip("xyz", "ijk"):
         placed = placed.withColumn(n, F.explode(F.sequence(cell(F.col(f"{k}0"), width), cell(F.col(f"{k}1"), width)))).drop(f"{k}0", f"{k}1")
     at = F.explode(F.array(*(F.struct(F.lit(a).alias("level"), F.lit(2.0**a).alias("width")) for a in levels or [0])))
     own = aimed.select("point_id", "mesh_id", "p", at.alias("s")).select("point_id", "mesh_id", "p", "s.level", *(cell(F.col("p")[c], F.col("s.width")).alias(name) for c, name in zip("xyz", "ijk")))
 
     def weighed(pairs: DataFrame) -> DataFrame:
-        n = g.face_normal(*(F.col(c) for c in corners))
-        pairs = pairs.withColumn("n", n).withColumn("ray", F.try_divide(g.dot(F.col("n"), F.col("pa")), g.dot(F.col("n"), F.col("p")))).where("ray > 0")
-        hit = pairs.withColumn("hit", g.scaled(F.col("p"), F.col("ray"))).withColumn("nn", g.dot(F.col("n"), F.col("n")))
-        for k, (a, b) in enumerate((("pb", "pc"), ("pc", "pa"), ("pa", "pb"))):
-            hit = hit.withColumn(f"r{k}", F.try_divide(g.dot(g.face_normal(F.col("hit"), F.col(a), F.col(b)), F.col("n")), F.col("nn")))
-        return hit.select("point_id", "mesh_id", "f", "r0", "r1", "r2", F.round(F.least("r0", "r1", "r2"), 12).alias("least"))
+        # numbers, not points, from step to step: Spark would write out a point's expression wherever it is used
+        pa, pb, pc = (F.col(c) for c in corners)
+        normal = g.face_normal(pa, pb, pc)
+        rows = pairs.withColumns({f"n{c}": normal[c] for c in "xyz"})
+        n = g.point("nx", "ny", "nz")
+        rows = rows.withColumns({"nn": g.dot(n, n), "ray": F.try_divide(g.dot(n, pa), g.dot(n, F.col("p")))}).where("ray > 0")
+        rows = rows.withColumns({f"h{c}": F.col("p")[c] * F.col("ray") for c in "xyz"})
+        hit = g.point("hx", "hy", "hz")
+        rows = rows.withColumns({f"r{k}": F.try_divide(g.dot(g.face_normal(hit, a, b), n), F.col("nn")) for k, (a, b) in enumerate(((pb, pc), (pc, pa), (pa, pb)))})
+        return rows.select("point_id", "mesh_id", "f", "r0", "r1", "r2", F.round(F.least("r0", "r1", "r2"), 12).alias("least"))
 
     def best(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("point_id", "mesh_id").agg(F.min(F.struct((-F.col("least")).alias("m"), "f", "r0", "r1", "r2")).alias("s")).select("point_id", "mesh_id", "s.f", "s.r0", "s.r1", "s.r2")
+        return rows.groupBy("point_id", "mesh_id").agg(F.min(F.struct((-F.col("least")).alias("m"), "f", "r0", "r1", "r2")).alias("s")).select("point_id", "mesh_id", "s.*")
 
     held = [F.greatest(F.col(f"r{k}"), F.lit(0.0)) for k in range(3)]
     weights = [(h / (held[0] + held[1] + held[2])).alias(f"l{k}") for k, h in enumerate(held)]
-    near = materialize(best(weighed(own.join(placed, ["mesh_id", "level", "i", "j", "k"])).where(F.col("least") >= -SPHERE_TOLERANCE)), "located")
+    # a filter of single weights would be pushed below them, and their expressions written out in it
+    near = materialize(best(weighed(own.join(placed, ["mesh_id", "level", "i", "j", "k"]))).where(F.col("m") <= SPHERE_TOLERANCE).drop("m"), "located")
     missed = aimed.join(near, ["point_id", "mesh_id"], "left_anti")
     if missed.isEmpty():
         return near.select("point_id", "mesh_id", "f", *weights)
@@ -139,7 +148,7 @@ def sphere(points: DataFrame, triangles: DataFrame) -> DataFrame:
     missed = materialize(missed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), "not-located")
     faces = triangles.select("mesh_id", "f", *corners, F.pmod(F.xxhash64("f"), F.lit(parts)).cast("int").alias("part"))
     all_of = missed.join(faces, ["mesh_id", "part"])
-    wide = materialize(best(weighed(all_of)), "located-far")
+    wide = materialize(best(weighed(all_of)).drop("m"), "located-far")
     gap = g.length(F.col("p"), g.centroid(*(F.col(c) for c in corners)))
     third = F.lit(1.0 / 3)
     lost = all_of.join(wide.select("point_id", "mesh_id"), ["point_id", "mesh_id"], "left_anti")

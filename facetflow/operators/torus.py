@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.operators import graph, measures, solve
+from facetflow.operators import graph, homology, locate, measures, solve
 from facetflow.operators.embedding import boundary_rings
-from facetflow.operators.surgery import Split
-from facetflow.operators.topology import MeshError, edges, halfedges
+from facetflow.operators.surgery import Split, split
+from facetflow.operators.topology import Mesh, MeshError, edges, halfedges
+from facetflow.shared import beside
 
 
 def rooted_ring(cut: Split) -> DataFrame:
@@ -61,7 +64,7 @@ def integrated(cut: Split, forms: DataFrame) -> DataFrame:
     taken by pointer doubling.
     """
     edge = edges(halfedges(cut.mesh.faces)).select("mesh_id", "e", F.col("v0").alias("a"), F.col("v1").alias("b"))
-    tree = graph.cut(graph.rooted(graph.cut(graph.spanning_forest(edge))))
+    tree = graph.cut(graph.bfs_tree(graph.cut(edge)))
     at = tree.where("parent is not null").select("mesh_id", "node", "parent")
     for c in ("node", "parent"):
         at = at.join(cut.copies.select("mesh_id", F.col("v").alias(c), F.col("ref").alias(f"ref_{c}")), ["mesh_id", c], "left").withColumn(f"ref_{c}", F.coalesce(f"ref_{c}", c))
@@ -71,6 +74,45 @@ def integrated(cut: Split, forms: DataFrame) -> DataFrame:
     return graph.sums_to_root(step).select("mesh_id", "generator", F.col("node").alias("v"), "value").unionByName(root)
 
 
+def periods(loops: DataFrame, forms: DataFrame) -> DataFrame:
+    """(mesh_id, loop, generator, value): what each one-form (mesh_id, generator, e, val) adds up to along each loop (.., generator, e, val)."""
+    along = loops.select("mesh_id", F.col("generator").alias("loop"), "e", F.col("val").alias("way"))
+    return along.join(forms.select("mesh_id", "generator", "e", "val"), ["mesh_id", "e"]).groupBy("mesh_id", "loop", "generator").agg(F.sum(F.col("way") * F.col("val")).alias("value"))
+
+
+class Coordinates(NamedTuple):
+    """A torus cut open along its trees' loops, and (mesh_id, v, u, w) of the disk's vertices."""
+
+    cut: Split
+    uv: DataFrame
+
+
+def harmonic_coordinates(mesh: Mesh, uncuttable: DataFrame | None = None) -> Coordinates:
+    """Coordinates whose steps along edges are harmonic, and that rise by 1, one each, once around the two loops of the trees.
+
+    Two harmonic forms are added up over the disk that the loops leave; the inverse of their periods takes the sums to
+    coordinates. So copies of a vertex differ by whole numbers. MeshError for meshes of another genus than 1.
+    """
+    trees = homology.tree_cotree(mesh, uncuttable)
+    if trees.rest.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")).where("n <> 2").limit(1).count() or not trees.rest.limit(1).count():
+        raise MeshError("Mesh is not of genus 1.")
+    loop = graph.cut(homology.loops(trees))
+    ends = trees.edges.select("mesh_id", "e", "lo", "hi")
+    made = split(mesh, graph.cut(loop.join(ends, ["mesh_id", "e"]).select("mesh_id", "lo", "hi").distinct()))
+    cut = Split(Mesh(graph.cut(made.mesh.vertices), graph.cut(made.mesh.faces)), graph.cut(made.copies))
+    forms = graph.cut(homology.harmonic_forms(trees).join(ends, ["mesh_id", "e"]))
+    at = lambda rows, keys: rows.groupBy(*keys).agg(*(F.max(F.when(F.col("generator") == k, F.col("value"))).alias(f"h{k}") for k in (0, 1)))
+    sums = at(integrated(cut, forms), ["mesh_id", "v"])
+    around = at(periods(loop, forms), ["mesh_id", "loop"])
+    one, two = (around.where(F.col("loop") == k).select("mesh_id", F.col("h0").alias(f"p{k}0"), F.col("h1").alias(f"p{k}1")) for k in (0, 1))
+    # the map that takes the loops' periods to (1, 0) and (0, 1)
+    entries = measures.period_map((("p00", "p01"), ("p10", "p11")), ((1.0, 0.0), (0.0, 1.0)))
+    maps = one.join(two, "mesh_id").select("mesh_id", *(x.alias(f"m{k}") for k, x in enumerate(entries)))
+    rows = beside(sums, maps, ["mesh_id"])
+    u, w = F.col("m0") * F.col("h0") + F.col("m1") * F.col("h1"), F.col("m2") * F.col("h0") + F.col("m3") * F.col("h1")
+    return Coordinates(cut, graph.cut(rows.select("mesh_id", "v", u.alias("u"), w.alias("w"))))
+
+
 def cover(cut: Split, uv: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The disk in the plane three by three times: nodes (mesh_id, node, tile, v, orig, u, w) and edges (mesh_id, a, b, length).
 
@@ -109,3 +151,61 @@ def cover_paths(nodes: DataFrame, edge: DataFrame, ends: DataFrame, within: floa
 
     seq = F.row_number().over(W.partitionBy("mesh_id", "end").orderBy("distance")) - 1
     return rows.select("mesh_id", "end", seq.cast("long").alias("seq"), "node", "v", "u", "w", "distance")
+
+
+#: Ways between two places are sought among nodes whose two distances to them add up to this many times their own distance, at first.
+STRETCH = 1.5
+
+
+def snapped(nodes: DataFrame, points: DataFrame) -> DataFrame:
+    """(point_id, mesh_id, node, u, w): the cover's node nearest to each point (point_id, mesh_id, u, w), of copies at one place the least."""
+    many = nodes.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    near = locate.nearest_vertices(points, nodes.select("mesh_id", F.col("node").alias("v"), "u", "w"), max(1, int((many / 9) ** 0.5)))
+    return near.select("point_id", "mesh_id", F.col("v").alias("node")).join(nodes.select("mesh_id", "node", "u", "w"), ["mesh_id", "node"])
+
+
+def _around_pairs(nodes: DataFrame, pairs: DataFrame, cells: int) -> DataFrame:
+    """(mesh_id, pair_id, node, orig, u, w): the nodes in each pair's ellipse, whose foci are its ends."""
+    cell = lambda c: F.floor(c * cells)
+    mid = {c: (F.col(f"{c}1") + F.col(f"{c}2")) / 2 for c in "uw"}
+    half = F.col("bound") / 2
+    box = pairs.withColumn("i", F.explode(F.sequence(cell(mid["u"] - half), cell(mid["u"] + half)))).withColumn("j", F.explode(F.sequence(cell(mid["w"] - half), cell(mid["w"] + half))))
+    own = nodes.select("mesh_id", "node", "orig", "u", "w", cell(F.col("u")).alias("i"), cell(F.col("w")).alias("j"))
+    far = [F.sqrt((F.col("u") - F.col(f"u{k}")) ** 2 + (F.col("w") - F.col(f"w{k}")) ** 2) for k in (1, 2)]
+    return box.join(own, ["mesh_id", "i", "j"]).where(far[0] + far[1] <= F.col("bound") + 1e-9).select("mesh_id", "pair_id", "node", "orig", "u", "w")
+
+
+def pair_paths(nodes: DataFrame, edge: DataFrame, pairs: DataFrame, stretch: float = STRETCH) -> DataFrame:
+    """(pair_id, mesh_id, seq, node, v, u, w, distance): a shortest way over the cover for each pair (pair_id, mesh_id, u1, w1, u2, w2).
+
+    Both places go to their nearest nodes. A way no longer than a bound stays in the ellipse that the bound makes around its ends: so
+    each pair is a small graph of its own, solved beside all others, and it is settled if its way is no longer than its bound; the
+    others try again with twice the bound, until it holds the whole cover. Pairs without any way have no rows.
+    """
+    both = pairs.select("mesh_id", "pair_id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("u1").alias("u"), F.col("w1").alias("w")), F.struct(F.lit(1).alias("k"), F.col("u2").alias("u"), F.col("w2").alias("w")))).alias("s"))
+    asked = both.select(F.struct("pair_id", "s.k").alias("point_id"), "mesh_id", "s.u", "s.w")
+    at = graph.cut(snapped(nodes, asked).select("mesh_id", "point_id.pair_id", "point_id.k", "node", "u", "w"))
+    ends = [at.where(F.col("k") == k).select("mesh_id", "pair_id", F.col("node").alias(f"node{k + 1}"), F.col("u").alias(f"u{k + 1}"), F.col("w").alias(f"w{k + 1}")) for k in (0, 1)]
+    straight = F.sqrt((F.col("u1") - F.col("u2")) ** 2 + (F.col("w1") - F.col("w2")) ** 2)
+    size = edge.agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("n")).first()
+    longest = size["longest"] or 0.0
+    left = graph.cut(ends[0].join(ends[1], ["mesh_id", "pair_id"]).withColumn("bound", stretch * straight + 2 * longest))
+    cells = max(1, int((size["n"] / 27) ** 0.5 / 4))
+    found = None
+    while True:
+        here = graph.cut(_around_pairs(nodes, left, cells))
+        own = F.struct("mesh_id", "pair_id").alias("mesh_id")  # a pair is a mesh to the graph's operators
+        known = here.select(own, "node", "orig", "u", "w")
+        rows = here.select("mesh_id", "pair_id", F.col("node").alias("a")).join(edge, ["mesh_id", "a"])
+        rows = graph.cut(rows.join(here.select("mesh_id", "pair_id", F.col("node").alias("b")), ["mesh_id", "pair_id", "b"]).select(own, "a", "b", "length"))
+        goal = left.select(own, F.col("node1").alias("source"), F.col("node2").alias("end"))
+        way = graph.cut(cover_paths(known.withColumn("tile", F.lit(0)).withColumn("v", F.col("orig")), rows, goal))
+        length = way.groupBy("mesh_id").agg(F.max("distance").alias("length"), F.max_by("node", "distance").alias("last"))
+        reached = length.join(way.where("seq = 0").select("mesh_id"), "mesh_id").select("mesh_id.mesh_id", "mesh_id.pair_id", "length")
+        settled = graph.cut(left.join(reached, ["mesh_id", "pair_id"]).where((F.col("length") <= F.col("bound") + 1e-12) & ((F.col("length") > 0) | (straight < 1e-12))).select("mesh_id", "pair_id"))
+        done = way.select("mesh_id.mesh_id", "mesh_id.pair_id", "seq", "node", "v", "u", "w", "distance").join(settled, ["mesh_id", "pair_id"], "left_semi")
+        found = done if found is None else found.unionByName(done)
+        # the cover is three wide
+        left = graph.cut(left.join(settled, ["mesh_id", "pair_id"], "left_anti").where("bound < 40").withColumn("bound", 2 * F.col("bound")))
+        if not left.limit(1).count():
+            return found.select("pair_id", "mesh_id", "seq", "node", "v", "u", "w", "distance")

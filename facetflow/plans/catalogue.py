@@ -239,7 +239,7 @@ def bfs_levels(spark, d):
     return graph.bfs_levels(e, spark.range(1).select(F.lit(0).cast("long").alias("mesh_id"), F.col("id").alias("node"))).select("node", "level")
 
 
-@query("dijkstra_distance")
+@query("dijkstra_distance", "WITH RECURSIVE " + _TORUS.removeprefix("WITH ").rstrip() + ", step AS MATERIALIZED (SELECT tail, head, l FROM ang), far(v, d) USING KEY (v) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION SELECT n.v, n.d FROM (SELECT head AS v, min(far.d + l) AS d FROM far JOIN step ON tail = far.v GROUP BY head) n LEFT JOIN recurring.far o ON o.v = n.v WHERE o.d IS NULL OR n.d < o.d - 1e-12) SELECT v AS node, round(d, 6) + 0.0 AS distance FROM far")
 def dijkstra_distance(spark, d):
     e = measures.edge_lengths(tables.part_torus(spark, d)).select("mesh_id", F.col("v0").alias("a"), F.col("v1").alias("b"), "length")
     return graph.distances(e, spark.range(1).select(F.lit(0).cast("long").alias("mesh_id"), F.col("id").alias("node"))).select("node", r6("distance").alias("distance"))

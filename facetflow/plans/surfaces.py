@@ -448,6 +448,82 @@ def torus_locator_loops(spark, d):
     return _locator(spark, d, "loops").generator_lengths().select("generator", r6("length").alias("length"))
 
 
+@query("short_pair_cut", _TORUS + "SELECT 6 * count(*) AS n_faces, 1::BIGINT AS euler, 1::BIGINT AS meetings FROM face")
+def short_pair_cut(spark, d):
+    """The part torus cut along a short loop and a short path of faces across it: a disk; and how many edges both have."""
+    mesh = tables.part_torus(spark, d)
+    loop, crossed = loops.short_pair(mesh, homology.tree_cotree(mesh))
+    fine, labels = loops.subdivide_labelled(mesh, loop, crossed)
+    meet = loop.join(crossed, ["mesh_id", "lo", "hi"]).agg(F.count(F.lit(1)).alias("meetings"))
+    return topology.summary(surgery.split(fine, labels).mesh).select("n_faces", "euler").crossJoin(meet)  # one row each
+
+
+@query("harmonic_coordinates", _TORUS + "SELECT f, round(1 / (40.0::DOUBLE * n), 9) AS area FROM face, size")
+def harmonic_coordinates(spark, d):
+    """Each face's area in harmonic coordinates. On a grid of uniform weights they are linear, so all faces share the unit area evenly."""
+    made = torus.harmonic_coordinates(tables.part_torus(spark, d))
+    rows = made.cut.mesh.faces
+    for c in "abc":
+        rows = rows.join(made.uv.select("mesh_id", F.col("v").alias(c), F.col("u").alias(f"u{c}"), F.col("w").alias(f"w{c}")), ["mesh_id", c])
+    area = F.abs((F.col("ub") - F.col("ua")) * (F.col("wc") - F.col("wa")) - (F.col("wb") - F.col("wa")) * (F.col("uc") - F.col("ua"))) / 2
+    return rows.select("f", F.round(area, 9).alias("area"))
+
+
+@query("pair_paths", _TORUS + f""", pr AS (SELECT s_suppkey AS pair_id, s_suppkey * 7 % n AS i, s_suppkey % 20 AS j, s_suppkey * 3 % (n // 5 + 1) - n // 10 AS p, s_suppkey * 5 % 9 - 4 AS q, n FROM supplier, size),
+fa AS (SELECT *, CASE WHEN p * q >= 0 THEN least(abs(p), abs(q)) * sqrt(1.0::DOUBLE / (n * n) + 1.0::DOUBLE / 400) + greatest(abs(p) - abs(q), 0) / n::DOUBLE + greatest(abs(q) - abs(p), 0) / 20.0::DOUBLE ELSE abs(p) / n::DOUBLE + abs(q) / 20.0::DOUBLE END AS length FROM pr)
+SELECT pair_id, {_r('length')} AS length, {_r('a.x')} AS x1, {_r('a.y')} AS y1, {_r('a.z')} AS z1, {_r('b.x')} AS x2, {_r('b.y')} AS y2, {_r('b.z')} AS z2
+FROM fa JOIN vert a ON a.v = i * 20 + j JOIN vert b ON b.v = (i + p + n) % n * 20 + (j + q + 20) % 20""")
+def pair_paths(spark, d):
+    """Ways between two places for each supplier, near nodes of the even grid, some beyond the square's sides: their lengths, and their ends in space."""
+    mesh, cut = tables.part_torus(spark, d), _cut(spark, d)
+    nodes, edge = (materialize(x) for x in torus.cover(cut, _disk_uv(spark, d, cut)))
+    size = spark.read.parquet(f"{d}/part.parquet").agg(F.floor(F.count(F.lit(1)) / 20).alias("n"))
+    k = F.col("s_suppkey")
+    i, j, p, q = k * 7 % F.col("n"), k % 20, k * 3 % (F.floor(F.col("n") / 5) + 1) - F.floor(F.col("n") / 10), k * 5 % 9 - 4
+    rows = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey").crossJoin(F.broadcast(size))
+    pairs = rows.select(k.alias("pair_id"), F.lit(0).cast("long").alias("mesh_id"), ((i + 0.2) / F.col("n")).alias("u1"), ((j - 0.2) / 20).alias("w1"), ((i + p - 0.1) / F.col("n")).alias("u2"), ((j + q + 0.3) / 20).alias("w2"))
+    way = materialize(torus.pair_paths(nodes, edge, materialize(pairs)))
+    space = way.join(mesh.vertices, ["mesh_id", "v"])
+    end = lambda k, order: space.groupBy("pair_id").agg(*(F.min_by(c, order).alias(f"{c}{k}") for c in "xyz"))
+    length = way.groupBy("pair_id").agg(F.max("distance").alias("length"))
+    out = length.join(end(1, F.col("seq")), "pair_id").join(end(2, -F.col("seq")), "pair_id")
+    return out.select("pair_id", r6("length").alias("length"), *(r6(f"{c}{k}").alias(f"{c}{k}") for k in (1, 2) for c in "xyz"))
+
+
+# --- polygons -----------------------------------------------------------------------------------------------------------
+
+
+def _quads(spark, d) -> tuple[topology.Mesh, DataFrame]:
+    """The part torus read from text with a quadrangle a cell, and the diagonals that parted the quadrangles."""
+    mesh = tables.part_torus(spark, d)
+    at = mesh.vertices.select("mesh_id", F.col("v").alias("line"), F.format_string("v %s %s %s", F.col("x"), F.col("y"), F.col("z")).alias("value"))
+    half = mesh.faces.where("f % 2 = 0").join(mesh.faces.select("mesh_id", (F.col("f") - 1).alias("f"), F.col("c").alias("d")), ["mesh_id", "f"])
+    quad = half.select("mesh_id", (F.lit(1 << 40) + F.col("f")).alias("line"), F.format_string("f %d %d %d %d", F.col("a") + 1, F.col("b") + 1, F.col("c") + 1, F.col("d") + 1).alias("value"))
+    lines = materialize(at.unionByName(quad))
+    read = obj.parse(lines)
+    return topology.Mesh(materialize(read.vertices), materialize(read.faces)), materialize(obj.diagonals(lines))
+
+
+@query("polygon_groups", _TORUS + "SELECT f, f // 2 * 2 AS polygon FROM face")
+def polygon_groups(spark, d):
+    mesh, diagonals = _quads(spark, d)
+    return homology.polygons(mesh.faces, diagonals).select("f", "polygon")
+
+
+@query("polygon_trees", _TORUS + "SELECT (SELECT count(*) FROM vert) - 1 AS tree_edges, (SELECT count(*) FROM vert) AS diagonals, 0::BIGINT AS in_trees, (SELECT count(*) FROM vert) AS in_face_tree, 0::BIGINT AS in_loops, 2 - ((SELECT count(*) FROM vert) - (SELECT count(*) FROM edge) + (SELECT count(*) FROM face)) AS n_leftovers")
+def polygon_trees(spark, d):
+    """Trees of quadrangles: no diagonal is in the tree of vertices or in a loop, each is in the tree of faces."""
+    mesh, diagonals = _quads(spark, d)
+    trees = homology.tree_cotree(mesh, diagonals)
+    own = materialize(trees.edges.join(diagonals.select("mesh_id", "lo", "hi").distinct(), ["mesh_id", "lo", "hi"], "left_semi").select("mesh_id", "e"))
+    count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    of = lambda rows, name: count(rows.join(own, ["mesh_id", "e"], "left_semi"), name)
+    out = count(trees.vertices.where("parent is not null"), "tree_edges")
+    for rows, name in ((own, "diagonals"), (trees.vertices, "in_trees"), (trees.faces, "in_face_tree"), (homology.loops(trees), "in_loops")):
+        out = out.crossJoin(of(rows, name))  # one row each
+    return out.crossJoin(count(trees.rest, "n_leftovers"))
+
+
 # --- the sphere and OBJ text --------------------------------------------------------------------------------------------
 
 

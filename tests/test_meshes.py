@@ -1,5 +1,6 @@
 """Meshes: counts, invariants, small cases by hand, and the registered queries against their SQL."""
 
+import functools
 import math
 import os
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetflow.functions import geometry as g
-from facetflow.operators import graph, locate, measures, surgery, topology
+from facetflow.operators import graph, homology, locate, measures, surgery, topology
 from facetflow.plans import catalogue, surfaces  # noqa: F401
 from facetflow.sources import obj, tables
 
@@ -211,8 +212,22 @@ def test_sphere_without_a_face_towards_a_point(spark):
     assert got == {1: (0, 0.333333), 2: (0, 0.333333)}
 
 
+@pytest.fixture(scope="module")
+def shared_steps():
+    """What many queries do first, the trees and the cut of the part torus, is done once for all of them."""
+    with pytest.MonkeyPatch.context() as patch:
+        for module, name in ((homology, "tree_cotree"), (surfaces, "_cut"), (surfaces, "_disk_uv")):
+            patch.setattr(module, name, functools.cache(lambda *args, f=getattr(module, name): f(*args)) if name != "tree_cotree" else _first_only(getattr(module, name)))
+        yield
+
+
+def _first_only(f):
+    kept = []
+    return lambda mesh, uncuttable=None: f(mesh, uncuttable) if uncuttable is not None else (kept or kept.append(f(mesh)) or kept)[0]
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
-def test_query_is_that_of_its_sql(spark, sf, name):
+def test_query_is_that_of_its_sql(spark, sf, name, shared_steps):
     con = duckdb.connect()
     for f in os.listdir(sf):
         con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{f}'")
