@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import examples
+from facetflow.llm.common import EXAMPLE_CHARS, SAMPLE_CHARS, examples
 
 BITS, SAMPLE = 18, 12_000
 _MIX = np.uint32(0x9E3779B1)
@@ -162,21 +162,25 @@ def fit(sample: list[str], labels: np.ndarray, bits: int = BITS, c: float = 0.1,
     return part
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_col: str, text_col: str, sample: int) -> pd.DataFrame:
-    """At most ``sample`` rows (text, label): the labelled rows for which ``learn`` holds with the smallest hashes."""
+def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_col: str, text_col: str, sample: int, chars: int, longest: int) -> pd.DataFrame:
+    """At most ``sample`` rows (text, label): the labelled rows for which ``learn`` holds with the smallest hashes.
+
+    They have ``chars`` characters at most, and none has more than ``longest``.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null and id is not null").where(learn)
     some = known.select(F.xxhash64("id", F.lit(17)).alias("h"), "id", "label").orderBy("h", "id", "label").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return examples(rows, some).select("h", "id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    return examples(rows, some, chars, longest).select("h", "id", "label", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, bits: int = BITS, threshold: float = 0.3, whole_rows: bool = False) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, bits: int = BITS, threshold: float = 0.3, whole_rows: bool = False, chars: int = SAMPLE_CHARS, longest: int = EXAMPLE_CHARS) -> DataFrame:
     """Rows (doc_id, score, predicted), one per row of ``docs``. ``learn``: a condition on the column id of labelled rows.
 
+    The model is fitted on at most ``sample`` labelled rows of at most ``chars`` characters in all, none of more than ``longest``.
     With ``whole_rows`` a struct ``kept`` holds all columns of the row.
     """
     spark = docs.sparkSession
-    train = training_rows(docs, labels, learn, label_col, id_col, text_col, sample)
+    train = training_rows(docs, labels, learn, label_col, id_col, text_col, sample, chars, longest)
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "id", "label", "text"])

@@ -2,13 +2,13 @@
 
 Voters. Each has a name and says whether a text holds one of its terms: fixed lexicons by kind of abuse, patterns (shouting, marks,
 masked words, abuse aimed at the reader, phrases), and lexicons induced from the labelled rows of the sample, of whole words and of
-word beginnings, each parted by how many of the rows that hold a term are toxic: so a voter's terms are alike in accuracy.
+word beginnings (and of beginnings that two or three words of a text share), each parted by how many of the rows that hold a term are toxic: so a voter's terms are alike in accuracy.
 Label model. The votes of all documents that may be learned from are counted by pattern (at most 2 ** voters rows, whatever
 the input holds). Expectation maximisation, anchored by the patterns of all labelled rows, estimates how often each voter fires in
 either class; voters that stay correlated within a class are joined to one factor with a table of its own (of at most
 ``FACTOR`` voters, a size of the model), and the model is estimated again. It gives each pattern a posterior probability.
 Classifier. A linear model on indicators of words and word beginnings is trained on the posteriors of a bounded
-sample of documents (``sample``; those with labels first, one text of each id), and calibrated on those of them that have labels. It scores every whole text.
+sample of documents (``sample``, ``chars``, ``longest``; those with labels first, one text of each id), and calibrated on those of them that have labels. It scores every whole text.
 
 Defined cases: null text counts as empty; texts without any term of the model have the score of its bias; rows
 without a label are scored only; with no labelled toxic row, fixed voters alone decide; repeated rows score alike; an empty table
@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetflow.llm.common import examples, materialize, texts
+from facetflow.llm.common import EXAMPLE_CHARS, SAMPLE_CHARS, examples, materialize, texts
 from facetflow.llm.quality import calibrate
 
 SAMPLE = 16_000
 
-#: Lexicons by kind of abuse.
+#: Lexicons by kind of abuse.
 LEXICONS = {
     "persons": "idiot moron loser clown fool jerk imbecile creep bigot bastard",
     "contempt": "stupid pathetic worthless dumb useless ridiculous hopeless inferior",
@@ -44,9 +44,9 @@ LEXICONS = {
     "shaming": "coward liar traitor disgrace shame ashamed embarrassment",
     "profanity": "damn crap bloody freaking bullshit hell",
 }
-#: Phrases of abuse.
+#: Phrases of abuse.
 PHRASES = ("shut up", "go to hell", "drop dead", "get lost", "nobody likes you", "nobody wants you", "i hope you", "people like you")
-#: Characters stripped from words' ends.
+#: Characters stripped from words' ends.
 MARKS = ".,!?:;\"'()[]{}<>*%&$#|"
 PATTERNS = ("marks", "shouting", "masked", "aimed", "phrases")
 #: Induced terms part at these shares of toxic rows among those that hold them.
@@ -57,10 +57,13 @@ _AIMED = re.compile(r"\b(?:you|you're|your|u)\b(?:\W+\w+){0,3}?\W+(?:" + "|".joi
 
 
 def terms(text: str) -> tuple[set[str], set[str]]:
-    """The distinct words of a text and their beginnings."""
+    """The distinct words of a text and their beginnings; a beginning that two or three words share counts as further ones."""
     words = {w.strip(MARKS) for w in set(text.lower().split())}
     words.discard("")
-    starts = {w[:n] for w in words for n in STARTS if len(w) >= n}
+    shared = Counter(w[:n] for w in words for n in STARTS if len(w) >= n)
+    starts = set(shared)
+    starts.update(f"{s} 2" for s, k in shared.items() if k > 1)
+    starts.update(f"{s} 3" for s, k in shared.items() if k > 2)
     return words, starts
 
 
@@ -236,8 +239,11 @@ def score(model: dict, text: str) -> float:
     return 1 / (1 + math.exp(-min(max(z, -60.0), 60.0)))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = 0.7) -> DataFrame:
-    """Rows (doc_id, score, predicted), one per row of ``docs``. ``learn``: a condition on the column id of rows to learn from."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = 0.7, chars: int = SAMPLE_CHARS, longest: int = EXAMPLE_CHARS) -> DataFrame:
+    """Rows (doc_id, score, predicted), one per row of ``docs``. ``learn``: a condition on the column id of rows to learn from.
+
+    The sample has at most ``sample`` rows and ``chars`` characters, and no text of more than ``longest``.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     may = rows.where(learn)
@@ -245,7 +251,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label_col:
     # rows with labels first, then others
     drawn = may.where("id is not null").select("id").distinct().join(known, "id", "left").select(F.xxhash64("id", F.lit(23)).alias("h"), "id", F.coalesce("label", F.lit(-1)).alias("label"))
     some = drawn.select((F.col("label") < 0).alias("bare"), "h", "id", "label").orderBy("bare", "h", "id").limit(sample)
-    picked = materialize(examples(may, some).select("h", "id", "text", "label"), "toxicity-sample")
+    picked = materialize(examples(may, some, chars, longest).select("h", "id", "text", "label"), "toxicity-sample")
 
     def one_task(f):
         got = picked.groupBy(F.lit(1).alias("one")).applyInPandas(lambda pdf: pd.DataFrame({"out": [json.dumps(f(pdf.sort_values(["h", "id"])))]}), "out string").first()

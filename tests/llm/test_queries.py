@@ -24,6 +24,24 @@ def test_scores_and_their_folds(spark, sf):
         assert all(r.held_out == (fold(r.doc_id, n) == out) and 0 <= r.score <= 1 and r.predicted == int(r.score >= bar) for r in rows)
 
 
+def test_held_out_documents_are_told_apart():
+    """On rows that no model learned from: toxic ones are found in each language, poor ones as well, and others left alone."""
+    from pyspark.sql import SparkSession
+
+    spark, sf = SparkSession.getActiveSession(), "/root/testdata/sf0.1"
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    for f, name, least, clean, each in ((queries.toxicity_query, "toxic", 0.82, 0.99, 0.6), (queries.quality_query, "quality", 0.97, 0.97, 0.9)):
+        hits = collections.defaultdict(list)
+        for r in f(spark, sf).where("held_out").collect():
+            if r.doc_id in labels and labels[r.doc_id][name] is not None:
+                hits[labels[r.doc_id][name], lang[r.doc_id]].append(r.predicted)
+        found = [x for (y, _), xs in hits.items() if y == 1 for x in xs]
+        wrong = [x for (y, _), xs in hits.items() if y == 0 for x in xs]
+        assert np.mean(found) >= least and 1 - np.mean(wrong) >= clean
+        assert all(np.mean(xs) >= each for (y, k), xs in hits.items() if y == 1 and len(xs) >= 10), (name, {k: (len(v), np.mean(v)) for k, v in hits.items()})
+
+
 def test_neighbours_with_production_parameters():
     """Every query of a few thousand vectors against brute force."""
     import duckdb
