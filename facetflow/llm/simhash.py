@@ -441,10 +441,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def tiled(front: DataFrame) -> DataFrame:
         """The same where buckets have many first nodes: they go in tiles of TILE, and no pair that is unlike is ever a row.
 
-        A first node is in one tile, that of the least of its buckets. A node asks each tile of its buckets once, however
-        many of them it shares with it; those that ask one tile are dealt out.
+        A first node is in one tile, that of the largest of its buckets, where the others of the tile are with it. A node asks
+        each tile of its buckets once, however many of them it shares with it; those that ask one tile are dealt out.
         """
-        home = front.groupBy("m").agg(F.min(F.struct("s", "key", F.floor((F.col("n") - 1) / TILE).alias("g"))).alias("h")).select("m", F.xxhash64("h.s", "h.key", "h.g").alias("tile"))
+        home = front.groupBy("m").agg(F.max(F.struct("size", "s", "key", F.floor((F.col("n") - 1) / TILE).alias("g"))).alias("h")).select("m", F.xxhash64("h.s", "h.key", "h.g").alias("tile"))
         home = materialize(home, "near-tiles")
         tiles = front.join(home, "m").select("s", "key", "tile").distinct()
         asks = materialize(spread(now, tiles, ["s", "key"], F.col("m.d")).select("tile", F.col("m.d").alias("d")).distinct(), "near-asks")
@@ -475,8 +475,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost, most = None, 1
     while not now.isEmpty():
         # the first ``most`` of each bucket: one in the first round, which ends large groups
-        front = materialize(now.withColumn("n", F.row_number().over(W.partitionBy("s", "key").orderBy("m"))).where(F.col("n") <= most), "near-front")
-        found = compared(front.drop("n")) if most == 1 else tiled(front)
+        bucket = W.partitionBy("s", "key")
+        front = materialize(now.withColumn("n", F.row_number().over(bucket.orderBy("m"))).withColumn("size", F.count(F.lit(1)).over(bucket)).where(F.col("n") <= most), "near-front")
+        found = compared(front.drop("n", "size")) if most == 1 else tiled(front)
         behind = now.join(front, ["s", "key", "m"], "left_anti").select(F.col("m.d").alias("d"))
         stays = materialize(front.select(F.col("m.d").alias("d")).distinct().join(behind.unionByName(found.select("d")).distinct(), "d", "left_anti"), "near-first")
         gone = materialize(spread(found, stays.select(F.col("d").alias("fd")), ["fd"], F.col("d"), "left_semi").select("d").distinct(), "near-gone")
