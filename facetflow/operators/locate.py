@@ -28,12 +28,12 @@ class Cells(NamedTuple):
     levels: list[tuple[int, ...]]
 
 
-def _levels(extents: list[Column]) -> list[Column]:
-    """For each extent the finest level whose cells are as wide at least.
+def _levels(extents: list[Column], finer: int = 0) -> list[Column]:
+    """For each extent the finest level whose cells are as wide at least, or so many levels finer.
 
     Never null, and seen to be so: else Spark would ask whether it is, with the whole expression in each join below.
     """
-    return [F.coalesce(F.greatest(F.lit(COARSEST), F.least(F.lit(FINEST), F.floor(-F.log2(F.greatest(x, F.lit(2.0**-60)))))).cast("int"), F.lit(0)) for x in extents]
+    return [F.coalesce(F.greatest(F.lit(COARSEST), F.least(F.lit(FINEST), F.floor(-F.log2(F.greatest(x, F.lit(2.0**-60)))) + finer)).cast("int"), F.lit(0)) for x in extents]
 
 
 def _coarser(found: list[tuple[int, ...]], most: int = MOST_LEVELS) -> int:
@@ -45,14 +45,14 @@ def _coarser(found: list[tuple[int, ...]], most: int = MOST_LEVELS) -> int:
 
 
 def planar_cells(triangles: DataFrame) -> Cells:
-    """Triangles (mesh_id, f, ua, ub, uc) with the cells (lu, lw, i, j) that their bounding boxes touch, four at most.
+    """Triangles (mesh_id, f, ua, ub, uc) with the cells (lu, lw, i, j) that their bounding boxes touch, nine at most.
 
-    A triangle stands at the level of its own width and of its own height, so no large one falls into many small cells, and no
+    A triangle stands at a level of its own width and of its own height (a cell is half of it at least), so no large one falls into many small cells, and no
     small one shares its cell with many others than small ones. Levels are told apart as finely as MOST_LEVELS allows.
     """
     box = [(F.least(*(F.col(p)[c] for p in ("ua", "ub", "uc"))), F.greatest(*(F.col(p)[c] for p in ("ua", "ub", "uc")))) for c in "xy"]
     pad = 1e-9
-    sized = triangles.select("mesh_id", "f", "ua", "ub", "uc", *(x.alias(n) for x, n in zip(_levels([hi - lo + 2 * pad for lo, hi in box]), ("lu", "lw"))), *((x + d).alias(n) for (lo, hi), axis in zip(box, "uw") for x, d, n in ((lo, -pad, f"{axis}0"), (hi, pad, f"{axis}1"))))
+    sized = triangles.select("mesh_id", "f", "ua", "ub", "uc", *(x.alias(n) for x, n in zip(_levels([hi - lo + 2 * pad for lo, hi in box], 1), ("lu", "lw"))), *((x + d).alias(n) for (lo, hi), axis in zip(box, "uw") for x, d, n in ((lo, -pad, f"{axis}0"), (hi, pad, f"{axis}1"))))
     found = [(r["lu"], r["lw"]) for r in sized.where("u0 is not null and w0 is not null and u1 is not null and w1 is not null").select("lu", "lw").distinct().collect()]  # 81 levels each at most
     step = _coarser(found)
     down = lambda c: F.coalesce((F.floor(F.col(c) / step) * step).cast("int"), F.lit(0))

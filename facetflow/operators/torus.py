@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from facetflow.operators import graph, homology, locate, measures, solve
 from facetflow.operators.embedding import boundary_rings
@@ -147,8 +148,6 @@ def cover_paths(nodes: DataFrame, edge: DataFrame, ends: DataFrame, within: floa
     rows = way.join(far, ["mesh_id", "node"]).join(nodes, ["mesh_id", "node"])
     # of the copies at one place the least stands for all
     rows = rows.groupBy("mesh_id", "end", F.col("orig").alias("v"), F.round("u", 9).alias("u"), F.round("w", 9).alias("w")).agg(F.min("distance").alias("distance"), F.min("node").alias("node"))
-    from pyspark.sql.window import Window as W
-
     seq = F.row_number().over(W.partitionBy("mesh_id", "end").orderBy("distance")) - 1
     return rows.select("mesh_id", "end", seq.cast("long").alias("seq"), "node", "v", "u", "w", "distance")
 
@@ -209,3 +208,64 @@ def pair_paths(nodes: DataFrame, edge: DataFrame, pairs: DataFrame, stretch: flo
         left = graph.cut(left.join(settled, ["mesh_id", "pair_id"], "left_anti").where("bound < 40").withColumn("bound", 2 * F.col("bound")))
         if not left.limit(1).count():
             return found.select("pair_id", "mesh_id", "seq", "node", "v", "u", "w", "distance")
+
+
+def _same_places(nodes: DataFrame) -> DataFrame:
+    """(mesh_id, node, place): the least of the cover's nodes at the place of each."""
+    at = nodes.withColumn("pu", F.round("u", 9)).withColumn("pw", F.round("w", 9))
+    key = ["mesh_id", "orig", "pu", "pw"]
+    return at.join(at.groupBy(*key).agg(F.min("node").alias("place")), key).select("mesh_id", "node", "place")
+
+
+def cover_faces(cut: Split, nodes: DataFrame) -> DataFrame:
+    """(mesh_id, f, a, b, c): the faces of all nine tiles, f = 9 face + tile, with corners that seams share."""
+    place = graph.cut(_same_places(nodes))
+    rows = cut.mesh.faces.select("mesh_id", "f", *"abc", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("tile"))
+    rows = rows.select("mesh_id", (9 * F.col("f") + F.col("tile")).alias("f"), *((9 * F.col(c) + F.col("tile")).alias(c) for c in "abc"))
+    for c in "abc":
+        rows = rows.join(place.select("mesh_id", F.col("node").alias(c), F.col("place").alias(f"at_{c}")), ["mesh_id", c]).drop(c).withColumnRenamed(f"at_{c}", c)
+    return rows.select("mesh_id", "f", "a", "b", "c")
+
+
+def pulled_paths(faces: DataFrame, positions: DataFrame, ways: DataFrame, points: tuple[int, ...] = (3, 15)) -> DataFrame:
+    """(pair_id, mesh_id, seq, x, y, z, distance): ways (pair_id, mesh_id, seq, node) over the cover, pulled tight across its faces.
+
+    ``faces``: see :func:`cover_faces`; ``positions`` (mesh_id, node, x, y, z) in space. Around a way lies a corridor of faces. Each of
+    its edges gets some points, any two points of a face are joined by a straight line, and the shortest way from end to end replaces
+    the old one; its own corridor, with more points, is next (``points`` an edge, round by round). The cover is a plane without
+    holes, so the way keeps its homotopy class; edges stay lines of the graph, so it gets no longer. Each pair is a graph of its own.
+    """
+    top = faces.agg(F.max(F.greatest("a", "b", "c")).alias("n")).first()["n"]
+    if top is None:
+        raise MeshError("Mesh has no faces.")
+    wide = top + 1
+    own = F.struct("mesh_id", "pair_id").alias("mesh_id")  # a pair is a mesh to the graph's operators
+    ends = graph.cut(ways.groupBy("mesh_id", "pair_id").agg(F.min_by("node", "seq").alias("first"), F.max_by("node", "seq").alias("last")))
+    corners = graph.cut(faces.select("mesh_id", "f", F.explode(F.array("a", "b", "c")).alias("node")))
+    near = graph.cut(ways.select("mesh_id", "pair_id", "node").distinct().join(corners, ["mesh_id", "node"]).select("mesh_id", "pair_id", "f").distinct())
+    out = None
+    for m in points:
+        # points of an edge by its ends and a number from 0, which is the lower end
+        number = lambda lo, hi, k: (lo * wide + hi) * (m + 1) + k  # noqa: E731, B023
+        on = near.join(faces, ["mesh_id", "f"])
+        for c in "abc":
+            on = on.join(positions.select("mesh_id", F.col("node").alias(c), F.struct("x", "y", "z").alias(f"p{c}")), ["mesh_id", c])
+        sides = []
+        for a, b in (("a", "b"), ("b", "c"), ("c", "a")):
+            lo, hi = F.least(a, b), F.greatest(a, b)
+            low, high = F.when(F.col(a) < F.col(b), F.col(f"p{a}")).otherwise(F.col(f"p{b}")), F.when(F.col(a) < F.col(b), F.col(f"p{b}")).otherwise(F.col(f"p{a}"))
+            sides.append(F.transform(F.sequence(F.lit(1), F.lit(m)), lambda k, lo=lo, hi=hi, low=low, high=high: F.struct(number(lo, hi, k).alias("id"), *((low[x] + (high[x] - low[x]) * k / (m + 1)).alias(x) for x in "xyz"))))
+        tips = F.array(*(F.struct(number(F.col(c), F.col(c), F.lit(0)).alias("id"), *(F.col(f"p{c}")[x].alias(x) for x in "xyz")) for c in "abc"))
+        at = graph.cut(on.select(own, "f", F.explode(F.concat(tips, *sides)).alias("s")).select("mesh_id", "f", "s.*"))
+        other = at.select("mesh_id", "f", F.col("id").alias("b"), *(F.col(x).alias(f"{x}2") for x in "xyz"))
+        gap = F.sqrt(sum(((F.col(x) - F.col(f"{x}2")) ** 2 for x in "yz"), (F.col("x") - F.col("x2")) ** 2))
+        lines = graph.cut(at.withColumnRenamed("id", "a").join(other, ["mesh_id", "f"]).where("a < b").select("mesh_id", "a", "b", gap.alias("length")).distinct())
+        goal = ends.select(own, number(F.col("first"), F.col("first"), F.lit(0)).alias("first"), number(F.col("last"), F.col("last"), F.lit(0)).alias("last"))
+        far = graph.cut(graph.distances(lines, goal.select("mesh_id", F.col("first").alias("node"))))
+        tree = graph.cut(graph.shortest_tree(lines, far))
+        way = graph.root_paths(tree, goal.select("mesh_id", F.col("last").alias("start"))).select("mesh_id", "node").unionByName(goal.select("mesh_id", F.col("first").alias("node"))).distinct()
+        place = at.select("mesh_id", F.col("id").alias("node"), "x", "y", "z").dropDuplicates(["mesh_id", "node"])
+        out = graph.cut(way.join(far, ["mesh_id", "node"]).join(place, ["mesh_id", "node"]))
+        near = graph.cut(at.select("mesh_id", "f", F.col("id").alias("node")).join(out.select("mesh_id", "node"), ["mesh_id", "node"]).select("mesh_id.mesh_id", "mesh_id.pair_id", "f").distinct())
+    seq = F.row_number().over(W.partitionBy("mesh_id").orderBy("distance", "node")) - 1
+    return out.select("mesh_id.pair_id", "mesh_id.mesh_id", seq.cast("long").alias("seq"), "x", "y", "z", "distance")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facetflow.operators import graph, homology, loops, surgery, topology
+from facetflow.operators import graph, homology, loops, measures, surgery, topology
 from facetflow.operators import torus as torus_of
 from facetflow.plans import surfaces
 from facetflow.shared import materialize
@@ -176,3 +176,18 @@ def test_ways_between_places(spark, sf):
         assert abs(way[-1].distance - want) < 1e-9 and [r.seq for r in way] == list(range(len(way)))
         assert abs(sum(np.hypot(a.u - b.u, a.w - b.w) for a, b in zip(way, way[1:])) - want) < 1e-9
     assert len(got[3]) == 1 and len(got) == 4
+    # pulled tight: in the flat cover hardly longer than a straight line, on the surface no longer than along edges
+    ways = materialize(torus_of.pair_paths(nodes, edge, pairs.where("pair_id < 3")))
+    faces = materialize(torus_of.cover_faces(cut, nodes))
+    flat = materialize(nodes.select("mesh_id", "node", F.col("u").alias("x"), F.col("w").alias("y"), F.lit(0.0).alias("z")))
+    length = {r.pair_id: r.d for r in torus_of.pulled_paths(faces, flat, ways).groupBy("pair_id").agg(F.max("distance").alias("d")).collect()}
+    for k in (1, 2):
+        straight = float(np.hypot(got[k][-1].u - got[k][0].u, got[k][-1].w - got[k][0].w))
+        assert straight - 1e-9 <= length[k] <= 1.002 * straight and length[k] < got[k][-1].distance - 1e-6
+    at = nodes.select("mesh_id", "node", F.col("orig").alias("v")).join(tables.part_torus(spark, sf).vertices, ["mesh_id", "v"])
+    along = measures.path_lengths(ways.join(at.select("mesh_id", "node", *"xyz"), ["mesh_id", "node"]).select(F.col("pair_id").alias("path_id"), "seq", *"xyz"))
+    tight = torus_of.pulled_paths(faces, materialize(at.select("mesh_id", "node", *"xyz")), ways)
+    pulled = {r.pair_id: r.d for r in tight.groupBy("pair_id").agg(F.max("distance").alias("d")).collect()}
+    assert all(pulled[r.path_id] <= r.length + 1e-9 for r in along.collect()) and len(pulled) == 2
+    drawn = measures.path_lengths(tight.select(F.col("pair_id").alias("path_id"), "seq", *"xyz"))
+    assert all(abs(pulled[r.path_id] - r.length) < 1e-9 for r in drawn.collect())
