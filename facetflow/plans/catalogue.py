@@ -37,6 +37,8 @@ UNION ALL SELECT 2 * v + 1, i / n::DOUBLE, j / 20.0::DOUBLE, (i + 1) / n::DOUBLE
 
 _POINTS = "pts AS (SELECT DISTINCT a * 1000 + b AS point_id, (4 * a + 1) / 3988.0::DOUBLE AS u, (4 * b + 1) / 3964.0::DOUBLE AS w FROM (SELECT (7 * l_orderkey + l_partkey) % 997 AS a, l_orderkey % 991 AS b FROM lineitem))"
 
+_LINE_POINTS = "pts AS (SELECT l_orderkey * 8 + l_linenumber AS point_id, (4 * max((7 * l_orderkey + l_partkey) % 997) + 1) / 3988.0::DOUBLE AS u, (4 * (l_orderkey % 991) + 1) / 3964.0::DOUBLE AS w FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+
 #: The unit grid in closed form: a point's cell and the side of its diagonal.
 _LOCATED = f"""loc AS (SELECT point_id, 2 * (floor(u * {GRID})::BIGINT * {GRID} + floor(w * {GRID})::BIGINT) + (s < t)::BIGINT AS f,
 CASE WHEN s >= t THEN 1 - s ELSE 1 - t END AS l0, CASE WHEN s >= t THEN s - t ELSE s END AS l1, CASE WHEN s >= t THEN t ELSE t - s END AS l2 FROM (SELECT *, u * {GRID} - floor(u * {GRID}) AS s, w * {GRID} - floor(w * {GRID}) AS t FROM pts))"""
@@ -250,6 +252,12 @@ def planar_locate(spark, d):
     return locate.planar(tables.uv_points(spark, d), tables.unit_grid(spark, GRID)).select("point_id", "f", *(r6(f"l{k}").alias(f"l{k}") for k in range(3)))
 
 
+@query("line_locate", f"WITH {_LINE_POINTS}, {_LOCATED} SELECT point_id, f, {_r('l0')} AS l0, {_r('l1')} AS l1, {_r('l2')} AS l2 FROM loc")
+def line_locate(spark, d):
+    """A point for each line of each order, so that the work grows with the table."""
+    return locate.planar(tables.line_points(spark, d), tables.unit_grid(spark, GRID)).select("point_id", "f", *(r6(f"l{k}").alias(f"l{k}") for k in range(3)))
+
+
 @query("bary_to_point", _TORUS + f", {_POINTS}, q AS (SELECT point_id, floor(u * n)::BIGINT AS i, floor(w * 20)::BIGINT AS j, u * n - floor(u * n) AS s, w * 20 - floor(w * 20) AS t FROM pts, size), l AS (SELECT point_id, 2 * (i * 20 + j) + (s < t)::BIGINT AS f, CASE WHEN s >= t THEN 1 - s ELSE 1 - t END AS l0, CASE WHEN s >= t THEN s - t ELSE s END AS l1, CASE WHEN s >= t THEN t ELSE t - s END AS l2 FROM q) SELECT point_id, {_r('l0 * ax + l1 * bx + l2 * cx')} AS x, {_r('l0 * ay + l1 * by_ + l2 * cy')} AS y, {_r('l0 * az + l1 * bz + l2 * cz')} AS z FROM l JOIN tri USING (f)")
 def bary_to_point(spark, d):
     located = locate.planar(tables.uv_points(spark, d), tables.torus_uv(spark, d))
@@ -270,11 +278,24 @@ def sphere_locate(spark, d):
     return locate.sphere(tables.directions(spark, d), topology.with_corners(tables.icosahedron_mesh(spark))).select("point_id", "f", *(r6(f"l{k}").alias(f"l{k}") for k in range(3)))
 
 
+def _lattice(spark: SparkSession) -> DataFrame:
+    n = GRID + 1
+    return spark.range(n * n).select(F.lit(0).cast("long").alias("mesh_id"), F.col("id").alias("v"), (F.floor(F.col("id") / n) / F.lit(float(GRID))).alias("u"), (F.col("id") % n / F.lit(float(GRID))).alias("w"))
+
+
 @query("nearest_vertex", f"WITH {_POINTS} SELECT point_id, (round(u * {GRID}) * {GRID + 1} + round(w * {GRID}))::BIGINT AS v, {_r(f'sqrt((u - round(u * {GRID}) / {GRID}.0::DOUBLE) ** 2 + (w - round(w * {GRID}) / {GRID}.0::DOUBLE) ** 2)')} AS distance FROM pts")
 def nearest_vertex(spark, d):
-    n = GRID + 1
-    lattice = spark.range(n * n).select(F.lit(0).cast("long").alias("mesh_id"), F.col("id").alias("v"), (F.floor(F.col("id") / n) / F.lit(float(GRID))).alias("u"), (F.col("id") % n / F.lit(float(GRID))).alias("w"))
-    return locate.nearest_vertices(tables.uv_points(spark, d), lattice, GRID).select("point_id", "v", r6("distance").alias("distance"))
+    return locate.nearest_vertices(tables.uv_points(spark, d), _lattice(spark), GRID).select("point_id", "v", r6("distance").alias("distance"))
+
+
+@query("line_nearest_vertex", f"WITH {_LINE_POINTS} SELECT point_id, (round(u * {GRID}) * {GRID + 1} + round(w * {GRID}))::BIGINT AS v, {_r(f'sqrt((u - round(u * {GRID}) / {GRID}.0::DOUBLE) ** 2 + (w - round(w * {GRID}) / {GRID}.0::DOUBLE) ** 2)')} AS distance FROM pts")
+def line_nearest_vertex(spark, d):
+    return locate.nearest_vertices(tables.line_points(spark, d), _lattice(spark), GRID).select("point_id", "v", r6("distance").alias("distance"))
+
+
+@query("line_tiles", f"WITH {_LINE_POINTS}, t AS (SELECT * FROM (VALUES (-1), (0), (1)) AS x(tu), (VALUES (-1), (0), (1)) AS y(tw)) SELECT 3 * (tu + 1) + tw + 1 AS tile, point_id AS v, {_r('u + tu')} AS u, {_r('w + tw')} AS w FROM pts, t")
+def line_tiles(spark, d):
+    return locate.tiles(tables.line_points(spark, d).withColumnRenamed("point_id", "v")).select("tile", "v", r6("u").alias("u"), r6("w").alias("w"))
 
 
 @query("f3_tiles", f"WITH {_POINTS}, t AS (SELECT * FROM (VALUES (-1), (0), (1)) AS x(tu), (VALUES (-1), (0), (1)) AS y(tw)) SELECT 3 * (tu + 1) + tw + 1 AS tile, point_id AS v, {_r('u + tu')} AS u, {_r('w + tw')} AS w FROM pts, t")

@@ -71,6 +71,14 @@ def uv_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("a") * 1000 + F.col("b")).alias("point_id"), F.lit(0).cast("long").alias("mesh_id"), ((4 * F.col("a") + 1) / F.lit(3988.0)).alias("u"), ((4 * F.col("b") + 1) / F.lit(3964.0)).alias("w"))
 
 
+def line_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(point_id, mesh_id, u, w): a place in the unit square for each line of each order; none lies on a line of an odd grid."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = line.groupBy("l_orderkey", "l_linenumber").agg(F.max((7 * F.col("l_orderkey") + F.col("l_partkey")) % 997).alias("a"))
+    b = F.col("l_orderkey") % 991
+    return rows.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("point_id"), F.lit(0).cast("long").alias("mesh_id"), ((4 * F.col("a") + 1) / F.lit(3988.0)).alias("u"), ((4 * b + 1) / F.lit(3964.0)).alias("w"))
+
+
 def unit_grid(spark: SparkSession, n: int) -> DataFrame:
     """(mesh_id, f, ua, ub, uc)."""
     cell = spark.range(n * n).select(F.col("id"), F.floor(F.col("id") / n).alias("i"), (F.col("id") % n).alias("j"))
