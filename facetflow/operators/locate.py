@@ -205,7 +205,7 @@ def nearest_vertices(points: DataFrame, vertices: DataFrame, cells: int) -> Data
     """(point_id, mesh_id, v, distance): the nearest of vertices (mesh_id, v, u, w), the lowest on ties.
 
     A vertex goes to its cell and the eight around it, a point meets those of its cell; what is nearer than a cell's width is
-    settled. Others try again with cells twice as wide, until a cell holds all that there is: so every point of a mesh that has a
+    settled. Others try again with cells twice as wide, those that are still left with much wider ones, until a cell holds all that there is: so every point of a mesh that has a
     vertex gets a row. Points and vertices with a coordinate that is null, no number or infinite take no part.
     """
     fine = "u is not null and w is not null and not isnan(u) and not isnan(w) and abs(u) < double('infinity') and abs(w) < double('infinity')"
@@ -213,14 +213,14 @@ def nearest_vertices(points: DataFrame, vertices: DataFrame, cells: int) -> Data
     steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
     d = (F.col("u") - F.col("vu")) ** 2 + (F.col("w") - F.col("vw")) ** 2
     left = points.join(vertices.select("mesh_id").distinct(), "mesh_id", "left_semi").select("point_id", "mesh_id", "u", "w")
-    out, n, least = None, float(cells), None
+    out, n, least, rounds = None, float(cells), None, 0
     while True:
         cell = lambda c, n=n: F.floor(F.col(c) * n)
         near = vertices.select("mesh_id", "v", F.col("u").alias("vu"), F.col("w").alias("vw"), cell("u").alias("i"), cell("w").alias("j"), F.explode(steps).alias("s")).select("mesh_id", "v", "vu", "vw", (F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"))
         asked = left.select("point_id", "mesh_id", "u", "w", cell("u").alias("i"), cell("w").alias("j"))
         best = asked.join(near, ["mesh_id", "i", "j"]).groupBy("point_id", "mesh_id").agg(F.min(F.struct(F.round(d, 12).alias("d"), "v")).alias("s"))
         last = least is not None and n <= least  # all are within a cell of each other
-        settled = best.where(F.lit(last) | (F.col("s.d") <= 1.0 / n**2)).select("point_id", "mesh_id", "s.v", F.sqrt("s.d").alias("distance"))
+        settled = best.where(F.lit(True) if last else F.col("s.d") <= 1.0 / n**2).select("point_id", "mesh_id", "s.v", F.sqrt("s.d").alias("distance"))
         out = settled if out is None else out.unionByName(settled)
         left = left.join(settled, ["point_id", "mesh_id"], "left_anti")
         if last or left.isEmpty():
@@ -229,7 +229,8 @@ def nearest_vertices(points: DataFrame, vertices: DataFrame, cells: int) -> Data
         if least is None:
             far = F.max(F.greatest(F.abs("u"), F.abs("w")))
             least = 0.5 / max(1e-300, 2 * max(x.agg(far).first()[0] or 0.0 for x in (left, vertices)))
-        n = n / 2 if n > 1e-9 else least  # beyond that the rest is taken at once
+        rounds += 1
+        n = n / (2 if rounds < 4 else 16) if n > 1e-9 else least  # beyond that the rest is taken at once
 
 
 def tiles(vertices: DataFrame) -> DataFrame:

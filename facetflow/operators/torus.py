@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -227,6 +227,11 @@ def cover_faces(cut: Split, nodes: DataFrame) -> DataFrame:
     return rows.select("mesh_id", "f", "a", "b", "c")
 
 
+def _points_of_edge(number, lo: Column, hi: Column, low: Column, high: Column, m: int) -> Column:
+    """An array of m points (id, x, y, z), evenly on the edge between the points ``low`` and ``high``."""
+    return F.transform(F.sequence(F.lit(1), F.lit(m)), lambda k: F.struct(number(lo, hi, k).alias("id"), *((low[x] + (high[x] - low[x]) * k / (m + 1)).alias(x) for x in "xyz")))
+
+
 def pulled_paths(faces: DataFrame, positions: DataFrame, ways: DataFrame, points: tuple[int, ...] = (3, 15)) -> DataFrame:
     """(pair_id, mesh_id, seq, x, y, z, distance): ways (pair_id, mesh_id, seq, node) over the cover, pulled tight across its faces.
 
@@ -254,7 +259,7 @@ def pulled_paths(faces: DataFrame, positions: DataFrame, ways: DataFrame, points
         for a, b in (("a", "b"), ("b", "c"), ("c", "a")):
             lo, hi = F.least(a, b), F.greatest(a, b)
             low, high = F.when(F.col(a) < F.col(b), F.col(f"p{a}")).otherwise(F.col(f"p{b}")), F.when(F.col(a) < F.col(b), F.col(f"p{b}")).otherwise(F.col(f"p{a}"))
-            sides.append(F.transform(F.sequence(F.lit(1), F.lit(m)), lambda k, lo=lo, hi=hi, low=low, high=high: F.struct(number(lo, hi, k).alias("id"), *((low[x] + (high[x] - low[x]) * k / (m + 1)).alias(x) for x in "xyz"))))
+            sides.append(_points_of_edge(number, lo, hi, low, high, m))
         tips = F.array(*(F.struct(number(F.col(c), F.col(c), F.lit(0)).alias("id"), *(F.col(f"p{c}")[x].alias(x) for x in "xyz")) for c in "abc"))
         at = graph.cut(on.select(own, "f", F.explode(F.concat(tips, *sides)).alias("s")).select("mesh_id", "f", "s.*"))
         other = at.select("mesh_id", "f", F.col("id").alias("b"), *(F.col(x).alias(f"{x}2") for x in "xyz"))

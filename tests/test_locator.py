@@ -37,12 +37,12 @@ def test_one_face_a_million_times_the_others(spark):
 
 
 def test_points_that_are_no_points(spark):
-    odd = [(1, 0, None, 0.5), (2, 0, float("nan"), 0.5), (3, 0, 0.5, float("inf")), (4, 0, 1e9, 0.5), (5, None, 0.5, 0.5), (6, 0, 0.4, 0.3)]
+    odd = [(1, 0, None, 0.5), (2, 0, float("nan"), 0.5), (3, 0, 0.5, float("inf")), (4, 0, 1e9, 0.5), (5, None, 0.5, 0.5), (6, 0, 0.4, 0.3), (7, 0, 1e300, 0.5)]
     points = spark.createDataFrame(odd, POINTS)
     assert [r.point_id for r in locate.planar(points, tables.unit_grid(spark, 3)).collect()] == [6]
     assert locate.planar(points, spark.createDataFrame([], TRIANGLES)).count() == 0
     at = spark.createDataFrame([(0, 0, 0.5, 0.25), (0, 1, None, 0.3), (0, 2, 1e6, -1e6)], "mesh_id long, v long, u double, w double")
-    assert {r.point_id: r.v for r in locate.nearest_vertices(points, at, 8).collect()} == {4: 2, 6: 0}
+    assert {r.point_id: r.v for r in locate.nearest_vertices(points, at, 8).collect()} == {4: 2, 6: 0, 7: 0}
     directions = spark.createDataFrame([(1, 0, None, 0.5, 0.1), (2, 0, float("nan"), 0.5, 0.1), (3, 0, 0.0, 0.0, 0.0), (4, 0, float("inf"), 0.0, 0.0), (5, 0, 3.0, 0.1, 0.2)], "point_id long, mesh_id long, x double, y double, z double")
     assert [r.point_id for r in locate.sphere(directions, topology.with_corners(tables.icosahedron_mesh(spark))).collect()] == [5]
 
