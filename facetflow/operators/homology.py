@@ -113,7 +113,7 @@ def harmonic_forms(trees: Trees, tolerance: float = 1e-9) -> DataFrame:
     root = trees.vertices.where("parent is null").select("mesh_id", F.col("node").alias("v"), F.lit(0.0).alias("value"))
     fixed = trees.rest.select("mesh_id", F.col("generator").alias("system")).join(root, "mesh_id")
     weights = trees.edges.select("mesh_id", F.col("lo").alias("v0"), F.col("hi").alias("v1"), F.lit(1.0).alias("weight"))
-    x = solve.dirichlet(weights, fixed, load, tolerance)
+    x = solve.dirichlet(weights, fixed, load, tolerance=tolerance)
     rows = trees.edges.join(trees.rest.select("mesh_id", "generator"), "mesh_id").select("mesh_id", "generator", "e", "lo", "hi")
     for c in ("lo", "hi"):
         rows = rows.join(x.select("mesh_id", F.col("system").alias("generator"), F.col("v").alias(c), F.col("value").alias(f"x_{c}")), ["mesh_id", "generator", c])

@@ -192,3 +192,17 @@ def test_ways_between_places(spark, sf):
     assert all(pulled[r.path_id] <= r.length + 1e-9 for r in along.collect()) and len(pulled) == 2
     drawn = measures.path_lengths(tight.select(F.col("pair_id").alias("path_id"), "seq", *"xyz"))
     assert all(abs(pulled[r.path_id] - r.length) < 1e-9 for r in drawn.collect())
+
+
+def test_harmonic_forms_of_a_mesh_of_many_blocks(torus, trees, monkeypatch):
+    """Larger than one block, whatever the block's size."""
+    from functools import partial
+
+    from facetflow.operators import solve
+
+    monkeypatch.setattr(solve, "dirichlet", partial(solve.dirichlet, block=60, dense=120))
+    form = materialize(homology.harmonic_forms(trees))
+    for incidence in measures.incidence(torus):
+        rows = form.join(incidence.select("mesh_id", "row", F.col("col").alias("e"), F.col("val").alias("sign")), ["mesh_id", "e"])
+        sums = rows.groupBy("generator", "row").agg(F.sum(F.col("val") * F.col("sign")).alias("sum"))
+        assert sums.agg(F.max(F.abs("sum"))).first()[0] < 1e-9
