@@ -136,3 +136,24 @@ def test_components(spark):
         root[y] = x
     got = {(r.mesh_id, r.node): r.root for r in graph.components(spark.createDataFrame(edges, "mesh_id long, a long, b long")).collect()}
     assert got == {k: find(k)[1] for k in root}
+
+
+def test_blocks_by_faces_where_places_wander(spark):
+    """A strip whose vertices stand at random, and whose ids are in two runs, is parted by the order of its faces."""
+    n, wide, rng = 200, 4, np.random.default_rng(2)
+    at = lambda i, j: i * wide + j + (10_000 if j % 2 else 0)
+    faces = spark.createDataFrame([(0, i * wide + j, at(i, j), at(i + 1, j), at(i, j + 1)) for i in range(n - 1) for j in range(wide - 1)], "mesh_id long, f long, a long, b long, c long")
+    edges = [(at(i, j), at(i + a, j + b)) for i in range(n) for j in range(wide) for a, b in ((0, 1), (1, 0)) if i + a < n and j + b < wide]
+    rows = spark.createDataFrame([(0, min(e), max(e), 1.0) for e in edges], "mesh_id long, a long, b long, weight double")
+    places = spark.createDataFrame([(0, at(i, j), *map(float, rng.uniform(size=3))) for i in range(n) for j in range(wide)], "mesh_id long, v long, x double, y double, z double")
+    order = condense.order_of(faces, "f", *"abc")
+    nodes = places.select("mesh_id", "v")
+    got = condense.best_blocks(rows, nodes, places, 80, n * wide, order)
+    assert got.count() == n * wide and got.select("block").distinct().count() >= 8
+    assert condense.across(rows, got).first()["met"] <= 100
+    held = {at(0, 0): 1.0, at(n - 1, 1): 3.0}
+    fixed = spark.createDataFrame([(0, 0, v, x) for v, x in held.items()], FIXED.format("long"))
+    found = {r.v: r.value for r in solve.dirichlet(rows.withColumnsRenamed({"a": "v0", "b": "v1"}), fixed, places=places, block=80, dense=160, order=order).collect()}
+    number = {v: k for k, v in enumerate(sorted(found))}
+    want = dense_solution([(number[a], number[b], 1.0) for a, b in edges], {number[v]: x for v, x in held.items()}, {})
+    assert len(found) == n * wide and max(abs(found[v] - want[number[v]]) for v in found) < 1e-9
