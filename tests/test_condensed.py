@@ -157,3 +157,11 @@ def test_blocks_by_faces_where_places_wander(spark):
     number = {v: k for k, v in enumerate(sorted(found))}
     want = dense_solution([(number[a], number[b], 1.0) for a, b in edges], {number[v]: x for v, x in held.items()}, {})
     assert len(found) == n * wide and max(abs(found[v] - want[number[v]]) for v in found) < 1e-9
+
+
+def test_bounded_ways_are_condensed(spark, monkeypatch):
+    """A long way up to a bound takes no round an edge, and a node at the bound itself is in it, however its sum is rounded."""
+    monkeypatch.setattr(graph, "relaxed", None)
+    edges = spark.createDataFrame([(0, k, k + 1, 0.1) for k in range(300)], "mesh_id long, a long, b long, length double")
+    got = {r.node: r.distance for r in graph.distances(edges, spark.createDataFrame([(0, 0)], "mesh_id long, node long"), within=20.0, block=40, dense=90).collect()}
+    assert got.keys() == set(range(201)) and max(abs(got[k] - k / 10) for k in got) < 1e-9
