@@ -165,3 +165,35 @@ def test_bounded_ways_are_condensed(spark, monkeypatch):
     edges = spark.createDataFrame([(0, k, k + 1, 0.1) for k in range(300)], "mesh_id long, a long, b long, length double")
     got = {r.node: r.distance for r in graph.distances(edges, spark.createDataFrame([(0, 0)], "mesh_id long, node long"), within=20.0, block=40, dense=90).collect()}
     assert got.keys() == set(range(201)) and max(abs(got[k] - k / 10) for k in got) < 1e-9
+
+
+@pytest.mark.parametrize("at_once", [None, 0])
+def test_potentials(spark, at_once):
+    """Sums of steps are differences of the values that made them, whether parts are joined at once or by trees."""
+    rng = np.random.default_rng(7)
+    value, other = rng.normal(size=3000), rng.normal(size=3000)
+    ends = [(i, i + 1) for i in range(2999) if i != 1999] + [(i + 40, i) for i in range(2960) if not 1960 <= i <= 1999]
+    rows = [(5, g, a, b, float(x[b] - x[a]), (a * 7919) % 3000) for g, x in ((1, value), (2, other)) for a, b in ends]  # no near numbers: nodes are shared
+    steps = spark.createDataFrame(rows, "mesh_id long, generator int, a long, b long, val double, at long").withColumn("at", F.col("at") * 16384)
+    got = {(r.generator, r.node): r.value for r in graph.potentials(steps, at_once).collect()}
+    assert len(got) == 6000
+    for g, x in ((1, value), (2, other)):
+        assert max(abs(got[g, i] - (x[i] - x[0 if i < 2000 else 2000])) for i in range(3000)) < 1e-9
+
+
+def test_components_of_near_ids_need_no_rounds(spark, monkeypatch):
+    def rounds(*_):
+        raise AssertionError("rounds over all nodes")
+
+    monkeypatch.setattr(graph, "_stars", rounds)
+    n = 40_000  # parts of 16384 ids and of a batch share nodes
+    edges = spark.range(n).where("id % 10000 <> 9999").selectExpr("3L AS mesh_id", "id AS a", "id + 1 AS b")
+    got = graph.components(edges).groupBy("root").count().collect()
+    assert sorted((r.root, r["count"]) for r in got) == [(k * 10000, 10000) for k in range(4)]
+
+
+def test_components_of_many_links_go_on_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "AT_ONCE", 0)
+    edges = spark.range(40_000).where("id % 10000 <> 9999").selectExpr("3L AS mesh_id", "id AS a", "id + 1 AS b")
+    got = graph.components(edges).groupBy("root").count().collect()
+    assert sorted((r.root, r["count"]) for r in got) == [(k * 10000, 10000) for k in range(4)]
