@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from facetflow.operators import graph, solve
 from facetflow.operators.topology import Mesh, edges, halfedges, numbered, paired
+from facetflow.shared import sent_by_key
 
 
 class Trees(NamedTuple):
@@ -86,7 +87,7 @@ def _chains(trees: Trees, tree: DataFrame, plus: str, minus: str, sign) -> DataF
     """rest's edge, and the way to the root from its ``plus`` end less that from its ``minus`` end."""
     rest = trees.rest
     starts = rest.select("mesh_id", F.explode(F.array(plus, minus)).alias("start"))
-    ways = graph.root_paths(tree, starts).join(trees.edges, ["mesh_id", "e"]).select("mesh_id", "start", "e", sign.alias("sign"))
+    ways = graph.root_paths(tree, starts).join(sent_by_key(trees.edges), ["mesh_id", "e"]).select("mesh_id", "start", "e", sign.alias("sign"))
     ends = F.array(F.struct(F.col(plus).alias("start"), F.lit(1).alias("turn")), F.struct(F.col(minus).alias("start"), F.lit(-1).alias("turn")))
     both = rest.select("mesh_id", "generator", F.explode(ends).alias("s")).select("mesh_id", "generator", "s.start", "s.turn")
     rows = both.join(ways, ["mesh_id", "start"]).select("mesh_id", "generator", "e", (F.col("turn") * F.col("sign")).alias("val"))

@@ -197,3 +197,10 @@ def test_components_of_many_links_go_on_by_rounds(spark, monkeypatch):
     edges = spark.range(40_000).where("id % 10000 <> 9999").selectExpr("3L AS mesh_id", "id AS a", "id + 1 AS b")
     got = graph.components(edges).groupBy("root").count().collect()
     assert sorted((r.root, r["count"]) for r in got) == [(k * 10000, 10000) for k in range(4)]
+
+
+def test_ways_to_the_root_broadcast_no_tree(spark):
+    tree = spark.range(500).selectExpr("0L AS mesh_id", "id AS node", "CASE WHEN id > 0 THEN id - 1 END AS parent", "id AS e")
+    way = graph.root_paths(tree, spark.createDataFrame([(0, 499)], "mesh_id long, start long"))
+    assert "BroadcastHashJoin" not in way._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(r.node for r in way.collect()) == list(range(1, 500))
