@@ -162,7 +162,7 @@ def fit(sample: list[str], labels: np.ndarray, bits: int = BITS, c: float = 0.1,
     return part
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_col: str, text_col: str, sample: int, chars: int, longest: int) -> pd.DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_col: str, text_col: str, sample: int, chars: int = SAMPLE_CHARS, longest: int = EXAMPLE_CHARS) -> pd.DataFrame:
     """At most ``sample`` rows (text, label): the labelled rows for which ``learn`` holds with the smallest hashes.
 
     They have ``chars`` characters at most, and none has more than ``longest``.
