@@ -43,3 +43,47 @@ def test_places_on_a_ring_take_no_more_tables_the_longer_it_is(spark, monkeypatc
         assert got == {v: (0, n, k) for k, v in enumerate(order)}
         tables.append(len(written))
     assert tables[0] == tables[1]
+
+
+def from_one(edges, source):
+    near = defaultdict(list)
+    for a, b, w in edges:
+        near[a].append((b, w))
+        near[b].append((a, w))
+    found, heap = {}, [(0.0, source)]
+    while heap:
+        d, v = heapq.heappop(heap)
+        if v not in found:
+            found[v] = d
+            for x, w in near[v]:
+                heapq.heappush(heap, (d + w, x))
+    return found
+
+
+@pytest.mark.parametrize("whole", [2400, 0])
+def test_many_pairs_share_one_condensed_graph(spark, monkeypatch, whole):
+    """Against a heap from each source; no pair has a part of the graph of its own, and each level's tasks take a few pairs at a time."""
+    rng = random.Random(5)
+    _, faces = tube(60)
+    edges = {tuple(sorted(e)) for _, _, a, b, c in faces for e in ((a, b), (b, c), (c, a))} | {(400, 401), (401, 402)}
+    edges = [(a, b, rng.choice([0.0, rng.uniform(0.5, 2)])) for a, b in sorted(edges)]
+    pairs = [(0, k, rng.randrange(360), rng.randrange(360)) for k in range(60)] + [(0, 60, 7, 7), (0, 61, 3, 401), (0, 62, 400, 402)]
+    tables = spark.createDataFrame([(0, *e) for e in edges], "mesh_id long, a long, b long, length double"), spark.createDataFrame(pairs, "mesh_id long, pair_id long, source long, target long")
+    monkeypatch.setattr(graph, "PAIRS", 9)
+    monkeypatch.setattr(graph, "WHOLE", whole)
+    got = {r.pair_id: r.distance for r in graph.pair_distances(*tables, block=40, dense=80).collect()}
+    want = {k: from_one(edges, s).get(t) for _, k, s, t in pairs}
+    assert got.keys() == {k for k, d in want.items() if d is not None} and 61 not in got
+    assert max(abs(got[k] - want[k]) for k in got) < 1e-9
+
+
+def test_a_level_is_one_table(spark, monkeypatch):
+    """An edge carries the blocks of its ends, so a level of condensing writes what it found and nothing else."""
+    _, faces = tube(80)
+    edges = sorted({(0, *sorted(e)) for _, _, a, b, c in faces for e in ((a, b), (b, c), (c, a))})
+    written, plain = [], condense.materialize
+    monkeypatch.setattr(condense, "materialize", lambda df, name="table": written.append(name) or plain(df, name))
+    got = {r.node: r.level for r in graph.bfs_levels(spark.createDataFrame(edges, "mesh_id long, a long, b long"), spark.createDataFrame([(0, 0)], "mesh_id long, node long"), block=30, dense=60).collect()}
+    want = from_one([(a, b, 1.0) for _, a, b in edges], 0)
+    assert got == {v: int(d) for v, d in want.items()}
+    assert written.count("condensed") > 1 and len(written) == 4 + 2 * written.count("condensed")
