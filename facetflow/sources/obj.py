@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from facetflow.operators.topology import Mesh, rotated_faces
+from facetflow.shared import materialize
 
 
 #: Lines of a bucket: running counts are taken within buckets, and the buckets' sums are added up.
@@ -24,7 +25,8 @@ def parse(lines: DataFrame) -> Mesh:
     rows = lines.select("mesh_id", "line", word.alias("w")).withColumn("tag", F.element_at("w", 1)).where("tag in ('v', 'f')")
     is_v = (F.col("tag") == "v").cast("long")
     n_triangles = F.when(F.col("tag") == "f", F.greatest(F.size("w") - 3, F.lit(0))).otherwise(0).cast("long")
-    rows = rows.select("mesh_id", "line", "w", "tag", is_v.alias("is_v"), n_triangles.alias("triangles"), F.floor(F.col("line") / _BUCKET).alias("bucket"))
+    # written once: the sums of buckets, vertices and faces each need the words of all lines
+    rows = materialize(rows.select("mesh_id", "line", "w", "tag", is_v.alias("is_v"), n_triangles.alias("triangles"), F.floor(F.col("line") / _BUCKET).alias("bucket")), "words")
     # vertices up to and triangles before each line: sums of whole buckets, and running sums within one
     ahead = W.partitionBy("mesh_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     whole = rows.groupBy("mesh_id", "bucket").agg(F.sum("is_v").alias("v"), F.sum("triangles").alias("f"))
@@ -106,16 +108,20 @@ def from_arrays(spark: SparkSession, vertices, faces) -> Mesh:
 def stream_number(x) -> Column:
     """A number as a C++ stream writes it by default: six digits, without the zeros behind them, and an exponent of two digits."""
     x = (F.col(x) if isinstance(x, str) else x).cast("double")
-    e = F.format_string("%.5e", x)
-    power = F.split_part(e, F.lit("e"), F.lit(2)).cast("int")
-    digits = F.regexp_replace(F.split_part(e, F.lit("e"), F.lit(1)), "[-.]", "")
-    bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    large = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6)))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    plain = bare(F.when(power >= 0, large).otherwise(small))
-    exponent = F.concat(bare(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))), F.lit("e"), F.split_part(e, F.lit("e"), F.lit(2)))
-    sign = F.when(F.startswith(e, F.lit("-")), "-").otherwise("")
-    return F.concat(sign, F.when(x == 0, "0").when((power < -4) | (power >= 6), exponent).otherwise(plain))
+    bare = lambda t: F.rtrim(F.rtrim(t, F.lit("0")), F.lit("."))  # noqa: E731  t has a point
+
+    def written(e: Column) -> Column:
+        power = F.split_part(e, F.lit("e"), F.lit(2)).cast("int")
+        digits = F.translate(F.split_part(e, F.lit("e"), F.lit(1)), "-.", "")
+        large = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6)))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        plain = bare(F.when(power >= 0, large).otherwise(small))
+        exponent = F.concat(bare(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 5))), F.lit("e"), F.split_part(e, F.lit("e"), F.lit(2)))
+        sign = F.when(F.startswith(e, F.lit("-")), "-").otherwise("")
+        return F.concat(sign, F.when(F.translate(digits, "0", "") == "", "0").when((power < -4) | (power >= 6), exponent).otherwise(plain))
+
+    # the name of a lambda stands for a value, a column for an expression that Spark would write out, and format, wherever it is used
+    return F.get(F.transform(F.array(F.format_string("%.5e", x)), written), F.lit(0))
 
 
 def _turned(faces: DataFrame, rotate: bool) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from facetflow.operators import condense, embedding, graph, surgery
 from facetflow.operators.topology import Mesh
+from facetflow.sources import obj, tables
 
 
 def tube(n, wide=6):
@@ -87,3 +88,20 @@ def test_a_level_is_one_table(spark, monkeypatch):
     want = from_one([(a, b, 1.0) for _, a, b in edges], 0)
     assert got == {v: int(d) for v, d in want.items()}
     assert written.count("condensed") > 1 and len(written) == 4 + 2 * written.count("condensed")
+
+
+def test_a_number_is_formatted_once(spark):
+    plan = spark.range(1).select(obj.stream_number(F.col("id") / 3).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_string") == 1
+
+
+def test_words_are_written_once_and_a_small_file_is_dealt(spark, sf, monkeypatch):
+    written, plain = [], obj.materialize
+    monkeypatch.setattr(obj, "materialize", lambda df, name="table": written.append(name) or plain(df, name))
+    mesh = tables.part_torus(spark, sf)
+    assert mesh.faces.rdd.getNumPartitions() == mesh.vertices.rdd.getNumPartitions() == 8  # the file is one split
+    lines = obj.obj_lines(mesh).select("mesh_id", (F.col("part") * F.lit(1 << 40) + F.col("n")).alias("line"), "value")
+    back = obj.parse(lines)
+    assert written == ["words"]
+    key = lambda df: sorted(map(tuple, df.select("f", "a", "b", "c").collect()))
+    assert key(back.faces) == key(mesh.faces) and back.vertices.count() == mesh.vertices.count()
