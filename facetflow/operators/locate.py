@@ -201,31 +201,44 @@ def to_points(located: DataFrame, triangles: DataFrame) -> DataFrame:
     return located.join(triangles, ["mesh_id", "f"]).select("point_id", "mesh_id", p.alias("p")).select("point_id", "mesh_id", "p.x", "p.y", "p.z")
 
 
+#: Vertices of a cell that a point meets in one list.
+NEAR = 256
+
+
 def nearest_vertices(points: DataFrame, vertices: DataFrame, cells: int) -> DataFrame:
     """(point_id, mesh_id, v, distance): the nearest of vertices (mesh_id, v, u, w), the lowest on ties.
 
-    A vertex goes to its cell and the eight around it, a point meets those of its cell; what is nearer than a cell's width is
+    A vertex goes to its cell and the eight around it, a point meets the lists of its cell's (NEAR in one); what is nearer than a cell's width is
     settled. Others try again with cells twice as wide, those that are still left with much wider ones, until a cell holds all that there is: so every point of a mesh that has a
     vertex gets a row. Points and vertices with a coordinate that is null, no number or infinite take no part.
     """
     fine = "u is not null and w is not null and not isnan(u) and not isnan(w) and abs(u) < double('infinity') and abs(w) < double('infinity')"
     points, vertices = points.where(fine), vertices.where(fine)
     steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    d = (F.col("u") - F.col("vu")) ** 2 + (F.col("w") - F.col("vw")) ** 2
+    gap = lambda x: F.struct(((F.col("u") - x["vu"]) ** 2 + (F.col("w") - x["vw"]) ** 2).alias("d"), x["v"].alias("v"))
+    even = lambda x: F.struct(F.round(x["d"], 12).alias("d"), x["v"].alias("v"))
+    # only what may be the least when rounded is rounded, which takes far longer than the rest
+    nearest = lambda m: F.array_min(F.transform(F.filter("gaps", lambda x: x["d"] <= m["d"] + 2e-12), even))
     left = points.join(vertices.select("mesh_id").distinct(), "mesh_id", "left_semi").select("point_id", "mesh_id", "u", "w")
     out, n, least, rounds = None, float(cells), None, 0
     while True:
         cell = lambda c, n=n: F.floor(F.col(c) * n)
         near = vertices.select("mesh_id", "v", F.col("u").alias("vu"), F.col("w").alias("vw"), cell("u").alias("i"), cell("w").alias("j"), F.explode(steps).alias("s")).select("mesh_id", "v", "vu", "vw", (F.col("i") + F.col("s.a")).alias("i"), (F.col("j") + F.col("s.b")).alias("j"))
+        most = near.groupBy("mesh_id", "i", "j").count().agg(F.max("count")).first()[0] or 0
+        lists = near.groupBy("mesh_id", "i", "j", F.pmod(F.xxhash64("v"), F.lit(-(-most // NEAR) or 1)).alias("part")).agg(F.collect_list(F.struct("v", "vu", "vw")).alias("near"))
         asked = left.select("point_id", "mesh_id", "u", "w", cell("u").alias("i"), cell("w").alias("j"))
-        best = asked.join(near, ["mesh_id", "i", "j"]).groupBy("point_id", "mesh_id").agg(F.min(F.struct(F.round(d, 12).alias("d"), "v")).alias("s"))
+        # a point meets lists, not vertices; those that meet none stand in the table too
+        met = asked.join(lists, ["mesh_id", "i", "j"], "left").select("point_id", "mesh_id", F.transform("near", gap).alias("gaps"))
+        met = met.select("point_id", "mesh_id", F.get(F.transform(F.array(F.array_min("gaps")), nearest), F.lit(0)).alias("s"))
+        best = materialize(met.groupBy("point_id", "mesh_id").agg(F.min("s").alias("s")), "nearest")
         last = least is not None and n <= least  # all are within a cell of each other
-        settled = best.where(F.lit(True) if last else F.col("s.d") <= 1.0 / n**2).select("point_id", "mesh_id", "s.v", F.sqrt("s.d").alias("distance"))
+        settles = F.col("s").isNotNull() if last else F.coalesce(F.col("s.d") <= 1.0 / n**2, F.lit(False))
+        settled = best.where(settles).select("point_id", "mesh_id", "s.v", F.sqrt("s.d").alias("distance"))
         out = settled if out is None else out.unionByName(settled)
-        left = left.join(settled, ["point_id", "mesh_id"], "left_anti")
-        if last or left.isEmpty():
+        more = best.where(~settles).select("point_id", "mesh_id")
+        if last or more.isEmpty():
             return out
-        left = materialize(left, "not-settled")
+        left = materialize(left.join(more, ["point_id", "mesh_id"], "left_semi"), "not-settled")
         if least is None:
             far = F.max(F.greatest(F.abs("u"), F.abs("w")))
             least = 0.5 / max(1e-300, 2 * max(x.agg(far).first()[0] or 0.0 for x in (left, vertices)))

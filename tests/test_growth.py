@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from facetflow.operators import condense, embedding, graph, surgery
+from facetflow.operators import condense, embedding, graph, locate, surgery
 from facetflow.operators.topology import Mesh
 from facetflow.sources import obj, tables
 
@@ -90,6 +90,28 @@ def test_a_level_is_one_table(spark, monkeypatch):
     assert written.count("condensed") > 1 and len(written) == 4 + 2 * written.count("condensed")
 
 
+def test_a_point_meets_lists_of_vertices(spark, monkeypatch):
+    """The pairs of a point and a vertex are no rows, and what has been found is not found again to see whether all have it."""
+    rng = random.Random(7)
+    vertices = [(0, v, rng.choice([rng.random(), rng.random() * 1e-3]), rng.random()) for v in range(300)]
+    points = [(k, 0, rng.random() * 3, rng.random()) for k in range(200)]
+    both = spark.createDataFrame(points, "point_id long, mesh_id long, u double, w double"), spark.createDataFrame(vertices, "mesh_id long, v long, u double, w double")
+    rows, plain = [], locate.materialize
+
+    def kept(df, name="table"):
+        out = plain(df, name)
+        rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(locate, "materialize", kept)
+    monkeypatch.setattr(locate, "NEAR", 9)
+    got = {r.point_id: (r.v, r.distance) for r in locate.nearest_vertices(*both, 8).collect()}
+    for k, _, u, w in points:
+        d, v = min((round((u - x) ** 2 + (w - y) ** 2, 12), v) for _, v, x, y in vertices)
+        assert got[k][0] == v and abs(got[k][1] - d**0.5) < 1e-9
+    assert rows[0] == ("nearest", 200) and len(rows) > 2
+
+
 def test_a_number_is_formatted_once(spark):
     plan = spark.range(1).select(obj.stream_number(F.col("id") / 3).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("format_string") == 1
