@@ -127,3 +127,13 @@ def test_words_are_written_once_and_a_small_file_is_dealt(spark, sf, monkeypatch
     assert written == ["words"]
     key = lambda df: sorted(map(tuple, df.select("f", "a", "b", "c").collect()))
     assert key(back.faces) == key(mesh.faces) and back.vertices.count() == mesh.vertices.count()
+
+
+def test_blocks_are_dealt_over_all_tasks(spark, monkeypatch):
+    """Blocks hold few bytes and take long: Spark would merge their partitions into one."""
+    _, faces = tube(80)
+    edges = sorted({(0, *sorted(e)) for _, _, a, b, c in faces for e in ((a, b), (b, c), (c, a))})
+    tasks, plain = [], condense.materialize
+    monkeypatch.setattr(condense, "materialize", lambda df, name="table": (name == "condensed" and tasks.append(df.rdd.getNumPartitions())) or plain(df, name))
+    assert graph.bfs_levels(spark.createDataFrame(edges, "mesh_id long, a long, b long"), spark.createDataFrame([(0, 0)], "mesh_id long, node long"), block=30, dense=60).count() == 480
+    assert len(tasks) > 1 and set(tasks) == {8}
